@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "bpe_codec")
+MODULES = ("toxicity", "bpe_codec", "quality_rank", "quality_rules", "token_counts")
 
 
 def registry() -> tuple[dict, dict]:
