@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "bpe_codec", "quality_rank", "quality_rules", "token_counts")
+MODULES = ("toxicity", "bpe_codec", "quality_rank", "quality_rules", "warc", "token_counts")
 
 
 def registry() -> tuple[dict, dict]:
