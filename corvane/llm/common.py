@@ -75,3 +75,16 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Cal
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *arrays], fields)
 
     return slim.mapInArrow(run, out).withColumnRenamed("__id", id_col)
+
+
+def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows, with all their columns, whose text the function that make() returns finds True for; no row moves."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for start, texts in texts_of(batch, at):
+                yield batch.slice(start, len(texts)).filter(pa.array(work(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -102,6 +102,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return result.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row, with all its columns, as often as the mix takes it.
+
+    What is taken depends on id, source and size alone, so these lead back to the rows.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    taken = taken.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("__own", size)
+    rows = rows.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size")))
+    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
 def key_columns(key: list) -> list:
     return [key[0].alias("k_null"), key[1].alias("k_source")]
 

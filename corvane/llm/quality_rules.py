@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import boosting, doc_stats
-from .common import per_text, table
+from .common import keep_rows, per_text, table
 from .training import labelled
 
 #: Most labelled rows that the trees are fitted on.
@@ -53,19 +53,23 @@ def apply_rules(docs: DataFrame, model: boosting.FlatTrees, id_col: str = "doc_i
     row in: null ids, ties and repeated rows pass through, other columns are not read.
     """
 
-    def make():
-        def work(texts):
-            found = [doc_stats.base(t) for t in texts]
-            bad = model.probability(np.array([doc_stats.features(f) for f in found], dtype=float).reshape(len(texts), -1))
-            out = []
-            for f, p in zip(found, bad.tolist(), strict=True):
-                failed = f[0] < 50 or 100 * f[4] > 50 * f[0]
-                out.append((*f[:5], failed, p, not failed and p <= reject))
-            return out
+    return per_text(docs, id_col, text_col, COLUMNS, lambda: lambda texts: verdicts(texts, model, reject))
 
-        return work
 
-    return per_text(docs, id_col, text_col, COLUMNS, make)
+def verdicts(texts: list, model: boosting.FlatTrees, reject: float = REJECT) -> list[tuple]:
+    """What apply_rules() says of each text."""
+    found = [doc_stats.base(t) for t in texts]
+    bad = model.probability(np.array([doc_stats.features(f) for f in found], dtype=float).reshape(len(texts), -1))
+    out = []
+    for f, p in zip(found, bad.tolist(), strict=True):
+        failed = f[0] < 50 or 100 * f[4] > 50 * f[0]
+        out.append((*f[:5], failed, p, not failed and p <= reject))
+    return out
+
+
+def kept_documents(docs: DataFrame, model: boosting.FlatTrees, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows that apply_rules() keeps, with all their columns."""
+    return keep_rows(docs, text_col, lambda: lambda texts: [v[-1] for v in verdicts(texts, model, reject)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
