@@ -6,6 +6,7 @@ are committed as any table is and may lie in any store that Spark reaches.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -56,17 +57,19 @@ def _urn(row_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def records(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> DataFrame:
+def records(pages: DataFrame, files: int, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> DataFrame:
     """One string `record` per page: fresh WARC headers, fresh HTTP headers, and the payload unless it revisits.
 
-    The header table is joined back to the pages on the id and the digest; rows equal in both are
-    equal in what the join adds, which is made distinct first.
+    The headers are joined back to the pages on the id and the digest; rows equal in both are equal
+    in what the join adds, which is made distinct first. Both sides are dealt by the id alone into
+    `files` partitions, so that payloads move once and copies don't meet in one task.
     """
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     head = headers(pages, least, id_col, payload_col).distinct()
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), body.alias("p_body"), F.sha2(body.cast("binary"), 256).alias("p_digest"))
-    head = head.select(F.col(id_col).alias("h_id"), F.col("payload_digest").alias("h_digest"), "record_type", "refers_to", "payload_bytes")
-    rows = rows.join(head, F.col("p_id").eqNullSafe(F.col("h_id")) & (F.col("p_digest") == F.col("h_digest")))
+    rows = pages.select(key(id_col).alias("p_key"), F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), body.alias("p_body"), F.sha2(body.cast("binary"), 256).alias("p_digest"))
+    head = head.select(key(id_col).alias("h_key"), F.col("payload_digest").alias("h_digest"), "record_type", "refers_to", "payload_bytes")
+    rows = rows.repartition(files, "p_key").join(head.repartition(files, "h_key").hint("shuffle_hash"), (F.col("p_key") == F.col("h_key")) & (F.col("p_digest") == F.col("h_digest")))
     revisit = F.col("record_type") == "revisit"
     block = F.concat(F.lit(_HTTP), F.lit("Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF), F.when(revisit, "").otherwise(F.col("p_body")))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit(CRLF))
@@ -90,19 +93,18 @@ def records(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_c
             line("Content-Type", F.lit("application/http; msgtype=response")),
             line("Content-Length", F.octet_length("__block").cast("string")),
             F.lit(CRLF), F.col("__block"), F.lit(CRLF),
-        ).alias("record"),
-        (F.octet_length("__block") + 512).cast("long").alias("bytes"),
+        ).alias("record")
     )
 
 
 def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **columns) -> None:
-    """Writes the pages' deduplicated archives into the folder path, about archive_bytes to a file.
+    """Writes the pages' deduplicated archives into the folder path, gzip files of about archive_bytes unpacked each.
 
-    An empty table leaves a folder without archives.
+    An empty table leaves a folder without records.
     """
     payload = columns.get("payload_col", "html")
-    total = pages.agg(F.sum(F.octet_length(F.col(payload)) + 1024)).first()[0] or 0
-    records(pages, **columns).repartition(max(1, -(-total // archive_bytes))).select("record").write.option("lineSep", CRLF).text(path)
+    total = pages.agg(F.sum(F.octet_length(F.col(payload).cast("string")) + 1024)).first()[0] or 0
+    records(pages, max(1, -(-total // archive_bytes)), **columns).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes) -> list[tuple]:
@@ -140,7 +142,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                for kind, row, to, uri, digest, said, payload in parse(batch.column(0)[i].as_py()):
+                for kind, row, to, uri, digest, said, payload in parse(gzip.decompress(batch.column(0)[i].as_py())):
                     own = (None, None) if payload is None else (hashlib.sha256(payload).hexdigest(), len(payload))
                     uri = uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
                     rows.append((kind, row, to, uri, digest, said, *own, *[payload] * payloads))
