@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from . import wordbpe
 from .common import per_text, table
 
 #: Distinct chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def merges_left(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -54,16 +55,18 @@ class Counter:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.v = wordbpe.vocabulary(path)
         self.seen = wordbpe.Memory(remembered)
-        self.words: dict[str, int] = wordbpe.Memory(remembered)
+        self.words = wordbpe.Memory(remembered // 2)
 
     def chunk(self, chunk: str) -> int:
         if chunk in self.v.special:
             return 1
         total = 0
+        words = self.words
         for piece in self.v.pieces(chunk):
-            n = self.words.get(piece)
+            n = words.get(piece)
             if n is None:
-                n = self.words[piece] = merges_left(self.v.symbols(piece), self.v.ranks)
+                words.room(1)
+                n = words[piece] = merges_left(self.v.symbols(piece), self.v.ranks)
             total += n
         return total
 
@@ -73,13 +76,19 @@ class Counter:
         chunks = self.v.chunks(text)
         seen = self.seen
         if new := {c for c in chunks if c not in seen}:
-            seen.room(len(new))
-            self.words.room(4 * len(new))
-            for c in new if seen else set(chunks):
+            if seen.room(len(new)):
+                new = {c for c in chunks if c not in seen}
+            for c in new:
                 seen[c] = self.chunk(c)
         return sum(map(seen.__getitem__, chunks))
 
 
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """A worker's counter: what it remembers serves all its tasks."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
     """Tokens of every whole text: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -89,8 +98,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def make():
-        counter = Counter(tokenizer or wordbpe.default_path())
-        return lambda texts: [(len(t.encode()) if t else 0, n := counter.count(t), n > limit) for t in texts]
+        own = counter(tokenizer or wordbpe.default_path())
+        return lambda texts: [(len(t.encode()) if t else 0, n := own.count(t), n > limit) for t in texts]
 
     return per_text(docs, id_col, text_col, "n_bytes long, n_tokens long, over_limit boolean", make)
 
