@@ -110,9 +110,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
     taken = taken.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__own", size)
-    rows = rows.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size")))
-    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    # The rows travel as one struct, so that no column of theirs meets one of the mix.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.col(source_col).cast("string").alias("own_source"), size.alias("own"))
+    rows = rows.join(taken, F.col("own_id").eqNullSafe(F.col("__id")) & F.col("own_source").eqNullSafe(F.col("__source")) & (F.col("own") == F.col("__size")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
 
 
 def key_columns(key: list) -> list:
