@@ -16,32 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import per_text, table
+from .common import held, per_text, table
 
 #: Distinct chunks, and pairs of tokens, that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 PAIRS = 400_000
-#: Distinct pieces in one trie.
-TRIE = 60_000
-
-
-class Trie:
-    """Words by their characters; a node is a dict of its children, and the key END marks a word's end."""
-
-    def __init__(self, words):
-        self.root: dict = {}
-        for word in words:
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[wordbpe.END] = {}
 
 
 class Codec:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.v = wordbpe.vocabulary(path)
         self.seen = wordbpe.Memory(remembered)
+        self.pieces = wordbpe.Memory(remembered // 2)
         self.pairs = wordbpe.Memory(PAIRS)
+        self.raw = {i: array("I", [i]).tobytes() for i in self.v.strings}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging, lowest rank first and leftmost among equals; used on one or two tokens' symbols."""
@@ -54,78 +42,107 @@ class Codec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def may_follow(self, left: str, token: str) -> bool:
-        """Whether token stands after left (nothing: "") in the encoding of their joined text."""
-        known = self.pairs.get((left, token))
-        if known is None:
-            self.pairs.room(1)
-            body, end = token.removesuffix(wordbpe.END), token.endswith(wordbpe.END)
-            symbols = [*left, *(self.v.symbols(body) if end else body)]
-            known = self.pairs[left, token] = self.merged(symbols) == ([left, token] if left else [token])
-        return known
-
-    def last_token(self, path: str, ends: list[str], mark: str) -> str:
-        """The last token of the encoding of path (with mark, path is a whole word); ends: those of its prefixes."""
-        n = len(path)
-        for at in range(max(0, n - self.v.longest), n):
-            token = path[at:] + mark
-            if token in self.v.ids and self.may_follow(ends[at], token):
-                return token
-        raise ValueError(f"no token ends {path!r}")
-
-    def encode_words(self, words) -> dict[str, list[int]]:
-        """Each word's ids; prefixes that words share are worked out once."""
-        out: dict[str, list[int]] = {}
-        ids = self.v.ids
-        ends = [""]  # the last token of each prefix of path
+    def may_follow(self, left: str, token: str, pair: int) -> bool:
+        """Whether token stands after left (nothing: "") in the encoding of their joined text; remembered as pair."""
+        self.pairs.room(1)
+        body, end = token.removesuffix(wordbpe.END), token.endswith(wordbpe.END)
+        symbols = [*left, *(self.v.symbols(body) if end else body)]
+        fits = self.pairs[pair] = self.merged(symbols) == ([left, token] if left else [token])
+        return fits
+
+    def encode_words(self, words) -> dict[str, bytes]:
+        """Each word's ids as bytes; prefixes that words share are worked out once.
+
+        Sorted words enter the trie in its depth-first order: a word's path begins with what it shares
+        with the word before, and only the path at hand is kept. A node's state is the last token
+        (and its id) of the encoding of the node's prefix.
+        """
+        out: dict[str, bytes] = {}
+        get, known, may_follow, raw = self.v.ids.get, self.pairs.get, self.may_follow, self.raw
+        longest, end = self.v.longest, wordbpe.END
         path = ""
-        stack = [(0, c, child) for c, child in Trie(words).root.items()]
-        while stack:
-            depth, c, children = stack.pop()
-            path = path[:depth]
-            del ends[depth + 1 :]
-            if c == wordbpe.END:
-                token, at, found = self.last_token(path, ends, wordbpe.END), depth, []
-                at -= len(token) - len(wordbpe.END)
-                found.append(ids[token])
-                while at:
-                    token = ends[at]
-                    found.append(ids[token])
-                    at -= len(token)
-                out[path] = found[::-1]
-                continue
-            path += c
-            # A prefix that only ends words needs no state of its own.
-            ends.append(self.last_token(path, ends, "") if children.keys() != {wordbpe.END} else "")
-            stack += [(depth + 1, x, child) for x, child in children.items()]
+        ends, last = [""], [0]
+        for word in sorted(words):
+            n = len(word)
+            shared = 0
+            for a, b in zip(path, word, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del ends[shared + 1 :], last[shared + 1 :]
+            path = word
+            for stop in range(len(ends), n):
+                for at in range(stop - longest if stop > longest else 0, stop):
+                    token = word[at:stop]
+                    i = get(token)
+                    if i is not None:
+                        pair = last[at] << 17 | i
+                        if not at:
+                            pair |= 1 << 16
+                        fits = known(pair)
+                        if fits is None:
+                            fits = may_follow(ends[at], token, pair)
+                        if fits:
+                            ends.append(token)
+                            last.append(i)
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:stop]!r}")
+            for at in range(n - longest if n > longest else 0, n):
+                token = word[at:] + end
+                i = get(token)
+                if i is not None:
+                    pair = last[at] << 17 | i
+                    if not at:
+                        pair |= 1 << 16
+                    fits = known(pair)
+                    if fits is None:
+                        fits = may_follow(ends[at], token, pair)
+                    if fits:
+                        break
+            else:
+                raise ValueError(f"no token ends {word!r}")
+            found = raw[i]
+            while at:
+                found = raw[last[at]] + found
+                at -= len(ends[at])
+            out[word] = found
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        pieces = {c: self.v.pieces(c) for c in chunks if c not in self.v.special}
-        words = list({p for ps in pieces.values() for p in ps})
-        ids: dict[str, list[int]] = {}
-        for at in range(0, len(words), TRIE):
-            ids |= self.encode_words(words[at : at + TRIE])
-        for c in chunks:
-            found = [self.v.special[c]] if c in self.v.special else [i for p in pieces[c] for i in ids[p]]
-            self.seen[c] = array("I", found).tobytes()
+        """Encodes chunks that aren't remembered: their new pieces go through a trie."""
+        special, known, cut, seen = self.v.special, self.pieces, self.v.pieces, self.seen
+        pieces = {c: cut(c) for c in chunks if c not in special}
+        words = {p for ps in pieces.values() for p in ps}
+        new = [p for p in words if p not in known]
+        if known.room(len(new)):
+            new = [p for p in words if p not in known]
+        known.update(self.encode_words(new))
+        for c, own in pieces.items():
+            seen[c] = known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own])
+        for c in chunks & special.keys():
+            seen[c] = self.raw[special[c]]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as 32-bit unsigned integers in the machine's order."""
         cut = [self.v.chunks(t) if t else [] for t in texts]
-        every = set().union(*cut) if cut else set()
-        if new := {c for c in every if c not in self.seen}:
-            self.seen.room(len(new))
-            self.learn(new if self.seen else every)
-        return [b"".join(map(self.seen.__getitem__, chunks)) for chunks in cut]
+        every = set().union(*cut)
+        seen = self.seen
+        if new := {c for c in every if c not in seen}:
+            if seen.room(len(new)):
+                new = {c for c in every if c not in seen}
+            self.learn(new)
+        return [b"".join(map(seen.__getitem__, chunks)) for chunks in cut]
 
     def decode(self, ids) -> str:
         """The tokens' strings with a space between them, special ones included: the vocabulary names no decoder."""
         return " ".join(map(self.v.strings.__getitem__, ids))
 
 
-def _make(tokenizer: str | None):
-    return Codec(tokenizer or wordbpe.default_path())
+def _make(tokenizer: str | None) -> Codec:
+    """The worker's codec: what it remembers serves all its tasks."""
+    path = tokenizer or wordbpe.default_path()
+    return held(f"codec {path}", lambda: Codec(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

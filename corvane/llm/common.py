@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,34 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, list
         yield at, batch.column(column).slice(at, SLICE).to_pylist()
 
 
+_held: dict = {}
+
+
+def held(key: str, make: Callable):
+    """What make() gives, kept by the worker for its next tasks. A worker keeps one such thing: a call with another key lets it go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def nothing_held() -> None:
+    """Called by tasks that keep nothing: the worker's memory is theirs."""
+    _held.clear()
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector, which would walk through all that a worker remembers again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """A row per input row: the id (any type, null too) and what the function that make() returns gives for its text.
 
@@ -70,7 +100,8 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Cal
         work = make()
         for batch in batches:
             for at, texts in texts_of(batch):
-                columns = list(zip(*work(texts), strict=True))
+                with uncollected():
+                    columns = list(zip(*work(texts), strict=True))
                 arrays = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *arrays], fields)
 
@@ -82,6 +113,7 @@ def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list]
     at = docs.columns.index(text_col)
 
     def run(batches):
+        nothing_held()
         work = make()
         for batch in batches:
             for start, texts in texts_of(batch, at):

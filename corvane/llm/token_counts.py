@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import per_text, table
+from .common import held, per_text, table
 
 #: Distinct chunks that a worker remembers.
 REMEMBERED = 600_000
@@ -83,12 +82,6 @@ class Counter:
         return sum(map(seen.__getitem__, chunks))
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    """A worker's counter: what it remembers serves all its tasks."""
-    return Counter(path)
-
-
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
     """Tokens of every whole text: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -98,7 +91,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def make():
-        own = counter(tokenizer or wordbpe.default_path())
+        path = tokenizer or wordbpe.default_path()
+        own = held(f"counter {path}", lambda: Counter(path))  # serves all the worker's tasks
         return lambda texts: [(len(t.encode()) if t else 0, n := own.count(t), n > limit) for t in texts]
 
     return per_text(docs, id_col, text_col, "n_bytes long, n_tokens long, over_limit boolean", make)
