@@ -109,7 +109,7 @@ def test_search_against_brute_force(spark, monkeypatch):
         for c in texts.values():
             length = sum(c.values())
             s = sum(f * np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * length / mean)) for t, f in texts[q].items() if t in c)
-            want += [s] * (s > 0)
+            want += [s] if s > 0 else []
         assert np.allclose([got[q][k] for k in sorted(got[q])], sorted(want, reverse=True)[:10])
 
 
@@ -167,7 +167,7 @@ def test_chain_feeds_later_models():
 def test_boosting_is_monotone_and_flat():
     rng = np.random.default_rng(2)
     x = rng.random((2000, 3))
-    y = (x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) + 0.2 * rng.normal(size=2000) > 0.6).astype(float)
+    y = (x[:, 0] - 0.5 * x[:, 1] ** 2 + 0.1 * np.sin(20 * x[:, 2]) + 0.05 * rng.normal(size=2000) > 0.35).astype(float)
     model = boosting.fit(x, y, {0: 1, 1: -1})
     probe = np.repeat(rng.random((50, 3)), 40, axis=0)
     for j, sign in ((0, 1), (1, -1)):
@@ -175,7 +175,7 @@ def test_boosting_is_monotone_and_flat():
         rows[:, j] = np.tile(np.linspace(0, 1, 40), 50)
         steps = np.diff(model.margin(rows).reshape(50, 40), axis=1) * sign
         assert steps.min() >= -1e-12
-    assert ((model.probability(x) > 0.5) == y).mean() > 0.8
+    assert ((model.probability(x) > 0.5) == y).mean() > 0.9
 
     def walk(row):
         total = model.base
