@@ -55,7 +55,7 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """(id, line) of one small text file, ids from 0 after the skipped lines. A label file is read whole by one task."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("id", "line"))
     return lines.where(F.col("id") >= skip).select((F.col("id") - skip).alias("id"), "line")
 
