@@ -48,6 +48,19 @@ def ordinal_rank(by: list[str], order: list[Column], scaled: bool = True) -> Col
     return (place - 1) / F.greatest(F.lit(1), F.count("*").over(w) - 1) if scaled else place
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with 0, 1, 2, ... by an order without ties, without putting all rows into one task.
+
+    Rows are sorted by range; a partition's rows are numbered in place, and start after the rows of
+    the partitions before it. The window runs over one row for each partition.
+    """
+    kept = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).persist()
+    parts = kept.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = F.broadcast(parts.select("__part", "__first", before.alias("__before")))
+    return kept.join(parts, "__part").withColumn(name, F.col("__at") - F.col("__first") + F.col("__before")).drop("__part", "__at", "__first", "__before")
+
+
 def gap_to_best(by: list[str], value: str) -> Column:
     return F.col(value) - F.max(value).over(Window.partitionBy(*by))
 

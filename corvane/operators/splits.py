@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
 from .topk import capped_sample, shuffled
 
 
@@ -14,11 +15,9 @@ def group_fold(key: Column, k: int, seed: str = "fold") -> Column:
 
 
 def balanced_folds(df: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, fold): groups by falling size (then key) dealt out to k folds in turn. The window runs over one row for each group."""
-    from pyspark.sql import Window
-
+    """(key, fold): groups by falling size (then key) dealt out to k folds in turn."""
     sizes = df.groupBy(key).agg(F.count("*").alias("__n"))
-    return sizes.select(key, F.pmod(F.row_number().over(Window.orderBy(F.col("__n").desc(), key)) - 1, F.lit(k)).cast("int").alias("fold"))
+    return numbered(sizes, [F.col("__n").desc(), F.col(key)], "__place").select(key, F.pmod("__place", F.lit(k)).cast("int").alias("fold"))
 
 
 def novelty_split(rows: DataFrame, row_id: str, key: str, source: str, per_class: int, queries_each: int, seed: str) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import compose, metrics, splits, topk
+from ..operators.ranking import numbered
 from ..sources.tables import fingerprints, peaks, scores, spectra
 from .registry import VIEWS, plan
 
@@ -209,9 +210,8 @@ def _(t):
     from ..operators.bits import tanimoto
 
     f = fingerprints(t)
-    w = lambda *o: F.row_number().over(Window.orderBy(*o))
-    x = f.select(F.col("fp").alias("x"), w("key").alias("i"))
-    y = f.select(F.col("fp").alias("y"), w(topk.shuffled("b", F.col("key")), F.col("key")).alias("i"))
+    x = numbered(f.select("key", F.col("fp").alias("x")), ["key"], "i").drop("key")
+    y = numbered(f.select("key", F.col("fp").alias("y")), [topk.shuffled("b", F.col("key")), F.col("key")], "i").drop("key")
     one = f.orderBy("key").limit(1).select(F.col("fp").alias("z"))
     return x.join(y, "i").crossJoin(F.broadcast(one)).agg(F.avg(tanimoto(F.col("x"), F.col("y"))).alias("shuffled"), F.avg(tanimoto(F.col("x"), F.col("z"))).alias("constant"))
 
@@ -267,8 +267,9 @@ def _(t):
 
 @plan("agg38_rank_moves", "with r as (select p_partkey as k, row_number() over (order by p_retailprice desc, p_partkey) as a, row_number() over (order by p_size desc, p_partkey) as b from part), m as (select k, ln(a / b::double) as move from r), o as (select *, row_number() over (order by round(move, 9) desc, k) as t, row_number() over (order by round(move, 9), k) as u from m) select k, 'top' as side, round(move, 6) as move from o where t <= 10 union all select k, 'bottom', round(move, 6) from o where u <= 10")
 def _(t):
-    w = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc(), "p_partkey"))
-    moves = t.part.select(F.col("p_partkey").alias("k"), F.round(F.ln(w("p_retailprice") / w("p_size")), 9).alias("move"))
+    place = lambda c, name: numbered(t.part.select("p_partkey", c), [F.col(c).desc(), F.col("p_partkey")], name).select("p_partkey", name)
+    both = place("p_retailprice", "a").join(place("p_size", "b"), "p_partkey")
+    moves = both.select(F.col("p_partkey").alias("k"), F.round(F.ln((F.col("a") + 1) / (F.col("b") + 1)), 9).alias("move"))
     return topk.both_ends(moves.withColumn("all", F.lit(0)), ["all"], "move", "k", 10).select("k", "side", "move")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rangejoin, topk
+from ..operators.ranking import numbered
 from ..sources.tables import peaks, signal, spectra
 from .registry import plan
 
@@ -118,7 +119,7 @@ def _(t):
 
 @plan("jon17_hashed_pairing", "with b as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as n, count(*) over () as c from supplier) select p_partkey, s_suppkey from part join b on ('0x' || substr(md5('p:' || p_partkey), 1, 8))::bigint % c = n")
 def _(t):
-    b = t.supplier.select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("n"))
+    b = numbered(t.supplier.select("s_suppkey"), ["s_suppkey"], "n")
     c = t.supplier.count()
     place = F.conv(F.substring(topk.shuffled("p", F.col("p_partkey")), 1, 8), 16, 10).cast("long") % max(c, 1)
     return t.part.withColumn("n", place).join(b, "n").select("p_partkey", "s_suppkey")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fx
 from ..operators import bits, rangejoin, signal as sig
 from ..operators.peaks import binned
+from ..operators.ranking import numbered
 from ..sources import readers
 from ..sources.tables import fingerprints, peaks
 from .registry import plan
@@ -207,8 +208,8 @@ def _(t):
 
 @plan("scf37_unique_inverse", "select p_partkey, dense_rank() over (order by p_brand)::bigint - 1 as code from part")
 def _(t):
-    codes = t.part.select("p_brand").distinct().withColumn("code", F.row_number().over(Window.orderBy("p_brand")) - 1)
-    return t.part.join(F.broadcast(codes) if t.part.select("p_brand").distinct().count() < 10_000 else codes, "p_brand").select("p_partkey", "code")
+    codes = numbered(t.part.select("p_brand").distinct(), ["p_brand"], "code")
+    return t.part.join(codes, "p_brand").select("p_partkey", "code")
 
 
 @plan("scf38_running", "select event_id, round(sum(value) over w, 4) as total, round(value - lag(value) over w, 4) as diff from events window w as (partition by user_id order by event_id)")

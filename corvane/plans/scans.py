@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import topk
+from ..operators.ranking import numbered
 from ..sources import readers
 from ..sources.tables import scores, signal
 from .registry import plan
@@ -44,7 +45,7 @@ def _(t):
 
 @plan("src13_numbered_labels", "select (row_number() over (order by n_name) - 1)::bigint as id, n_name as label from nation")
 def _(t):
-    return t.nation.select((F.row_number().over(Window.orderBy("n_name")) - 1).alias("id"), F.col("n_name").alias("label"))
+    return numbered(t.nation.select(F.col("n_name").alias("label")), ["label"], "id")
 
 
 @plan("src14_json_log", "select event_id, (props->>'$.k')::bigint as k from events")
@@ -132,7 +133,7 @@ def _(t):
 def _(t):
     # Numbers are given to the distinct keys, not to the rows.
     some = t.orders.where("o_custkey % 7 = 0")
-    ids = some.select("o_custkey").distinct().withColumn("qid", F.row_number().over(Window.orderBy("o_custkey")) - 1)
+    ids = numbered(some.select("o_custkey").distinct(), ["o_custkey"], "qid")
     return some.join(ids, "o_custkey").select("o_orderkey", "qid")
 
 
