@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, nothing_held, table
 
 #: Smallest payload, in bytes, that a revisit record may stand for.
 LEAST = 100
@@ -139,6 +139,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     schema = "record_type string, row_id string, refers_to string, uri string, header_digest string, header_bytes long, digest string, bytes long" + ", payload binary" * payloads
 
     def run(batches):
+        nothing_held()
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
