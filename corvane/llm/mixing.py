@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, shared_dir, table
 
 #: Slots of the shuffled order for each source (4 hexadecimal digits of the hash), and buckets of finish times.
 SLOT_DIGITS = 3
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     moves the cut by their own sizes at most. A null source is a source of its own, a null id an id like others.
     An empty table gives an empty result.
     """
+    shared_dir(docs.sparkSession)  # checkpoints need one
     rows = sized(docs, id_col, text_col, source_col).withColumn("slot", F.substring("place", 1, SLOT_DIGITS)).checkpoint()
     key = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
     goal = targets(rows, weights, repeats)
