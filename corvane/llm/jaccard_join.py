@@ -1,14 +1,18 @@
 """Exact n-gram Jaccard self-join by signature trees, down to the components of its links.
 
-1. Every text becomes the set of its shingles' hashes. Equal sets are one node, named by a digest.
-2. Two linked sets share a token of their prefixes (the first n - ceil(t * n) + 1 tokens in one
-   order for all sets, tokens that are common in the corpus last). A token that two sets or more
-   have in their prefixes sends them to the block of the smallest of them, so linked sets meet.
-3. In each block a signature tree is built and traversed against itself; links that join nothing
-   new are not looked for. A block too large for one task is split by hash, and its leader goes to
-   every part. Members that their part doesn't connect to the leader meet the other parts in a
-   second traversal, tree against tree; parts that are all connected to the leader need none.
-4. Components of the links carry the smallest id to all documents.
+1. Every text becomes the set of its shingles' hashes. Equal sets are one node, named by a digest,
+   with a bitmap of its tokens.
+2. Two linked sets share k tokens of their prefixes (the first n - ceil(t * n) + k tokens in one
+   order for all sets, short shingles late and those that are common in the corpus last); k grows
+   with n. A set that shares fewer with all others together has no link and is left out. A token
+   that two sets or more have left sends them to the block of the smallest of them, so linked sets meet.
+3. In each block a signature tree over the members' bitmaps is traversed against itself: members
+   that can't be linked to any other by bitmaps and sizes are left out before their tokens are fetched.
+4. A second tree, with the tokens at hand, is traversed the same way and its last pairs are checked
+   exactly; links that join nothing new are not looked for. A block too large for one task is split
+   by hash, and its leader goes to every part. Members that their part doesn't connect to the leader
+   meet the other parts in one more traversal, tree against tree; other parts need none.
+5. Components of the links carry the smallest id to all documents.
 """
 
 from __future__ import annotations
@@ -18,21 +22,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import nothing_held, table, written
 from .shingles import shingle_sets
-from .signature_tree import Forest
+from .signature_tree import Forest, Possible, bitmap
 
 #: Cells that count shingles' documents, to put common shingles last. Any counts give right results.
-CELLS = 1 << 20
+CELLS = 1 << 22
 #: Most sets, and most tokens, that a part of a block has on average.
 PART_SETS = 2048
 PART_TOKENS = 1 << 20
+#: Bits of the bitmap that tells which sets' tokens are wanted: 8 MB.
+SIEVE = 1 << 26
 #: Set digests that a task remembers, to send a set's prefix once.
 REMEMBERED = 100_000
 MAX_ROUNDS = 60
+#: Linked sets share one token of their prefixes, and one more for each STEP tokens.
+STEP = 25
+#: Ways that rows of a common token are dealt before they are counted.
+SALTS = 64
+#: Times that sets with too few shared tokens are left out.
+SIFTS = 2
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -43,8 +55,13 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
+def _h(sid: str):
+    """_short() of a digest column."""
+    return F.conv(F.substring(F.hex(sid), 1, 16), 16, -10).cast("long")
+
+
 def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(44)).astype(np.int64) & (CELLS - 1)
+    return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def _record(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -52,74 +69,96 @@ def _record(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
 
 
 def sets_and_counts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, n, sid) of each document, and (cell, hits) of cells that stand out in a task; the other columns are null.
+    """(id, mark, n, sid, map) of each document, and (cell, hits) of cells that stand out in a task; the other columns are null.
 
     mark is a hash of the text: with the id it tells rows apart.
     """
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    names = ["id", "mark", "n", "sid", "cell", "hits"]
+    names = ["id", "mark", "n", "sid", "map", "cell", "hits"]
 
     def run(batches):
-        cells, documents, kind = np.zeros(CELLS, dtype=np.int64), 0, pa.int64()
+        nothing_held()
+        cells, kind = np.zeros(CELLS, dtype=np.int32), pa.int64()
         for batch in batches:
             kind = batch.column(0).type
-            kinds = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-            n, sid = [], []
+            kinds = [kind, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+            n, sid, maps = [], [], []
             for s in shingle_sets(batch.column(1), words):
-                np.add.at(cells, _cells(s), 1)
+                cells[_cells(s)] += 1  # two of a text in one cell count once
                 n.append(len(s))
                 sid.append(_digest(s))
-            documents += len(n)
-            yield _record([batch.column(0), batch.column(2), n, sid, [None] * len(n), [None] * len(n)], kinds, names)
-        # Cells far above the mean: a shingle there is in many of the task's documents.
-        hot = np.flatnonzero(cells >= 4 * (cells.sum() / CELLS) + 16)
+                maps.append(bitmap(s))
+            yield _record([batch.column(0), batch.column(2), n, sid, maps, [None] * len(n), [None] * len(n)], kinds, names)
+        # Cells far above what chance gives them: a shingle there is in many of the task's documents.
+        mean = cells.sum(dtype=np.int64) / CELLS
+        hot = np.flatnonzero(cells >= mean + 8 * mean**0.5 + 8)
         for at in range(0, len(hot), 10_000):
             own = hot[at : at + 10_000]
             none = [None] * len(own)
-            yield _record([none, none, none, none, own, cells[own]], [kind, pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()], names)
+            yield _record([none, none, none, none, none, own, cells[own]], [kind, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()], names)
 
-    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, mark long, n long, sid binary, cell int, hits long")
+    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, mark long, n long, sid binary, map binary, cell int, hits long")
 
 
-def prefixes(docs: DataFrame, words: int, percent: int, common: dict[int, int], id_col: str, text_col: str) -> DataFrame:
-    """(token, h) for every token in the prefix of a set; h is the short form of the set's digest."""
+def prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(token, h, common) for every token in the prefix of a set: h is the short form of the set's digest, common tells of tokens in a cell that stands out."""
     slim = docs.select(F.col(text_col).cast("string").alias("text"))
-    sent = slim.sparkSession.sparkContext.broadcast(common)  # at most CELLS entries
+    sent = slim.sparkSession.sparkContext.broadcast(common)  # CELLS bytes
 
     def run(batches):
-        rank = np.zeros(CELLS, dtype=np.int8)
-        for cell, level in sent.value.items():
-            rank[cell] = level
+        nothing_held()
+        rank = sent.value
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, short = [], []
+            tokens, short, often = [], [], []
             for s in shingle_sets(batch.column(0), words):
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(d)
-                first = len(s) - -(-percent * len(s) // 100) + 1
+                first = len(s) - -(-percent * len(s) // 100) + 1 + len(s) // STEP
                 levels = rank[_cells(s)]
                 own = s[:first] if not levels[:first].any() else s[np.argsort(levels, kind="stable")[:first]]
                 tokens.append(own.view(np.int64))
+                often.append(rank[_cells(own)] > 0)
                 short.append(np.full(len(own), _short(d), dtype=np.int64))
             if tokens:
-                yield _record([np.concatenate(tokens), np.concatenate(short)], [pa.int64()] * 2, ["token", "h"])
+                yield _record([np.concatenate(tokens), np.concatenate(short), np.concatenate(often)], [pa.int64(), pa.int64(), pa.bool_()], ["token", "h", "common"])
+
+    return slim.mapInArrow(run, "token long, h long, common boolean")
 
-    return slim.mapInArrow(run, "token long, h long")
 
+def sieve(sids: DataFrame) -> np.ndarray:
+    """A bitmap of SIEVE bits that has each digest's bit set. Its size is fixed: of more digests it tells less, never wrongly no."""
+    place = F.col("h").bitwiseAND(F.lit(SIEVE - 1))
+    words = sids.select(_h("sid").alias("h")).select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(SIEVE // 64, dtype=np.int64)
+    bits[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint64)
 
-def tokens_of(docs: DataFrame, words: int) -> DataFrame:
-    """(sid, tokens as bytes) of the documents' texts (column text)."""
+
+def tokens_of(docs: DataFrame, words: int, bits: np.ndarray, text_col: str) -> DataFrame:
+    """(sid, tokens as bytes) of the texts whose digest the sieve lets through; a task sends a set once while it remembers it."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        nothing_held()
+        through, seen = sent.value, set()
         for batch in batches:
             held: list[tuple] = []
             size = 0
             for s in shingle_sets(batch.column(0), words):
-                held.append((_digest(s), s.tobytes()))
+                d = _digest(s)
+                place = _short(d) & (SIEVE - 1)
+                if d in seen or not len(s) or not int(through[place >> 6]) >> (place & 63) & 1:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(d)
+                held.append((d, s.tobytes()))
                 size += s.nbytes
                 if size > 4_000_000:
                     yield _record(list(zip(*held, strict=True)), [pa.binary()] * 2, ["sid", "tokens"])
@@ -127,7 +166,7 @@ def tokens_of(docs: DataFrame, words: int) -> DataFrame:
             if held:
                 yield _record(list(zip(*held, strict=True)), [pa.binary()] * 2, ["sid", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "sid binary, tokens binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "sid binary, tokens binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -144,6 +183,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, rows
 
 
+def possible_members(members: DataFrame, percent: int) -> DataFrame:
+    """The (leader, sid) of members that may be linked to another one of their block. members: leader, sid, n, map, of blocks that one task takes."""
+
+    def run(batches):
+        nothing_held()
+        for (leader,), rows in _groups(batches, 1):
+            alive = Possible([r[2] for r in rows], [r[1] for r in rows], percent).alive
+            sid = [r[0] for r, a in zip(rows, alive.tolist(), strict=True) if a]
+            if sid:
+                yield _record([[leader] * len(sid), sid], [pa.int64(), pa.binary()], ["leader", "sid"])
+
+    ordered = members.select("leader", "sid", "n", "map").repartition("leader").sortWithinPartitions("leader")
+    return ordered.mapInArrow(run, "leader long, sid binary")
+
+
 def within_parts(parts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found in each part of a block, and (leader, part, loose) for members not connected to their leader in a split block.
 
@@ -151,6 +205,7 @@ def within_parts(parts: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches):
+        nothing_held()
         names, kinds = ["a", "b", "leader", "part"], [pa.binary(), pa.binary(), pa.int64(), pa.int32()]
         for (leader, part), rows in _groups(batches, 2):
             sid = [r[1] for r in rows]
@@ -171,6 +226,7 @@ def across_parts(meetings: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the loose members and the part that they meet. meetings: leader, part, bundle, loose, sid, tokens."""
 
     def run(batches):
+        nothing_held()
         for _, rows in _groups(batches, 3):
             sid = [r[1] for r in rows]
             forest = Forest([np.frombuffer(r[2], dtype=np.uint64) for r in rows], percent)
@@ -187,14 +243,17 @@ def across_parts(meetings: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): root is the smallest node of its component.
 
-    Rounds of taking the neighbours' smallest label and then that label's own label, until no label
-    changes; each round is a written table in the shared folder.
+    In each round a node takes the smallest label around it, its former root takes it too, and then
+    every node takes its label's own label, until no label changes: a number of rounds that grows
+    with the logarithm of the nodes. Each round is a written table in the shared folder.
     """
     both = written(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy("node").agg(F.min(F.least("node", "to")).alias("root")), "labels")
     for _ in range(MAX_ROUNDS):
         seen = both.join(labels.select(F.col("node").alias("to"), "root"), "to").groupBy("node").agg(F.min("root").alias("seen"))
-        step = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
+        step = labels.join(seen, "node")
+        hooks = step.groupBy(F.col("root").alias("node")).agg(F.min("seen").alias("hook"))
+        step = step.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "seen", "hook").alias("root"))
         jump = step.select(F.col("node").alias("j_node"), F.col("root").alias("j_root"))
         step = written(step.join(jump, F.col("root") == F.col("j_node")).select("node", "old", F.least("root", "j_root").alias("root")), "labels")
         labels = step.select("node", "root")
@@ -203,29 +262,56 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """(token, h, leader) for tokens of two sets or more; the leader is the token's smallest h."""
+    led = rows.groupBy("token").agg(F.min("h").alias("leader"), F.max("h").alias("other")).where("leader < other").select("token", "leader")
+    return rows.select("token", "h").join(led, "token")
+
+
+def _sifted(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, h, leader) for the prefix tokens that two sets or more share, without sets that share too few to have a link.
+
+    Rows move once: a token's rows stand together, a common token's in SALTS places, and what has no
+    company goes. A link's smaller set has at least percent % of the larger one's size, and shares
+    1 + size // STEP prefix tokens.
+    """
+    salt = F.when(F.col("common"), F.pmod("h", F.lit(SALTS))).otherwise(0)
+    together = Window.partitionBy("token", "salt")
+    met = rows.withColumn("salt", salt).withColumn("low", F.min("h").over(together)).withColumn("high", F.max("h").over(together))
+    met = written(met.where("common or low < high").select("token", "h", "common", "low"), "met")
+    left = met.where("not common").select("token", "h", F.col("low").alias("leader")).unionByName(_shared(met.where("common")))
+    need = nodes.groupBy("h").agg((1 + F.floor(F.ceil(F.min("n") * percent / 100) / STEP)).alias("need"))
+    for _ in range(SIFTS):
+        enough = left.select("token", "h").groupBy("h").agg(F.count("*").alias("have")).join(need, "h").where("have >= need").select("h")
+        left = written(_shared(left.select("token", "h").join(enough, "h", "left_semi")), "shared")
+    return left
+
+
 def link_sets(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents' sets (id, mark, n, sid) and links (a, b) of set digests that connect all similar sets."""
     found = written(sets_and_counts(docs, words, id_col, text_col), "sets")
     sets = found.where(F.col("sid").isNotNull()).select("id", "mark", "n", "sid")
     # Fixed bound: a level for each of CELLS cells at most.
-    levels = found.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("hits").alias("hits")).collect()
-    common = {r["cell"]: int(r["hits"]).bit_length() for r in levels}
-    rows = written(prefixes(docs, words, percent, common, id_col, text_col), "prefixes")
-    shared = rows.groupBy("token").agg(F.min("h").alias("leader"), F.max("h").alias("other")).where("leader < other").select("token", "leader")
-    members = written(rows.join(shared, "token").select("leader", "h").distinct(), "members")
-    nodes = sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("id"))
-    short = F.conv(F.substring(F.hex("sid"), 1, 16), 16, -10).cast("long")
-    nodes = nodes.withColumn("h", short).join(members.select("h").distinct(), "h", "left_semi")
-    # Texts of the nodes alone are hashed again: a row of the id may hold another text, which the digest tells.
-    wanted = nodes.select(F.col("id").alias("w_id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
-    tokens = written(tokens_of(texts, words).dropDuplicates(["sid"]).join(nodes.select("sid", "n", "h"), "sid"), "tokens")
-    sized = members.join(tokens.select("h", "sid", "n"), "h").select("leader", "h", "sid", "n")
+    levels = found.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("hits").alias("hits")).toPandas()
+    common = np.zeros(CELLS, dtype=np.int8)
+    common[levels["cell"].to_numpy(dtype=np.int64)] = np.log2(levels["hits"].to_numpy(dtype=float)).astype(np.int8) + 1
+    nodes = found.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("map").alias("map")).withColumn("h", _h("sid"))
+    members = written(_sifted(prefixes(docs, words, percent, common, id_col, text_col), nodes.select("h", "n"), percent).select("leader", "h").distinct(), "members")
+    nodes = written(nodes.join(members.select("h").distinct(), "h", "left_semi"), "nodes")
+    sized = members.join(nodes, "h").select("leader", "h", "sid", "n", "map")
+    blocks = written(sized.groupBy("leader").agg(F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count("*") / PART_SETS)).cast("int").alias("parts")), "blocks")
+    sized = sized.join(blocks, "leader")
+    alive = possible_members(sized.where("parts = 1"), percent).unionByName(sized.where("parts > 1").select("leader", "sid"))
+    alive = written(alive, "alive")
+    # Texts don't move: they are hashed again where they are, and the wanted sets' tokens are sent.
+    tokens = written(tokens_of(docs, words, sieve(alive.select("sid").distinct()), text_col), "tokens")
+    sized = alive.join(nodes.select("sid", "n", "h"), "sid")
     blocks = sized.groupBy("leader").agg(F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count("*") / PART_SETS)).cast("int").alias("parts"))
     placed = sized.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     everywhere = F.when(F.col("h") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
     placed = placed.select("leader", "parts", "sid", F.explode(everywhere).alias("part"))
-    bodies = tokens.select(F.col("sid").alias("t_sid"), "tokens")
+    # Several tasks may have sent the same set.
+    bodies = tokens.dropDuplicates(["sid"]).select(F.col("sid").alias("t_sid"), "tokens")
     parts = placed.join(bodies, F.col("sid") == F.col("t_sid")).select("leader", "part", (F.col("parts") > 1).alias("split"), "sid", "tokens")
     first = written(within_parts(parts, percent), "links")
     links = first.where(F.col("b").isNotNull()).select("a", "b")
@@ -273,12 +359,13 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     sets = _with_roots(*link_sets(docs, words, percent, id_col, text_col))
     first = F.col("n").eqNullSafe(0) | (F.col("id").eqNullSafe(F.col("first.id")) & F.col("mark").eqNullSafe(F.col("first.mark")))
     keep = written(sets.where(first).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("__rows")), "keep")
-    marked = docs.withColumn("__m", F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark"))
-    kept = marked.join(keep.where("__rows = 1"), same, "left_semi")
+    # The rows travel as one struct, so that no column of theirs meets one of the join.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("__id")) & (F.col("own_mark") == F.col("__mark"))
+    kept = rows.join(keep.where("__rows = 1"), same, "left_semi")
     if not keep.where("__rows > 1").isEmpty():
-        kept = kept.union(marked.join(keep.where("__rows > 1"), same, "left_semi").dropDuplicates([id_col, "__m"]))
-    return kept.drop("__m")
+        kept = kept.union(rows.join(keep.where("__rows > 1"), same, "left_semi").dropDuplicates(["own_id", "own_mark"]))
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

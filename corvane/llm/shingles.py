@@ -1,4 +1,8 @@
-"""Word shingles of whole texts as 64-bit hashes, worked out for many texts at once in numpy."""
+"""Word shingles of whole texts as 64-bit tokens, worked out for many texts at once in numpy.
+
+The upper six bits of a token are smaller for longer shingles, the others are a hash. Long shingles
+are rare ones, so tokens in ascending order stand with the rare ones first, without any counting.
+"""
 
 from __future__ import annotations
 
@@ -48,12 +52,20 @@ class _Powers:
 _powers = _Powers()
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased) in raw, and each text's number of words. starts: where texts begin, then the end."""
+def token(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Tokens of shingles with these hashes and bytes of words."""
+    return ((63 - np.minimum(size, 63)).astype(_U) << _U(58)) | (hashes >> _U(6))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, between: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and bytes of all words (A-Z lower-cased) in raw, and each text's number of words.
+
+    starts: where texts begin, then the end. between: which bytes stand between words.
+    """
     n = len(raw)
     if n == 0:
-        return np.zeros(0, dtype=_U), np.zeros(len(starts) - 1, dtype=np.int64)
-    blank = _BLANK[raw]
+        return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64), np.zeros(len(starts) - 1, dtype=np.int64)
+    blank = between[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[starts] = True
     begins = ~blank & (np.concatenate([[True], blank[:-1]]) | edge[:-1])
@@ -63,14 +75,13 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     total = np.cumsum(_VALUE[raw] * up[:n], dtype=_U)
     before = np.where(first > 0, total[first - 1], _U(0))
     words = mix((total[last] - before) * down[first] + (last - first + 1).astype(_U))
-    return words, np.diff(np.searchsorted(first, starts))
+    return words, last - first + 1, np.diff(np.searchsorted(first, starts))
 
 
-def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; none without a word, one of all words below `words` words."""
+def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, starts) of consecutive texts, about SLICE_BYTES at once; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    factors = [_U(pow(_P, 2 * k + 3, 1 << 64) & _MASK) for k in range(words)]
     sizes = [len(s.as_buffer()) if s.is_valid else 0 for s in texts]
     at = 0
     while at < len(sizes):
@@ -79,19 +90,27 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
             held += sizes[stop]
             stop += 1
         raw = np.frombuffer(b"".join(s.as_buffer().to_pybytes() for s in texts[at:stop] if s.is_valid), dtype=np.uint8)
-        starts = np.concatenate([[0], np.cumsum(sizes[at:stop])]).astype(np.int64)
-        hashes, counts = word_hashes(raw, starts)
+        yield raw, np.concatenate([[0], np.cumsum(sizes[at:stop])]).astype(np.int64)
+        at = stop
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle tokens of each text; none without a word, one of all words below `words` words."""
+    factors = [_U(pow(_P, 2 * k + 3, 1 << 64) & _MASK) for k in range(words)]
+    for raw, starts in slices(texts):
+        hashes, lengths, counts = word_hashes(raw, starts)
         rolled = np.zeros(max(0, len(hashes) - words + 1), dtype=_U)
         for k in range(words):
             rolled += hashes[k : k + len(rolled)] * factors[k]
-        rolled = mix(rolled)
+        reach = np.concatenate([[0], np.cumsum(lengths)])
+        rolled = token(mix(rolled), reach[words:] - reach[:-words] if len(rolled) else np.zeros(0, dtype=np.int64))
         i = 0
         for c in counts.tolist():
             if c >= words:
                 yield np.unique(rolled[i : i + c - words + 1])
             elif c:
-                yield mix(np.array([sum(int(h) * int(f) for h, f in zip(hashes[i : i + c], factors, strict=False)) + c & _MASK], dtype=_U))
+                own = np.array([sum(int(h) * int(f) for h, f in zip(hashes[i : i + c], factors, strict=False)) + c & _MASK], dtype=_U)
+                yield token(mix(own), lengths[i : i + c].sum(keepdims=True))
             else:
                 yield np.zeros(0, dtype=_U)
             i += c
-        at = stop

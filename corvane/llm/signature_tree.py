@@ -1,4 +1,4 @@
-"""Signature trees over token sets, and the dual traversal that finds all similar pairs' components.
+"""Signature trees over token sets, and the dual traversals that compare them.
 
 A node holds the OR of its sets' bitmaps, the range of their sizes, and the most tokens that any of
 them has beyond its bitmap's bits. Two sets share at most the common bits of their bitmaps plus the
@@ -7,10 +7,30 @@ smaller of those excesses; what that bound says of two nodes holds for every pai
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 
 LEAF = 16
 FANOUT = 8
+#: Widths of bitmaps: powers of two from twice the set's size up.
+NARROWEST, WIDEST = 64, 1 << 16
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A set's bitmap of its own width: a bit for each token's hash."""
+    width = NARROWEST
+    while width < 2 * len(tokens) and width < WIDEST:
+        width *= 2
+    flags = np.zeros(width, dtype=bool)
+    flags[(tokens >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the width: a token's place there is its place modulo the width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
 
 
 class Components:
@@ -26,54 +46,42 @@ class Components:
             i = up[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
         self.up[max(i, j)] = min(i, j)
-        return True
 
 
 class Node:
-    __slots__ = ("bits", "low", "high", "excess", "children", "members")
+    __slots__ = ("bits", "low", "high", "excess", "children", "members", "sizes", "each", "spare")
 
-    def __init__(self, bits, low, high, excess, children, members):
-        self.bits, self.low, self.high, self.excess, self.children, self.members = bits, low, high, excess, children, members
+    def __init__(self, bits, sizes, spare, children, members, each=None):
+        self.bits, self.children, self.members = bits, children, members
+        self.low, self.high, self.excess = int(min(sizes)), int(max(sizes)), int(max(spare))
+        self.sizes, self.spare, self.each = sizes, spare, each  # of a leaf's sets
 
 
-class Forest:
-    """Sets, their bitmaps, and the trees and components over them. percent: 100 * shared >= percent * union links two sets."""
+def tree(members: np.ndarray, bits: np.ndarray, sizes: np.ndarray, order: list) -> Node | None:
+    """A tree packed bottom-up over the members in the given order; bits and sizes are those of the members."""
+    if not len(members):
+        return None
+    order = np.array(order)
+    members, bits, sizes = members[order], bits[order], sizes[order]
+    spare = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    level = []
+    for at in range(0, len(members), LEAF):
+        own = slice(at, at + LEAF)
+        level.append(Node(np.bitwise_or.reduce(bits[own]), sizes[own], spare[own], None, members[own], bits[own]))
+    while len(level) > 1:
+        groups = [level[at : at + FANOUT] for at in range(0, len(level), FANOUT)]
+        level = [Node(np.bitwise_or.reduce([n.bits for n in g]), [v for n in g for v in (n.low, n.high)], [n.excess for n in g], g, np.concatenate([n.members for n in g])) for g in groups]
+    return level[0]
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        self.components = Components(len(sets))
-        width = 256
-        while width < 4 * int(self.sizes.max(initial=1)) and width < 1 << 16:
-            width *= 2
-        self.bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
-        for i, s in enumerate(sets):
-            place = (s >> np.uint64(20)) & np.uint64(width - 1)
-            np.bitwise_or.at(self.bits[i], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-        self.excess = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
-        self.verified = self.compared = 0
 
-    def tree(self, members: list[int]) -> Node | None:
-        """A tree packed bottom-up over the members in the order of their smallest token and size, which brings similar sets together."""
-        if not members:
-            return None
-        order = sorted(members, key=lambda i: (int(self.sets[i][0]) if len(self.sets[i]) else 0, int(self.sizes[i]), i))
-        level = []
-        for at in range(0, len(order), LEAF):
-            own = np.array(order[at : at + LEAF])
-            level.append(Node(np.bitwise_or.reduce(self.bits[own]), int(self.sizes[own].min()), int(self.sizes[own].max()), int(self.excess[own].max()), None, own))
-        while len(level) > 1:
-            level = [self._above(level[at : at + FANOUT]) for at in range(0, len(level), FANOUT)]
-        return level[0]
+class Traversal:
+    """Walks two trees together. percent: 100 * shared >= percent * union links two sets."""
 
-    @staticmethod
-    def _above(nodes: list[Node]) -> Node:
-        return Node(np.bitwise_or.reduce([n.bits for n in nodes]), min(n.low for n in nodes), max(n.high for n in nodes), max(n.excess for n in nodes), nodes, np.concatenate([n.members for n in nodes]))
+    def __init__(self, percent: int):
+        self.percent = percent
 
     def needed(self, a, b):
         """Fewest shared tokens of linked sets of these sizes."""
@@ -84,56 +92,119 @@ class Forest:
             return True
         return int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.excess, y.excess) < self.needed(x.low, y.low)
 
-    def one_component(self, x: Node, y: Node) -> bool:
-        find = self.components.find
-        root = find(int(x.members[0]))
-        return all(find(i) == root for i in y.members.tolist()) and all(find(i) == root for i in x.members.tolist())
+    def settled(self, x: Node, y: Node) -> bool:
+        """Whether no pair between the nodes could tell anything new."""
+        raise NotImplementedError
 
-    def traverse(self, x: Node | None, y: Node | None) -> list[tuple[int, int]]:
-        """Links that join the components of all similar pairs between x and y (within x, where y is x).
+    def leaves(self, x: Node, y: Node, may: np.ndarray) -> None:
+        """Takes the pairs of two leaves that the bound leaves possible."""
+        raise NotImplementedError
 
-        Pairs of nodes that can't hold a similar pair, or hold one component only, are left out.
-        """
-        links: list[tuple[int, int]] = []
+    def walk(self, x: Node | None, y: Node | None) -> None:
+        """All pairs between x and y (within x, where y is x), without pairs of nodes that are hopeless or settled."""
         stack = [(x, y)] if x and y else []
         while stack:
             x, y = stack.pop()
-            if (x is not y and self.hopeless(x, y)) or self.one_component(x, y):
+            if (x is not y and self.hopeless(x, y)) or self.settled(x, y):
                 continue
-            if x is y:
-                if x.children is None:
-                    self._leaves(x, y, links)
-                else:  # a child with itself first: what it joins spares pairs
-                    n = len(x.children)
-                    stack += [(x.children[i], x.children[j]) for i in range(n) for j in range(n - 1, i, -1)]
-                    stack += [(c, c) for c in reversed(x.children)]
-            elif x.children is None and y.children is None:
-                self._leaves(x, y, links)
+            if x.children is None and y.children is None:
+                self._compare(x, y)
+            elif x is y:  # a child with itself first: what it finds spares pairs
+                n = len(x.children)
+                stack += [(x.children[i], x.children[j]) for i in range(n) for j in range(n - 1, i, -1)]
+                stack += [(c, c) for c in reversed(x.children)]
             elif y.children is None or (x.children is not None and len(x.members) >= len(y.members)):
                 stack += [(c, y) for c in reversed(x.children)]
             else:
                 stack += [(x, c) for c in reversed(y.children)]
-        return links
 
-    def _leaves(self, x: Node, y: Node, links: list) -> None:
-        a, b = x.members, y.members
-        sa, sb = self.sizes[a][:, None], self.sizes[b][None, :]
-        shared = np.bitwise_count(self.bits[a][:, None, :] & self.bits[b][None, :, :]).sum(axis=2).astype(np.int64)
-        most = np.minimum(shared + np.minimum(self.excess[a][:, None], self.excess[b][None, :]), np.minimum(sa, sb))
+    def _compare(self, x: Node, y: Node) -> None:
+        sa, sb = x.sizes[:, None], y.sizes[None, :]
+        shared = np.bitwise_count(x.each[:, None, :] & y.each[None, :, :]).sum(axis=2).astype(np.int64)
+        most = np.minimum(shared + np.minimum(x.spare[:, None], y.spare[None, :]), np.minimum(sa, sb))
         may = most >= self.needed(sa, sb)
         if x is y:
             may = np.triu(may, 1)
-        self.compared += may.size
+        if may.any():
+            self.leaves(x, y, may)
+
+
+class Possible(Traversal):
+    """Which members may be linked to any other, by their bitmaps and sizes alone."""
+
+    def __init__(self, maps: list[bytes], sizes: list[int], percent: int):
+        super().__init__(percent)
+        self.alive = np.zeros(len(maps), dtype=bool)
+        by = defaultdict(list)
+        for i, m in enumerate(maps):
+            by[len(m)].append(i)
+        sizes = np.array(sizes, dtype=np.int64)
+        held = {}
+        for width, own in by.items():
+            held[width] = np.frombuffer(b"".join(maps[i] for i in own), dtype=np.uint8).reshape(len(own), width).copy()
+        # Linked sets differ too little in size to be more than one width apart.
+        for width, own in by.items():
+            own_tree = self._tree(own, held[width], sizes)
+            self.walk(own_tree, own_tree)
+            if 2 * width in by:
+                self.walk(own_tree, self._tree(by[2 * width], folded(held[2 * width]), sizes))
+
+    @staticmethod
+    def _tree(own: list[int], bits: np.ndarray, sizes: np.ndarray) -> Node | None:
+        bits = bits.view(np.uint64) if bits.shape[1] % 8 == 0 else bits
+        return tree(np.array(own), bits, sizes[own], sorted(range(len(own)), key=lambda k: (int(sizes[own[k]]), bits[k].tobytes())))
+
+    def settled(self, x: Node, y: Node) -> bool:
+        return bool(self.alive[x.members].all() and self.alive[y.members].all())
+
+    def leaves(self, x: Node, y: Node, may: np.ndarray) -> None:
+        self.alive[x.members[may.any(axis=1)]] = True
+        self.alive[y.members[may.any(axis=0)]] = True
+
+
+class Forest(Traversal):
+    """Sets, trees over them, and links that join the components of all similar pairs."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        super().__init__(percent)
+        self.sets = sets
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.components = Components(len(sets))
+        self.links: list[tuple[int, int]] = []
+        width = 256
+        while width < 4 * int(self.sizes.max(initial=1)) and width < WIDEST:
+            width *= 2
+        flags = np.zeros((len(sets), width), dtype=bool)
+        for i, s in enumerate(sets):
+            flags[i, (s >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
+        self.bits = np.packbits(flags, axis=1).view(np.uint64)
+
+    def tree(self, members: list[int]) -> Node | None:
+        """A tree in the order of the smallest token and the size, which brings similar sets together."""
+        key = lambda k: (int(self.sets[members[k]][0]) if len(self.sets[members[k]]) else 0, int(self.sizes[members[k]]), k)
+        return tree(np.array(members, dtype=np.int64), self.bits[members], self.sizes[members], sorted(range(len(members)), key=key))
+
+    def settled(self, x: Node, y: Node) -> bool:
         find = self.components.find
-        for i, j in zip(*np.nonzero(may), strict=True):
-            i, j = int(a[i]), int(b[j])
+        root = find(int(x.members[0]))
+        return len(x.members) + len(y.members) > 2 and all(find(i) == root for i in y.members.tolist()) and all(find(i) == root for i in x.members.tolist())
+
+    def leaves(self, x: Node, y: Node, may: np.ndarray) -> None:
+        find = self.components.find
+        for a, b in zip(*np.nonzero(may), strict=True):
+            i, j = int(x.members[a]), int(y.members[b])
             if i != j and find(i) != find(j) and self.linked(i, j):
                 self.components.join(i, j)
-                links.append((i, j))
+                self.links.append((i, j))
+
+    def traverse(self, x: Node | None, y: Node | None) -> list[tuple[int, int]]:
+        """Links between x and y (within x, where y is x) that join the components of all similar pairs."""
+        self.links = []
+        self.walk(x, y)
+        return self.links
 
     def linked(self, i: int, j: int) -> bool:
         """The exact check."""
-        self.verified += 1
         s, t = self.sets[i], self.sets[j]
         if len(s) > len(t):
             s, t = t, s
