@@ -2,7 +2,7 @@
 
 Candidate blocks (lines, and paragraphs of several lines, with a word that notices use) are
 compressed with zstandard in lower case, alone and with each template as a raw dictionary. What a template saves,
-as a share of what it saves on its own wording, ranks the templates; those that save enough are
+as a share of what it saves on its own wording, ranks the templates; all that the block has enough words of are
 confirmed by the exact differences of wording inside the stretch that follows the template.
 """
 
@@ -36,8 +36,7 @@ TEMPLATES = {
 }
 #: Words of which every notice has one; blocks without them are no candidates.
 TRIGGER = r"(?i)licen[sc]e|permission|redistribution"
-#: Least share of a template's own saving, and most differing words per word of the template.
-SHARE = 0.55
+#: Most differing words per word of the template.
 DIFFERENT = 0.15
 #: Paragraphs of more words are looked at line by line only.
 PARAGRAPH = 400
@@ -91,13 +90,15 @@ class Scanner:
         for a, b in self.blocks(text) if text else ():
             words = [(m[0].lower(), a + m.start(), a + m.end()) for m in _WORD.finditer(text[a:b])]
             for start, stop in self.windows(words):
+                there = {w for w, *_ in words[start:stop]}
+                # A word of the template that the window lacks differs, so the others can't be confirmed.
+                able = [t for t in self.templates if sum(w not in there for w in t.words) <= DIFFERENT * len(t.words)]
+                if not able:
+                    continue
                 raw = text[words[start][1] : words[stop - 1][2]].lower().encode()
                 plain = len(self.plain.compress(raw))
-                ranked = sorted(((plain - len(t.given.compress(raw))) / t.own_saving, -i) for i, t in enumerate(self.templates))
-                for share, i in reversed(ranked):
-                    if share < SHARE:
-                        break
-                    t = self.templates[-i]
+                ranked = [((plain - len(t.given.compress(raw))) / t.own_saving, t) for t in able]
+                for share, t in sorted(ranked, key=lambda r: r[0], reverse=True):
                     if (hit := self.confirm(t, words[start:stop])) is not None:
                         first, last, differing = hit
                         found.append((words[start + first][1], words[start + last][2], t.name, round(share, 6), differing, differing == 0))

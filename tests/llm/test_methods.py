@@ -241,6 +241,21 @@ def test_licenses_found_and_confirmed(spark):
     assert got == {i: (n, d) for i, _, n, d in rows if n}
 
 
+@pytest.mark.parametrize("before, after", [(4, 4), (7, 23), (40, 2), (2, 40), (30, 31)])
+def test_licenses_inside_lines(before, after):
+    """Verbatim wording is found wherever it stands in a line, whatever the compressor saves there."""
+    prose = "all the code samples of each chapter in this guide were written by many hands for readers who like to learn at night while others sleep or walk along some quiet river".split()
+    words = lambda n, at: " ".join(prose[(at + k) % len(prose)] for k in range(n))
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for at, (name, t) in enumerate(license_scan.TEMPLATES.items()):
+        text = f"{words(before, at)} {t} {words(after, at + 9)}"
+        found = [(r[2], r[4], r[5]) for r in scanner.scan(text)]
+        assert found == [(name, 0, True)], text
+    (start, stop, *rest), = scanner.scan(said := "All code samples in this guide are released under the MIT License unless stated otherwise")
+    assert said[start:stop] == "released under the MIT License" and rest[0] == "MIT"
+    assert [r[2] for r in scanner.scan("If you want it, it is released under the MIT License for everyone to use")] == ["MIT"]
+
+
 def test_licenses_in_documents(spark):
     docs = read(spark, "documents")
     fixed = [license_scan.TEMPLATES[n] for n in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0")]
