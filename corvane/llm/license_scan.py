@@ -38,8 +38,6 @@ TEMPLATES = {
 TRIGGER = r"(?i)licen[sc]e|permission|redistribution"
 #: Most differing words per word of the template.
 DIFFERENT = 0.15
-#: Paragraphs of more words are looked at line by line only.
-PARAGRAPH = 400
 _WORD = re.compile(r"[A-Za-z0-9À-ɏ]+(?:[.'/-][A-Za-z0-9À-ɏ]+)*")
 COLUMNS = "start long, stop long, license string, saved_share double, differing int, exact boolean"
 
@@ -77,7 +75,7 @@ class Scanner:
             if text[a:b].strip():
                 run.append((a, b))
                 continue
-            if len(run) > 1 and self.trigger.search(text, run[0][0], run[-1][1]) and len(text[run[0][0] : run[-1][1]].split()) <= PARAGRAPH:
+            if len(run) > 1 and self.trigger.search(text, run[0][0], run[-1][1]):
                 yield run[0][0], run[-1][1]
             run = []
         for a, b in lines:

@@ -256,6 +256,20 @@ def test_licenses_inside_lines(before, after):
     assert [r[2] for r in scanner.scan("If you want it, it is released under the MIT License for everyone to use")] == ["MIT"]
 
 
+@pytest.mark.parametrize("lines", [1, 45, 400])
+def test_wrapped_licenses_in_long_paragraphs(lines):
+    """A notice broken over lines is found in a paragraph of any length."""
+    prose = "\n".join(["some words of prose that say nothing at all about terms"] * lines)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, t in license_scan.TEMPLATES.items():
+        words = t.split()
+        for pieces in (2, 3):
+            cut = [len(words) * k // pieces for k in range(pieces + 1)]
+            wrapped = "\n".join(" ".join(words[a:b]) for a, b in zip(cut, cut[1:]))
+            found = scanner.scan(f"{prose}\n{wrapped}\n{prose}")
+            assert [(r[2], r[4], r[5]) for r in found] == [(name, 0, True)]
+
+
 def test_licenses_in_documents(spark):
     docs = read(spark, "documents")
     fixed = [license_scan.TEMPLATES[n] for n in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0")]
