@@ -69,6 +69,16 @@ def test_pruned_scan(spark):
     assert "l_extendedprice" not in plan and "PushedFilters: [IsNotNull(l_shipdate)" in plan
 
 
+def test_windows_of_a_long_series(spark, tmp_path):
+    """Windows go on to the end of a series, however long it is."""
+    n = 1500
+    rows = spark.range(n).selectExpr("id as event_id", "1L as user_id", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "double(id) as value", "'view' as event_type")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["win"]: (r["rows"], r["mean"]) for r in plans.QUERIES["win13_sliding_windows"](spark, str(tmp_path)).collect()}
+    want = {k: range(5 * k, min(5 * k + 20, n)) for k in range(n // 5)}
+    assert got == {k: (len(w), sum(w) / len(w)) for k, w in want.items()}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
