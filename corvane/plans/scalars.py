@@ -282,7 +282,7 @@ def _(t):
 
 def formulas(t):
     n = lambda k, m: (F.col("p_partkey") % k + m).cast("int").cast("string")
-    return t.part.where("p_partkey % 40 = 0").select("p_partkey", F.concat(F.lit("C"), n(7, 1), F.lit("H"), n(9, 2), F.lit("O"), n(3, 1)).alias("formula"))
+    return t.part.select("p_partkey", F.concat(F.lit("C"), n(7, 1), F.lit("H"), n(9, 2), F.lit("O"), n(3, 1)).alias("formula"))
 
 
 def _mapped(df, fn, schema):
@@ -318,7 +318,7 @@ def _(t):
 def _(t):
     from ..functions.kernels import mass
 
-    return _mapped(formulas(t), lambda r: [(r.p_partkey, mass(r.formula))], "p_partkey long, mass double")
+    return _mapped(formulas(t).where("p_partkey % 40 = 0"), lambda r: [(r.p_partkey, mass(r.formula))], "p_partkey long, mass double")
 
 
 @plan("udf04_subformulas")
@@ -361,7 +361,7 @@ def _(t):
 
 @plan("udf08_formula_text", "select p_partkey, 'C' || (p_partkey % 7 + 1) || 'H' || (p_partkey % 9 + 2) || 'O' || (p_partkey % 3 + 1) as formula from part where p_partkey % 40 = 0")
 def _(t):
-    return formulas(t)
+    return formulas(t).where("p_partkey % 40 = 0")
 
 
 @plan("udf09_featuriser", "with f as (select rid, 'mz' as kind, bin, w from peaks union all select rid, 'loss', 200 - bin, w from peaks) select rid, kind, bin, round(sum(w), 6) as w from f where rid % 20 = 0 group by 1, 2, 3", "peaks")

@@ -69,6 +69,20 @@ def test_pruned_scan(spark):
     assert "l_extendedprice" not in plan and "PushedFilters: [IsNotNull(l_shipdate)" in plan
 
 
+def test_formula_kernels_take_all_parts(spark, tables):
+    """Each part has its row, and each part's chain its fragments."""
+    parts = {r["p_partkey"] for r in tables.part.collect()}
+    n = {r["p_partkey"]: r["n"] for r in plans.QUERIES["udf04_subformulas"](spark, SMALL).collect()}
+    share = {r["p_partkey"]: r["share"] for r in plans.QUERIES["udf05_explained_by_formula"](spark, SMALL).collect()}
+    assert set(n) == set(share) == parts
+    for k in parts:
+        assert 0 < n[k] <= (k % 7 + 2) * (k % 9 + 3) * (k % 3 + 2) - 1 and 0 <= share[k] <= 1
+    whole = {}
+    for r in plans.QUERIES["udf06_fragments"](spark, SMALL).collect():
+        whole[r["p_partkey"]] = max(whole.get(r["p_partkey"], 0), r["mass"])
+    assert whole == {k: sum(12.0 + (i + k) % 3 for i in range(k % 5 + 3)) for k in parts}
+
+
 def test_windows_of_a_long_series(spark, tmp_path):
     """Windows go on to the end of a series, however long it is."""
     n = 1500
