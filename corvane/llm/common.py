@@ -39,11 +39,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: a cut of the lineage that survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df as a Parquet table in the shared folder: a cut of the lineage that survives lost executors. options: the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

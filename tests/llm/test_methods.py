@@ -96,21 +96,45 @@ def test_signature_tree_against_all_pairs():
     assert all(alive[i] and alive[j] for i, j in linked)
 
 
-def test_search_against_brute_force(spark, monkeypatch):
-    docs = read(spark, "documents", "/root/testdata/sf0.001")
-    texts = {r["doc_id"]: Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))) for r in docs.collect()}
-    n, df = len(texts), Counter(t for c in texts.values() for t in c)
-    mean = sum(sum(c.values()) for c in texts.values()) / n
-    got = defaultdict(dict)
-    for r in bm25.search(docs, docs.where("doc_id % 10 = 0"), shard_bytes=60_000).collect():
-        got[r["query_id"]][r["rank"]] = r["score"]
-    for q in (i for i in texts if i % 10 == 0):
-        want = []
-        for c in texts.values():
+def brute_search(rows, asked, k=10):
+    """(query, rank) -> (id, score) of all (id, text), every document scored; ties go to the smaller id."""
+    texts = [(i, Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))) for i, t in rows]
+    n, df = len(texts), Counter(t for _, c in texts for t in c)
+    mean = sum(sum(c.values()) for _, c in texts) / n
+    out = {}
+    for q, own in asked:
+        words = Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), own or "")))
+        scores = []
+        for i, c in texts:
             length = sum(c.values())
-            s = sum(f * np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * length / mean)) for t, f in texts[q].items() if t in c)
-            want += [s] if s > 0 else []
-        assert np.allclose([got[q][k] for k in sorted(got[q])], sorted(want, reverse=True)[:10])
+            s = sum(f * np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * length / mean)) for t, f in words.items() if t in c)
+            scores += [(-round(s, 7), i)] if s > 0 else []
+        out |= {(q, r): (i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 60_000}, {"shard_bytes": 200_000, "asked_terms": 1000}])
+def test_search_against_brute_force(spark, options):
+    """Ids, ranks and scores; one shard and many, one block of queries and several."""
+    docs = read(spark, "documents", "/root/testdata/sf0.001")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_search(rows, [r for r in rows if r[0] % 5 == 0])
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bm25.search(docs, docs.where("doc_id % 5 = 0"), **options).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(v[1] - want[k][1]) <= 1e-6 * v[1] for k, v in got.items())
+
+
+def test_search_ties_and_long_texts(spark):
+    """Equal documents at the last rank go by id, across shards; a very long text is a query like others."""
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(50_000))
+    rows = [(i, "alpha beta gamma") for i in range(40, 0, -1)] + [(100 + i, f"alpha w{i}") for i in range(30)] + [(500, long), (501, long + " omega")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [(1, "alpha beta gamma"), (500, long)]
+    want = brute_search(rows, asked)
+    got = {(r["query_id"], r["rank"]): r["doc_id"] for r in bm25.search(docs, spark.createDataFrame(asked, "doc_id long, text string"), shard_bytes=150).collect()}
+    assert got == {k: v[0] for k, v in want.items()}
+    assert [got[1, r] for r in range(1, 11)] == list(range(1, 11))
 
 
 def brute_stats(text):
