@@ -94,6 +94,9 @@ def test_license_edges(spark, docs):
     got = license_scan.scan(docs).collect()
     assert [(r["doc_id"], r["license"], r["exact"]) for r in got] == [(5, "MIT", True)]
     assert license_scan.scan(docs.limit(0)).count() == 0
+    named = license_scan.scan(docs.withColumn("doc_id", F.concat(F.lit("d%"), "doc_id"))).collect()
+    assert [r["doc_id"] for r in named] == ["d%5"]
+    assert license_scan.scan(docs, templates={}).count() == 0
 
 
 def test_search_edges(spark, docs):

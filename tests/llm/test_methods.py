@@ -294,6 +294,33 @@ def test_wrapped_licenses_in_long_paragraphs(lines):
             assert [(r[2], r[4], r[5]) for r in found] == [(name, 0, True)]
 
 
+@pytest.mark.parametrize("n", [1, 5, 40, 121, 300, 900])
+def test_templates_of_any_length_and_wording(n):
+    """A template of the user's own, without any usual word, in a long paragraph; some words may differ, more may not."""
+    rng = random.Random(n)
+    own = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.randrange(10**6):x}".translate(str.maketrans("0123456789", "ghjkqvwxyz")) for _ in range(n)]
+    scanner = license_scan.Scanner({"own": " ".join(own), "none": "..."})
+    prose = " ".join(f"prose{k % 97}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(5000))
+    text = f"{prose}\n{' '.join(own)} {prose}"
+    ((start, stop, name, _, differing, exact),) = scanner.scan(text)
+    assert (text[start:stop], name, differing, exact) == (" ".join(own), "own", 0, True)
+    changed = [f"{w}x" if k % 10 == 5 else w for k, w in enumerate(own)]
+    want = [] if sum(a != b for a, b in zip(own, changed)) > license_scan.DIFFERENT * n else [sum(a != b for a, b in zip(own, changed))]
+    assert [r[4] for r in scanner.scan(f"{prose} {' '.join(changed)} {prose}")] == want
+    assert scanner.scan(f"{prose} {' '.join(own[: n // 2])} {prose}") == []
+    assert len(scanner.scan(" ".join([text] * 3))) == 3 and len(scanner.scan(" ".join([" ".join(own)] * 4))) == 4
+
+
+def test_full_license_texts():
+    """Whole license texts over paragraphs are one finding each, also where a year and holder come before."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name in ("MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text", "Zlib-text", "Apache-2.0-header", "GPL-3.0-header"):
+        words = license_scan.TEMPLATES[name].split()
+        wrapped = "\n\n".join("\n # ".join(" ".join(words[k : k + 9]) for k in range(at, min(at + 63, len(words)), 9)) for at in range(0, len(words), 63))
+        found = scanner.scan(f"Copyright (c) 2020 Somebody\n\n{wrapped}\n\nimport os\n")
+        assert [(r[2], r[4]) for r in found] == [(name, 0)]
+
+
 def test_licenses_in_documents(spark):
     docs = read(spark, "documents")
     fixed = [license_scan.TEMPLATES[n] for n in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0")]
