@@ -19,6 +19,8 @@ from .common import fresh_path, nothing_held, table
 LEAST = 100
 #: Bytes of payload that one archive file holds on average, at most.
 ARCHIVE_BYTES = 8_000_000
+#: Ways that copies of one payload are dealt before they meet their original's header.
+SALTS = 16
 #: Capture date of the records where none is given: archives must come out alike on a rerun.
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -33,16 +35,32 @@ def headers(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", paylo
     smallest id are all responses; a null id comes after every other one. A null payload is empty.
     The digests' smallest ids are aggregated before they are shuffled, and joined to the slim headers.
     """
+    return _headers(pages, least, id_col, None, payload_col).select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _headers(pages: DataFrame, least: int, id_col: str, url_col: str | None, payload_col: str) -> DataFrame:
+    """headers() under fixed names, with the pages' urls and the original's (refers_url).
+
+    Only digests that occur more than once are joined, each dealt SALTS ways; payloads under `least` bytes meet nothing.
+    """
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    slim = pages.select(F.col(id_col).alias("__id"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"))
-    first = slim.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("__digest")).agg(F.min("__id").alias("__first"))
-    joined = slim.join(first, F.col("payload_digest") == F.col("__digest"), "left")
-    again = F.col("__digest").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
-    return joined.select(
-        F.col("__id").alias(id_col), "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("__first")).alias("refers_to"),
+    url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
+    slim = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"))
+    large = slim.where(F.col("payload_bytes") >= least)
+    original = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "url"))
+    first = large.groupBy("payload_digest").agg(original.alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    first = first.select(F.col("payload_digest").alias("f_digest"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")
+    joined = large.withColumn("salt", salt).join(first, (F.col("payload_digest") == F.col("f_digest")) & (F.col("salt") == F.col("f_salt")), "left")
+    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
+    found = joined.select(
+        "id", "url", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"),
     )
+    kinds = dict(found.dtypes)
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    small = slim.where(F.col("payload_bytes") < least).select("id", "url", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), none("refers_to"), none("refers_url"))
+    return found.unionByName(small)
 
 
 def _clean(c: Column) -> Column:
@@ -53,30 +71,33 @@ def _clean(c: Column) -> Column:
 
 def _urn(row_id: Column, digest: Column) -> Column:
     """A name-based record id: the same for the same page on every run."""
-    h = F.sha2(F.concat_ws(":", F.coalesce(row_id.cast("string"), F.lit("null")), digest), 256)
+    h = F.sha2(F.concat_ws(":", row_id.cast("string"), digest), 256)  # a null id is left out
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
 def records(pages: DataFrame, files: int, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> DataFrame:
     """One string `record` per page: fresh WARC headers, fresh HTTP headers, and the payload unless it revisits.
 
-    The headers are joined back to the pages on the id and the digest; rows equal in both are equal
-    in what the join adds, which is made distinct first. Both sides are dealt by the id alone into
-    `files` partitions, so that payloads move once and copies don't meet in one task.
+    The headers of revisits are joined back to the pages on id, digest and url; rows equal in these
+    are equal in what the join adds, which is made distinct first. Both sides are dealt by a hash of
+    the three into `files` partitions, so that payloads move once and copies don't meet in one task.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    head = headers(pages, least, id_col, payload_col).distinct()
+    key = lambda i, u, d: F.xxhash64(F.col(i).isNull(), F.col(i).cast("string"), F.col(u), F.col(d))
+    head = _headers(pages, least, id_col, url_col, payload_col).where("record_type = 'revisit'").distinct()
+    head = head.select(key("id", "url", "payload_digest").alias("h_key"), F.col("id").alias("h_id"), F.col("url").alias("h_url"), F.col("payload_digest").alias("h_digest"), "refers_to", "refers_url")
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(key(id_col).alias("p_key"), F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), body.alias("p_body"), F.sha2(body.cast("binary"), 256).alias("p_digest"))
-    head = head.select(key(id_col).alias("h_key"), F.col("payload_digest").alias("h_digest"), "record_type", "refers_to", "payload_bytes")
-    rows = rows.repartition(files, "p_key").join(head.repartition(files, "h_key").hint("shuffle_hash"), (F.col("p_key") == F.col("h_key")) & (F.col("p_digest") == F.col("h_digest")))
-    revisit = F.col("record_type") == "revisit"
-    block = F.concat(F.lit(_HTTP), F.lit("Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF), F.when(revisit, "").otherwise(F.col("p_body")))
+    rows = pages.select(F.col(id_col).alias("p_id"), F.col(url_col).cast("string").alias("p_url"), body.alias("p_body"), F.sha2(body.cast("binary"), 256).alias("p_digest"))
+    rows = rows.withColumn("p_key", key("p_id", "p_url", "p_digest"))
+    same = (F.col("p_key") == F.col("h_key")) & (F.col("p_digest") == F.col("h_digest")) & F.col("p_id").eqNullSafe(F.col("h_id")) & F.col("p_url").eqNullSafe(F.col("h_url"))
+    rows = rows.repartition(files, "p_key").join(head.repartition(files, "h_key").hint("shuffle_hash"), same, "left")
+    revisit = F.col("h_key").isNotNull()
+    size = F.octet_length("p_body").cast("string")
+    block = F.concat(F.lit(_HTTP), F.lit("Content-Length: "), size, F.lit(CRLF + CRLF), F.when(revisit, "").otherwise(F.col("p_body")))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit(CRLF))
     return rows.withColumn("__block", block).select(
         F.concat(
             F.lit(f"WARC/1.1{CRLF}"),
-            line("WARC-Type", F.col("record_type")),
+            line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
             line("WARC-Record-ID", _urn(F.col("p_id"), F.col("p_digest"))),
             line("WARC-Date", F.lit(date)),
             line("WARC-Target-URI", _clean(F.col("p_url"))),
@@ -87,6 +108,8 @@ def records(pages: DataFrame, files: int, least: int = LEAST, id_col: str = "pag
                 F.concat(
                     line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
                     line("WARC-Refers-To", _urn(F.col("refers_to"), F.col("p_digest"))),
+                    line("WARC-Refers-To-Target-URI", _clean(F.col("refers_url"))),
+                    line("WARC-Refers-To-Date", F.lit(date)),
                     line("X-Refers-To-Row-Id", _clean(F.col("refers_to"))),
                 ),
             ).otherwise(""),
@@ -107,6 +130,11 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **col
     records(pages, max(1, -(-total // archive_bytes)), **columns).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
+def plain(value: str | None) -> str | None:
+    """A header's value as it was before _clean()."""
+    return value and value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def parse(raw: bytes) -> list[tuple]:
     """(type, row id, refers-to row id, uri, digest of the header, length of the header, payload or None) of each record."""
     out, at = [], 0
@@ -145,8 +173,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 rows = []
                 for kind, row, to, uri, digest, said, payload in parse(gzip.decompress(batch.column(0)[i].as_py())):
                     own = (None, None) if payload is None else (hashlib.sha256(payload).hexdigest(), len(payload))
-                    uri = uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                    rows.append((kind, row, to, uri, digest, said, *own, *[payload] * payloads))
+                    rows.append((kind, plain(row), plain(to), plain(uri), digest, said, *own, *[payload] * payloads))
                 for at in range(0, len(rows), 512):
                     columns = list(zip(*rows[at : at + 512], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], fields)
