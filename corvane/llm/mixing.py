@@ -5,9 +5,11 @@ A queued document's virtual finish time is its source's cumulative size, itself
 source's target. All queues are merged in the order of finish times and cut where the total budget
 is used up.
 
-Nothing here is ordered in one task. Cumulative sums go by slots of the hash: sums of slots first,
-then rows within their slot, so that a source of any share is spread over all slots. The cut goes
-by buckets of finish times: sums of buckets first, then the rows of the one bucket that holds it.
+Nothing here is ordered in one task. Rows that agree in id, source and text are counted first and
+queued one after another, so that many of them are one row until then. Cumulative sums go by slots
+of the hash: sums of slots first, then rows within their slot, so that a source of any share is
+spread over all slots. The cut goes by buckets of finish times: sums of buckets first, then the rows
+of the one bucket that holds it.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_dir, table
+from .common import WORD, shared_dir, table, written
 
-#: Slots of the shuffled order for each source (4 hexadecimal digits of the hash), and buckets of finish times.
+#: Slots of the shuffled order for each source (3 hexadecimal digits of the hash), and buckets of finish times.
 SLOT_DIGITS = 3
 BUCKETS = 65536
 WEIGHTS = (5, 2, 1)
@@ -25,13 +27,15 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size (words of the text; null: 0) and the shuffled place of each document."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """id, source, size (words of the text; null: 0) and the shuffled place of each document: a hash of its id and text; row_col comes along as `row`."""
+    text = F.col(text_col).cast("string")
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("place"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))).alias("place"),
+        *([F.col(row_col).alias("row")] if row_col else []),
     )
 
 
@@ -64,25 +68,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """id, source, size, source_size, target and taken (words that the mix takes, repeats counted) of each document.
 
-    A row out for each row in. Documents without words take nothing. Rows that repeat an id share its
-    place and are queued in the order of their sizes; of equal ones all or none are taken, which
-    moves the cut by their own sizes at most. A null source is a source of its own, a null id an id like others.
-    An empty table gives an empty result.
+    A row out for each row in. Documents without words take nothing. Rows that agree in id, source
+    and text are queued one after another, so that the cut may lie between them; which of them is
+    taken can't be told. A null source is a source of its own; a null id counts as the text 'null'.
+    An empty table gives an empty result. Other columns are not read.
     """
+    return _mixed(docs, id_col, text_col, source_col, weights, repeats).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    """mix() with the place and the number of each row among those that agree with it."""
     shared_dir(docs.sparkSession)  # checkpoints need one
-    rows = sized(docs, id_col, text_col, source_col).withColumn("slot", F.substring("place", 1, SLOT_DIGITS)).checkpoint()
+    rows = sized(docs, id_col, text_col, source_col).groupBy("id", "source", "size", "place").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("slot", F.substring("place", 1, SLOT_DIGITS)).checkpoint()
     key = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
-    goal = targets(rows, weights, repeats)
+    goal = targets(rows.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, repeats)
     # Cumulative size within the source: of the slots before, then within the slot.
-    slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
+    slots = rows.groupBy("source", "slot").agg(F.sum(F.col("size") * F.col("copies")).alias("slot_size"))
     ahead = F.coalesce(F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = slots.withColumn("ahead", ahead).drop("slot_size")
     slots = slots.join(goal.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
     slots = slots.withColumnsRenamed({"source": "s_source", "slot": "s_slot"})
-    # Ties in the order share the larger sum (a RANGE frame), so that a rerun can't tell them apart.
-    own = F.sum("size").over(Window.partitionBy("source", "slot").orderBy("place", "size"))
+    own = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("source", "slot").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     queued = rows.withColumn("own", own).join(slots, (F.col("slot") == F.col("s_slot")) & F.col("source").eqNullSafe(F.col("s_source")))
-    queued = queued.withColumn("cumulative", F.col("ahead") + F.col("own")).select("id", "source", "size", "place", "source_size", "total", "target", "cumulative").checkpoint()
+    queued = queued.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    queued = queued.withColumn("cumulative", F.col("ahead") + F.col("own") + F.col("number") * F.col("size"))
+    queued = queued.select("id", "source", "size", "place", "copies", "number", "source_size", "total", "target", "cumulative").checkpoint()
     rounds = [F.when((F.col("target") > 0) & (F.col("size") > 0), (F.lit(e) * F.col("source_size") + F.col("cumulative")) / F.col("target")) for e in range(repeats)]
     bucket = lambda finish: F.least(F.floor(finish * (BUCKETS // 4)), F.lit(BUCKETS - 1))
     # A finish time stands for place in the merged order; targets sum to the budget, so the cut lies near 1.
@@ -100,21 +111,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     result = queued.select("*", *key_columns(key)).crossJoin(F.broadcast(cut.agg(F.max("cut_bucket").alias("cut_bucket"), F.max("last").alias("last"))))
     place = lambda f: F.struct(f.alias("finish"), F.col("k_null"), F.col("k_source"))
     times = sum(F.when(f.isNull(), 0).when(bucket(f) < F.col("cut_bucket"), 1).when((bucket(f) == F.col("cut_bucket")) & F.coalesce(place(f) <= F.col("last"), F.lit(False)), 1).otherwise(0) for f in rounds)
-    return result.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+    return result.select("id", "source", "size", "place", "copies", "number", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mix itself: each row, with all its columns, as often as the mix takes it.
 
-    What is taken depends on id, source and size alone, so these lead back to the rows.
+    Rows without words (null or empty texts) go; null ids and sources stand for themselves, as in mix().
+    What is taken depends on id, source and text, so the first two and the place lead back to the rows.
+    Rows that agree in these are numbered by a hash of all their columns and stand for the mix's numbers. An empty table gives an empty one.
     """
-    taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    taken = taken.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    taken = _mixed(docs, id_col, text_col, source_col, weights, repeats).where("taken > 0")
+    taken = taken.select(F.col("place").alias("__place"), F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("number").alias("__number"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    taken = written(taken, "taken")
     # The rows travel as one struct, so that no column of theirs meets one of the mix.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.col(source_col).cast("string").alias("own_source"), size.alias("own"))
-    rows = rows.join(taken, F.col("own_id").eqNullSafe(F.col("__id")) & F.col("own_source").eqNullSafe(F.col("__source")) & (F.col("own") == F.col("__size")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
+    keyed = sized(docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), id_col, text_col, source_col, "__row")
+    same = (F.col("place") == F.col("__place")) & F.col("source").eqNullSafe(F.col("__source"))
+    found = keyed.join(taken.where("__copies = 1"), same).select("row", "__times")
+    many = taken.where("__copies > 1")
+    if not many.isEmpty():
+        again = keyed.join(many.select("__place", "__source").distinct(), same, "left_semi")
+        line = Window.partitionBy("place", "source").orderBy(F.xxhash64(F.to_json("row")))  # JSON, because maps have no hash
+        again = again.withColumn("number", F.row_number().over(line)).join(many, same & (F.col("number") == F.col("__number")))
+        found = found.unionByName(again.select("row", "__times"))
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
 
 
 def key_columns(key: list) -> list:
@@ -129,7 +149,8 @@ QUERIES = {"op4_mix_sources": query}
 SQL = {
     "op4_mix_sources": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-                  md5('mix:' || coalesce(doc_id::varchar, 'null')) as place from documents),
+                  md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) as place,
+                  row_number() over () as n from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::int] as weight,
              sum(source_size) over ()::bigint as total, 3 * source_size::double as cap from s),
@@ -138,13 +159,12 @@ l as (select *, (total - coalesce(sum(cap) over (order by ratio, source is null,
                 / sum(weight) over (order by ratio, source is null, encode(source) rows between current row and unbounded following) as level from r),
 c as (select arg_min(level, ratio) as common from l where ratio > level),
 t as (select source, source_size, total, case when common is null then cap else least(cap, common * weight) end as target from l, c),
-q as (select d.doc_id, d.source, d.size, t.source_size, t.total, t.target,
-             sum(d.size) over (partition by d.source order by place, d.size)::bigint as cumulative
+q as (select d.n, d.doc_id, d.source, d.size, t.source_size, t.total, t.target,
+             sum(d.size) over (partition by d.source order by place, n rows between unbounded preceding and current row)::bigint as cumulative
       from d join t on d.source is not distinct from t.source),
 e as (select q.*, ((k * source_size + cumulative) / target)::double as finish from q, (select unnest([0, 1, 2]) as k) where target > 0 and size > 0),
 a as (select *, sum(size) over (order by finish, source is null, encode(source)) as run from e),
-x as (select doc_id, source, size, sum(size) as taken from (select distinct doc_id, source, size, finish from a where run <= total) group by all)
-select q.doc_id, q.size, q.source_size, q.target, coalesce(x.taken, 0)::bigint as taken
-from q left join x on q.doc_id is not distinct from x.doc_id and q.source is not distinct from x.source and q.size = x.size
+x as (select n, sum(size) as taken from a where run <= total group by n)
+select q.doc_id, q.size, q.source_size, q.target, coalesce(x.taken, 0)::bigint as taken from q left join x using (n)
 """,
 }
