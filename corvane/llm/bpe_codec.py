@@ -76,9 +76,9 @@ class Codec:
                     token = word[at:stop]
                     i = get(token)
                     if i is not None:
-                        pair = last[at] << 17 | i
+                        pair = last[at] << 33 | i
                         if not at:
-                            pair |= 1 << 16
+                            pair |= 1 << 32
                         fits = known(pair)
                         if fits is None:
                             fits = may_follow(ends[at], token, pair)
@@ -92,9 +92,9 @@ class Codec:
                 token = word[at:] + end
                 i = get(token)
                 if i is not None:
-                    pair = last[at] << 17 | i
+                    pair = last[at] << 33 | i
                     if not at:
-                        pair |= 1 << 16
+                        pair |= 1 << 32
                     fits = known(pair)
                     if fits is None:
                         fits = may_follow(ends[at], token, pair)
@@ -102,11 +102,12 @@ class Codec:
                         break
             else:
                 raise ValueError(f"no token ends {word!r}")
-            found = raw[i]
+            found = [raw[i]]
             while at:
-                found = raw[last[at]] + found
+                found.append(raw[last[at]])
                 at -= len(ends[at])
-            out[word] = found
+            found.reverse()
+            out[word] = b"".join(found)
         return out
 
     def learn(self, chunks: set[str]) -> None:
