@@ -1,9 +1,10 @@
-"""Toxicity by a classifier chain over the categories insult, contempt and toxic.
+"""Toxicity by a classifier chain: kinds of toxic documents first, toxicity last.
 
 The categories are predicted one after another by linear (logistic) models; each later model also
 sees the probabilities of the earlier categories, and is trained on out-of-fold ones, so that it
-meets in training what it meets in use. labels.toxic marks the last category; the first two are
-toxic documents with a word of a short seed list.
+meets in training what it meets in use. labels.toxic marks the last category. The kinds before it
+are found in the training rows: their toxic documents are clustered by the terms that tell toxic
+documents from others, and each cluster is a category, the largest first.
 """
 
 from __future__ import annotations
@@ -24,12 +25,9 @@ TERMS = 256
 FOLDS = 5
 #: Documents count as toxic from this probability of the last category.
 THRESHOLD = 0.4
-CATEGORIES = ("insult", "contempt", "toxic")
-# Words that mark the first two categories in toxic documents.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum"),
-    "contempt": ("worthless", "pathetic", "disgusting", "trash", "stupid"),
-}
+#: Kinds of toxic documents that are told apart; the chain's last category is toxicity itself.
+KINDS = 2
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -43,8 +41,8 @@ def words(text: str | None) -> set[str]:
     return found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25) -> np.ndarray:
-    """Weights, the intercept last, by Newton's method; a constant target gives its share alone."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 60) -> np.ndarray:
+    """Weights, the intercept last, by Newton's method with halved steps; a constant target gives its share alone."""
     n, d = x.shape
     w = np.zeros(d + 1)
     share = (y.sum() + 0.5) / (n + 1)
@@ -54,11 +52,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25)
     xb = np.hstack([x, np.ones((n, 1))])
     penalty = np.full(d + 1, l2)
     penalty[-1] = 1e-6
+    loss = lambda v: float((np.logaddexp(0, xb @ v) - y * (xb @ v)).sum() + (penalty * v * v).sum() / 2)
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(xb @ w, -35, 35)))
         move = np.linalg.solve((xb * (p * (1 - p) + 1e-9)[:, None]).T @ xb + np.diag(penalty), xb.T @ (p - y) + penalty * w)
-        w -= move * min(1.0, 8.0 / (np.linalg.norm(move) + 1e-12))
-        if np.linalg.norm(move) < 1e-5:
+        size = 1.0
+        while (after := loss(w - size * move)) > now and size > 1e-6:
+            size /= 2
+        w, gain, now = w - size * move, now - after, after
+        if gain < 1e-10 * max(1.0, now):
             break
     return w
 
@@ -67,6 +70,30 @@ def probabilities(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -35, 35)))
 
 
+def kinds_of(x: np.ndarray, kinds: int, rounds: int = 50) -> np.ndarray:
+    """The kind (0, 1, ...) of each row of term marks, by k-means on rows of length 1; the largest kind is 0.
+
+    The first centre is the row nearest to the mean, each next one the row least like those before;
+    among equals the first row, so that the same rows in the same order give the same kinds.
+    """
+    if not len(x):
+        return np.zeros(0, dtype=int)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = unit[[int(np.argmax(unit @ unit.mean(axis=0)))]]
+    while len(centres) < kinds:
+        centres = np.vstack([centres, unit[int(np.argmin((unit @ centres.T).max(axis=1)))]])
+    own = None
+    for _ in range(rounds):
+        near = np.argmax(np.round(unit @ centres.T, 12), axis=1)
+        if own is not None and (near == own).all():
+            break
+        own = near
+        centres = np.vstack([unit[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(kinds)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    order = np.argsort(-np.bincount(own, minlength=kinds), kind="stable")
+    return np.argsort(order)[own]
+
+
 @dataclass
 class Chain:
     terms: dict[str, int]
@@ -109,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 
     Its terms are the `terms` words that the sample's toxic documents use most unlike the others
     (chi-square of presence, more common in toxic ones, in 3 toxic documents at least; ties by the word).
+    The kinds of toxic documents are found by the same terms in the same rows.
     """
     rows = labelled(docs, labels, "toxic", sample, id_col, text_col)
     keyed = rows.select(F.struct("id", "label").alias("key"), "text")
@@ -120,20 +148,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         gap = a * n - m * hot
         strong = used.where((a >= 3) & (gap > 0)).orderBy((gap * gap / (m * (n + 1 - m))).desc(), "word").limit(terms)
         chosen = sorted(r["word"] for r in strong.select("word").collect())
-        seeds = {s for own in SEEDS.values() for s in own}
-        keep = F.array(*map(F.lit, sorted({*chosen, *seeds})))
+        keep = F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")
         got = found.select(F.col("key.label").alias("label"), F.crc32(F.col("key.id").cast("string")).alias("h"), F.array_intersect("words", keep).alias("own")).toPandas()
     finally:
         found.unpersist()
     got = sorted(zip(got["h"], got["label"], map(set, got["own"]), strict=True), key=lambda r: (r[0], r[1], sorted(r[2])))
     chain = Chain({t: i for i, t in enumerate(chosen)}, CATEGORIES, [])
-    y = np.array([[*(bool(label and own & set(SEEDS[c])) for c in CATEGORIES[:-1]), label] for _, label, own in got], dtype=float).reshape(-1, len(CATEGORIES))
-    chain.weights = fit_chain(chain.matrix([own for *_, own in got]), y, np.array([h // 5 % FOLDS for h, *_ in got], dtype=int))
+    x, hot = chain.matrix([own for *_, own in got]), np.array([label == 1 for _, label, _ in got], dtype=bool)
+    y = np.zeros((len(got), len(CATEGORIES)))
+    y[hot, kinds_of(x[hot], KINDS)] = 1
+    y[hot, -1] = 1
+    chain.weights = fit_chain(x, y, np.array([h // 5 % FOLDS for h, *_ in got], dtype=int))
     return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, p_insult, p_contempt, p_toxic and toxic (1 where p_toxic >= threshold) for every whole text.
+    """id, p_kind_1, p_kind_2, p_toxic and toxic (1 where p_toxic >= threshold) for every whole text.
 
     A null or empty text has no terms and gets the chain's base probabilities. A row out for each row
     in: null ids, ties and repeated rows pass through, other columns are not read.
