@@ -24,14 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or the one that the context was given.
+
+    Where neither is set, local sessions (tests) get a temporary folder; on a cluster that would be the driver's own, so it is an error.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         where = context.getCheckpointDir()
-        if not where:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-            where = context.getCheckpointDir()
     return where.rstrip("/")
 
 

@@ -68,7 +68,11 @@ def verdicts(texts: list, model: boosting.FlatTrees, reject: float = REJECT) ->
 
 
 def kept_documents(docs: DataFrame, model: boosting.FlatTrees, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows that apply_rules() keeps, with all their columns."""
+    """The rows that apply_rules() keeps, with all their columns, whatever their names; no row moves.
+
+    A null or empty text has no words and goes. Null ids, ties and repeated rows are judged row by
+    row, by the text alone. An empty table gives an empty one.
+    """
     return keep_rows(docs, text_col, lambda: lambda texts: [v[-1] for v in verdicts(texts, model, reject)])
 
 

@@ -1,9 +1,11 @@
 """Every operator: nulls in any column, empty and very long texts, ties and repeated rows, empty tables, clashing columns."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bm25, bpe_codec, jaccard_join, license_scan, mixing, quality_rank, quality_rules, token_counts, toxicity, warc
+from corvane.llm import bm25, bpe_codec, jaccard_join, license_scan, mixing, quality_rank, quality_rules, token_counts, toxicity, training, warc
 
 LONG = "word " * 60_000 + "Released under the MIT License."
 ROWS = [
@@ -64,6 +66,22 @@ def test_no_labels(docs, labels):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality_rules.apply_rules(docs, quality_rules.fit(docs, none)).collect())
 
 
+def test_labelled_sample_is_bounded(spark):
+    """One document for each sampled id, however many repeat it; held_out is never null."""
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(300)] + [(None, "x"), (0, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)] * 2 + [(None, 1)], "doc_id long, quality int")
+    rows = training.labelled(docs, labels, "quality", 2).collect()
+    free = [i for i in range(3) if zlib.crc32(str(i).encode()) % 5]
+    assert len(rows) == min(2, len(free)) and len({r["id"] for r in rows}) == len(rows)
+    assert training.labelled(docs, labels, "quality", 1).count() == 1
+    assert all(r["held_out"] is not None for r in quality_rank.score(docs, quality_rank.fit(docs, labels)).collect())
+
+
+def test_decoding_edges(spark):
+    got = bpe_codec.decode(spark.createDataFrame([(1, None), (2, []), (None, [0, 49407])], "doc_id long, ids array<int>")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: None, 2: "", None: "! <|endoftext|>"}
+
+
 def test_empty_texts(docs):
     got = {r["doc_id"]: r for r in token_counts.count_tokens(docs).collect() if r["doc_id"] in (2, 3, 4)}
     assert {k: (r["n_bytes"], r["n_tokens"]) for k, r in got.items()} == {2: (0, 0), 3: (0, 0), 4: (4, 0)}
@@ -118,6 +136,15 @@ def test_warc_edges(spark, tmp_path):
     assert sorted((g[0] or "", g[1], g[2]) for g in got) == [("", "revisit", "1"), ("1", "response", None), ("1", "response", None), ("2", "response", None), ("3", "revisit", "1"), ("4", "response", None), ("5", "response", None)]
     assert all(g[5] == body and g[3] == len(body) for g in got if g[0] in (None, "1", "3"))
     assert [g[4] for g in got if g[0] == "3"] == ["http://a\r\nX: y"]
+    for names in (["a%b", "null", None, "a\r\nb", "Z", ""], ["7", "6", "5", "4", "3", None]):
+        rows = [(i, f"http://x/{i}", long) for i in names] + [(i, "http://y", "short") for i in names]
+        path = str(tmp_path / f"text{len(names[0])}")
+        warc.write(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+        got = [(r["row_id"], r["record_type"], r["refers_to"], r["bytes"]) for r in warc.resolve(warc.read(spark, path)).collect()]
+        least = min(i for i in names if i is not None)
+        want = [(i, "response" if i == least else "revisit", None if i == least else least, len(body)) for i in names] + [(i, "response", None, 5) for i in names]
+        order = lambda r: tuple((x is None, x or "") for x in r[:3]) + (r[3],)
+        assert sorted(got, key=order) == sorted(want, key=order)
     empty = str(tmp_path / "none")
     warc.write(pages.limit(0), empty)
     assert warc.read(spark, empty).count() == 0

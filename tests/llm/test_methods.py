@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import bm25, boosting, doc_stats, jaccard_join, license_scan, mixing, quality_rank, quality_rules, signature_tree, toxicity, warc
 
@@ -188,6 +189,80 @@ def test_chain_feeds_later_models():
     assert ((p > 0.5) == (y > 0.5)).mean() > 0.98
 
 
+def test_chain_against_brute_force(spark):
+    """The terms by plain counts, the kinds as a partition of the toxic rows, the folds and the models by their optimality, the scores by loops."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and not held_out(r["doc_id"]) and r["doc_id"] in texts}
+    chain = toxicity.fit(docs, labels)
+    words = {i: toxicity.words(texts[i]) for i in truth}
+    n, hot = len(truth), sum(truth.values())
+    a = Counter(w for i, own in words.items() if truth[i] for w in own)
+    m = Counter(w for own in words.values() for w in own)
+    strength = {w: (a[w] * n - m[w] * hot) ** 2 / (m[w] * (n + 1 - m[w])) for w in a if a[w] >= 3 and a[w] * n > m[w] * hot}
+    assert sorted(chain.terms) == sorted(sorted(strength, key=lambda w: (-strength[w], w))[: toxicity.TERMS])
+    rows = sorted(((zlib.crc32(str(i).encode()), truth[i], words[i] & set(chain.terms)) for i in truth), key=lambda r: (r[0], r[1], sorted(r[2])))
+    x, folds = chain.matrix([own for *_, own in rows]), np.array([h // 5 % toxicity.FOLDS for h, *_ in rows])
+    toxic = np.array([t for _, t, _ in rows], dtype=float)
+    kind = toxicity.kinds_of(x[toxic == 1], toxicity.KINDS)
+    y = np.stack([*(np.bincount(np.flatnonzero(toxic)[kind == k], minlength=n) for k in range(toxicity.KINDS)), toxic], axis=1).astype(float)
+    assert (y[:, :-1].sum(axis=1) == toxic).all()
+    seen = np.zeros((n, 0))
+    for k, w in enumerate(chain.weights):
+        inputs = np.hstack([x, seen])
+        assert len(w) == len(chain.terms) + k + 1
+        if 0 < y[:, k].sum() < n:  # at the least of the penalised loss its gradient is nothing
+            p = np.array([1 / (1 + np.exp(-(sum(r * c for r, c in zip(row, w)) + w[-1]))) for row in inputs])
+            assert np.abs(inputs.T @ (p - y[:, k]) + 0.3 * w[:-1]).max() < 1e-2 and abs((p - y[:, k]).sum()) < 1e-2
+        out = np.zeros(n)
+        for f in set(folds.tolist()):
+            out[folds == f] = toxicity.probabilities(inputs[folds == f], toxicity.fit_logistic(inputs[folds != f], y[folds != f, k]))
+        seen = np.hstack([seen, out[:, None]])
+    for r in toxicity.score(docs, chain).collect():
+        own, ps = toxicity.words(texts[r["doc_id"]]), []
+        for w in chain.weights:
+            ps.append(1 / (1 + np.exp(-(sum(w[i] for t, i in chain.terms.items() if t in own) + sum(p * w[len(chain.terms) + j] for j, p in enumerate(ps)) + w[-1]))))
+        assert np.allclose([r[f"p_{c}"] for c in chain.categories], ps) and r["toxic"] == int(ps[-1] >= toxicity.THRESHOLD)
+
+
+def test_kinds_split_what_is_unlike():
+    rng = np.random.default_rng(3)
+    x = np.zeros((90, 8))
+    x[:60, :4] = rng.random((60, 4)) < 0.8
+    x[60:, 4:] = rng.random((30, 4)) < 0.8
+    x = x[x.sum(axis=1) > 0]
+    kind = toxicity.kinds_of(x, 2)
+    assert (kind == (x[:, 4:].sum(axis=1) > 0)).all()
+    assert toxicity.kinds_of(x[:0], 2).tolist() == [] and set(toxicity.kinds_of(x[:1], 2)) == {0}
+
+
+def test_ranker_against_brute_force(spark):
+    """Pairs, loss and cut by loops: the weights are where the loss of the pairs is least, the scores follow from them."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and not held_out(r["doc_id"]) and r["doc_id"] in texts}
+    ranker = quality_rank.fit(docs, labels)
+    rows = sorted((truth[i], doc_stats.features(doc_stats.base(texts[i]))) for i in truth)
+    rows.sort(key=lambda r: (r[0], r[1][::-1]))
+    f = [[*x, *(min(max(v, 0), 1) ** 0.5 for v in x)] for _, x in rows]
+    f = [[(v - mu) / sd for v, mu, sd in zip(x, ranker.mean, ranker.scale)] for x in f]
+    good, bad = [x for (y, _), x in zip(rows, f) if y == 1], [x for (y, _), x in zip(rows, f) if y == 0]
+    step = max(1, len(good) // quality_rank.PAIRS)
+    pairs = [[g - b for g, b in zip(good[(7 * i + k * step) % len(good)], bad[i])] for i in range(len(bad)) for k in range(quality_rank.PAIRS)]
+    wrong = [1 / (1 + np.exp(sum(d * w for d, w in zip(p, ranker.weights)))) for p in pairs]
+    gradient = [-sum(q * p[j] for q, p in zip(wrong, pairs)) / len(pairs) + 1e-3 * ranker.weights[j] for j in range(len(ranker.weights))]
+    assert max(map(abs, gradient)) < 1e-5
+    raw = sorted(sum(a * b for a, b in zip(x, ranker.weights)) for x in f)
+    place = len(bad) / len(rows) * (len(raw) - 1)
+    low = int(place)
+    assert ranker.cut == pytest.approx(raw[low] + (place - low) * (raw[min(low + 1, len(raw) - 1)] - raw[low]), abs=1e-6)
+    for r in quality_rank.score(docs, ranker).collect():
+        x = doc_stats.features(doc_stats.base(texts[r["doc_id"]]))
+        z = sum((v - mu) / sd * w for v, mu, sd, w in zip([*x, *(min(max(v, 0), 1) ** 0.5 for v in x)], ranker.mean, ranker.scale, ranker.weights))
+        s = 1 / (1 + np.exp(-np.clip((z - ranker.cut) * ranker.slope + np.log(0.3 / 0.7), -35, 35)))
+        assert r["score"] == pytest.approx(s, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == held_out(r["doc_id"])
+
+
 def test_boosting_is_monotone_and_flat():
     rng = np.random.default_rng(2)
     x = rng.random((2000, 3))
@@ -255,6 +330,23 @@ def test_mixing(spark):
     assert again == {(r["doc_id"], r["taken"]) for r in got}
 
 
+def test_mixing_of_repeated_ids(spark):
+    """Rows that repeat an id, or have none, are taken one by one: each source comes near its target."""
+    rows = [(None if i % 2 else 5, "w " * 10, "a") for i in range(400)] + [(i, "v " * 10, "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("extra", F.monotonically_increasing_id())
+    got = mixing.mix(docs).collect()
+    assert len(got) == 800
+    for source, target in (("a", 40000 / 7), ("b", 16000 / 7)):
+        own = [r for r in got if r["source"] == source]
+        assert own[0]["target"] == pytest.approx(target) and abs(sum(r["taken"] for r in own) - target) <= 20
+    again = sorted((r["doc_id"] or 0, r["taken"]) for r in mixing.mix(docs.repartition(5)).collect())
+    assert again == sorted((r["doc_id"] or 0, r["taken"]) for r in got)
+    mixed = Counter((r["source"], r["extra"]) for r in mixing.mixed_documents(docs).collect())
+    assert max(mixed.values()) <= 3
+    for source in "ab":
+        assert sum(n * 10 for (s, _), n in mixed.items() if s == source) == sum(r["taken"] for r in got if r["source"] == source)
+
+
 def test_licenses_found_and_confirmed(spark):
     prose = "some words of prose that say nothing at all about terms"
     rows = [(k, f"{prose}\n{t}\n{prose}", name, 0) for k, (name, t) in enumerate(license_scan.TEMPLATES.items())]

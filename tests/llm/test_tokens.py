@@ -44,6 +44,12 @@ def test_any_text(texts):
     check(texts)
 
 
+def test_long_unbroken_word():
+    """A word of 150,000 letters, whole: work grows with its length alone."""
+    rng = random.Random(2)
+    check(["".join(rng.choices("etaoinshrdlu", k=150_000)), "ab" * 60_000])
+
+
 def test_merges_left_is_the_heap_method():
     rng = random.Random(5)
     for _ in range(500):
