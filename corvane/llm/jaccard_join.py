@@ -9,9 +9,11 @@
 3. In each block a signature tree over the members' bitmaps is traversed against itself: members
    that can't be linked to any other by bitmaps and sizes are left out before their tokens are fetched.
 4. A second tree, with the tokens at hand, is traversed the same way and its last pairs are checked
-   exactly; links that join nothing new are not looked for. A block too large for one task is split
-   by hash, and its leader goes to every part. Members that their part doesn't connect to the leader
-   meet the other parts in one more traversal, tree against tree; other parts need none.
+   exactly; links that join nothing new are not looked for.
+   In both steps a block too large for one task is split by hash, and its leader goes to every part.
+   Members that find nobody in their part (first step) or aren't connected to the leader there
+   (second step) meet the other parts, tree against tree; other parts need none. In the second step
+   bitmaps meet first, and only members that may have a partner there send their tokens.
 5. Components of the links carry the smallest id to all documents.
 """
 
@@ -32,17 +34,17 @@ from .signature_tree import Forest, Possible, bitmap
 #: Cells that count shingles' documents, to put common shingles last. Any counts give right results.
 CELLS = 1 << 22
 #: Most sets, and most tokens, that a part of a block has on average.
-PART_SETS = 2048
+PART_SETS = 512
 PART_TOKENS = 1 << 20
 #: Bits of the bitmap that tells which sets' tokens are wanted: 8 MB.
 SIEVE = 1 << 26
 #: Set digests that a task remembers, to send a set's prefix once.
 REMEMBERED = 100_000
-MAX_ROUNDS = 60
 #: Linked sets share one token of their prefixes, and one more for each STEP tokens.
 STEP = 25
-#: Ways that rows of a common token are dealt before they are counted.
+#: Ways that rows of a common token are dealt before they are counted, and that nodes of one root are when the root moves.
 SALTS = 64
+ROOT_SALTS = 16
 #: Times that sets with too few shared tokens are left out.
 SIFTS = 2
 
@@ -183,19 +185,52 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, rows
 
 
-def possible_members(members: DataFrame, percent: int) -> DataFrame:
-    """The (leader, sid) of members that may be linked to another one of their block. members: leader, sid, n, map, of blocks that one task takes."""
+def possible_members(parts: DataFrame, percent: int) -> DataFrame:
+    """(leader, part, split, sid, alive) of each row: whether the member may be linked to another one of its part. parts: leader, part, split, sid, n, map."""
 
     def run(batches):
         nothing_held()
-        for (leader,), rows in _groups(batches, 1):
-            alive = Possible([r[2] for r in rows], [r[1] for r in rows], percent).alive
-            sid = [r[0] for r, a in zip(rows, alive.tolist(), strict=True) if a]
-            if sid:
-                yield _record([[leader] * len(sid), sid], [pa.int64(), pa.binary()], ["leader", "sid"])
+        for (leader, part), rows in _groups(batches, 2):
+            alive = Possible([r[3] for r in rows], [r[2] for r in rows], percent).alive
+            k = len(rows)
+            yield _record([[leader] * k, [part] * k, [rows[0][0]] * k, [r[1] for r in rows], alive], [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_()], ["leader", "part", "split", "sid", "alive"])
+
+    ordered = parts.select("leader", "part", "split", "sid", "n", "map").repartition("leader", "part").sortWithinPartitions("leader", "part")
+    return ordered.mapInArrow(run, "leader long, part int, split boolean, sid binary, alive boolean")
+
+
+def possible_across(meetings: DataFrame, percent: int) -> DataFrame:
+    """The (leader, part, bundle, loose, sid) of members that may be linked to one of the other side. meetings: these, n and map."""
 
-    ordered = members.select("leader", "sid", "n", "map").repartition("leader").sortWithinPartitions("leader")
-    return ordered.mapInArrow(run, "leader long, sid binary")
+    def run(batches):
+        nothing_held()
+        names, kinds = ["leader", "part", "bundle", "loose", "sid"], [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        for key, rows in _groups(batches, 3):
+            alive = Possible([r[3] for r in rows], [r[2] for r in rows], percent, [r[0] for r in rows]).alive
+            found = [(*key, r[0], r[1]) for r, a in zip(rows, alive.tolist(), strict=True) if a]
+            if found:
+                yield _record(list(zip(*found, strict=True)), kinds, names)
+
+    ordered = meetings.select("leader", "part", "bundle", "loose", "sid", "n", "map").repartition("leader", "part", "bundle").sortWithinPartitions("leader", "part", "bundle")
+    return ordered.mapInArrow(run, "leader long, part int, bundle int, loose boolean, sid binary")
+
+
+def _placed(sized: DataFrame) -> DataFrame:
+    """leader, parts, part and sid of each member (leader, sid, h, n): blocks are dealt by hash into parts, the leader goes to all of its block's."""
+    blocks = sized.groupBy("leader").agg(F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count("*") / PART_SETS)).cast("int").alias("parts"))
+    dealt = sized.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    everywhere = F.when(F.col("h") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    return dealt.select("leader", "parts", "sid", F.explode(everywhere).alias("part"))
+
+
+def _meetings(loose: DataFrame, placed: DataFrame) -> DataFrame:
+    """(leader, part, bundle, loose, sid): the loose members (leader, sid, own part), in bundles, with each other part of their block."""
+    bundles = loose.groupBy("leader").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("bundles"))
+    wide = placed.select("leader", "parts").distinct().join(bundles, "leader")
+    free = loose.join(wide, "leader").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> own")
+    free = free.select("leader", "part", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("bundles")).cast("int").alias("bundle"), F.lit(True).alias("loose"), "sid")
+    held = placed.join(wide.select("leader", "bundles"), "leader").withColumn("bundle", F.explode(F.sequence(F.lit(0), F.col("bundles") - 1)))
+    return free.union(held.select("leader", "part", "bundle", F.lit(False).alias("loose"), "sid"))
 
 
 def within_parts(parts: DataFrame, percent: int) -> DataFrame:
@@ -245,21 +280,23 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round a node takes the smallest label around it, its former root takes it too, and then
     every node takes its label's own label, until no label changes: a number of rounds that grows
-    with the logarithm of the nodes. Each round is a written table in the shared folder.
+    with the logarithm of the nodes. Each round is a written table in the shared folder. What a root
+    becomes is looked up once for each root and dealt ROOT_SALTS ways to the nodes that have it.
     """
     both = written(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy("node").agg(F.min(F.least("node", "to")).alias("root")), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = both.join(labels.select(F.col("node").alias("to"), "root"), "to").groupBy("node").agg(F.min("root").alias("seen"))
         step = labels.join(seen, "node")
         hooks = step.groupBy(F.col("root").alias("node")).agg(F.min("seen").alias("hook"))
-        step = step.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "seen", "hook").alias("root"))
-        jump = step.select(F.col("node").alias("j_node"), F.col("root").alias("j_root"))
-        step = written(step.join(jump, F.col("root") == F.col("j_node")).select("node", "old", F.least("root", "j_root").alias("root")), "labels")
+        step = written(step.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "seen", "hook").alias("root")), "steps")
+        moved = step.select(F.col("node").alias("j_node"), F.col("root").alias("j_root")).where("j_node <> j_root")
+        moved = step.select("root").distinct().join(moved, F.col("root") == F.col("j_node")).select("j_node", "j_root", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("j_salt"))
+        salted = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(ROOT_SALTS)).cast("int"))
+        step = written(salted.join(moved, (F.col("root") == F.col("j_node")) & (F.col("salt") == F.col("j_salt")), "left").select("node", "old", F.least("root", "j_root").alias("root")), "labels")
         labels = step.select("node", "root")
         if step.where(F.col("old") != F.col("root")).isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -299,32 +336,28 @@ def link_sets(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     members = written(_sifted(prefixes(docs, words, percent, common, id_col, text_col), nodes.select("h", "n"), percent).select("leader", "h").distinct(), "members")
     nodes = written(nodes.join(members.select("h").distinct(), "h", "left_semi"), "nodes")
     sized = members.join(nodes, "h").select("leader", "h", "sid", "n", "map")
-    blocks = written(sized.groupBy("leader").agg(F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count("*") / PART_SETS)).cast("int").alias("parts")), "blocks")
-    sized = sized.join(blocks, "leader")
-    alive = possible_members(sized.where("parts = 1"), percent).unionByName(sized.where("parts > 1").select("leader", "sid"))
-    alive = written(alive, "alive")
+    placed = written(_placed(sized), "placed")
+    bodies = nodes.select(F.col("sid").alias("n_sid"), "n", "map")
+    parts = placed.join(bodies, F.col("sid") == F.col("n_sid")).withColumn("split", F.col("parts") > 1)
+    tried = written(possible_members(parts, percent), "tried")
+    alive = tried.where("alive").select("leader", "sid")
+    lone = tried.where(F.col("split") & ~F.col("alive") & (_h("sid") != F.col("leader"))).select("leader", "sid", F.col("part").alias("own"))
+    if not lone.isEmpty():
+        met = possible_across(_meetings(lone, placed).join(bodies, F.col("sid") == F.col("n_sid")), percent)
+        alive = alive.unionByName(met.select("leader", "sid"))
+    alive = written(alive.distinct(), "alive")
     # Texts don't move: they are hashed again where they are, and the wanted sets' tokens are sent.
     tokens = written(tokens_of(docs, words, sieve(alive.select("sid").distinct()), text_col), "tokens")
-    sized = alive.join(nodes.select("sid", "n", "h"), "sid")
-    blocks = sized.groupBy("leader").agg(F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count("*") / PART_SETS)).cast("int").alias("parts"))
-    placed = sized.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    everywhere = F.when(F.col("h") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
-    placed = placed.select("leader", "parts", "sid", F.explode(everywhere).alias("part"))
+    placed = written(_placed(alive.join(nodes.select("sid", "n", "h"), "sid")), "placed")
     # Several tasks may have sent the same set.
-    bodies = tokens.dropDuplicates(["sid"]).select(F.col("sid").alias("t_sid"), "tokens")
-    parts = placed.join(bodies, F.col("sid") == F.col("t_sid")).select("leader", "part", (F.col("parts") > 1).alias("split"), "sid", "tokens")
+    full = tokens.dropDuplicates(["sid"]).select(F.col("sid").alias("t_sid"), "tokens")
+    parts = placed.join(full, F.col("sid") == F.col("t_sid")).select("leader", "part", (F.col("parts") > 1).alias("split"), "sid", "tokens")
     first = written(within_parts(parts, percent), "links")
     links = first.where(F.col("b").isNotNull()).select("a", "b")
     loose = first.where(F.col("b").isNull()).select("leader", F.col("a").alias("sid"), F.col("part").alias("own"))
     if not loose.isEmpty():
-        bundles = loose.groupBy("leader").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("bundles"))
-        wide = placed.select("leader", "parts").distinct().join(bundles, "leader")
-        free = loose.join(wide, "leader").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> own")
-        free = free.select("leader", "part", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("bundles")).cast("int").alias("bundle"), F.lit(True).alias("loose"), "sid")
-        held = placed.join(wide.select("leader", "bundles"), "leader").withColumn("bundle", F.explode(F.sequence(F.lit(0), F.col("bundles") - 1)))
-        held = held.select("leader", "part", "bundle", F.lit(False).alias("loose"), "sid")
-        meetings = free.union(held).join(bodies, F.col("sid") == F.col("t_sid")).drop("t_sid")
-        links = links.union(written(across_parts(meetings, percent), "links"))
+        able = possible_across(_meetings(loose, placed).join(bodies, F.col("sid") == F.col("n_sid")), percent)
+        links = links.union(written(across_parts(able.join(full, F.col("sid") == F.col("t_sid")), percent), "links"))
     return sets, links
 
 
@@ -342,13 +375,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
 
 def _with_roots(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """sets with `first`, the first row (no_id, id, mark) of each one's component; null for sets without shingles."""
+    """sets with `first`, the first row (no_id, id, mark) of each one's component; null for sets without shingles, which meet nobody."""
     nodes = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("own"))
     roots = components(links)
     named = nodes.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("own").alias("first"))
     named = named.select("sid", "root").join(least, "root").select(F.col("sid").alias("c_sid"), "first")
-    return sets.join(named, F.col("sid") == F.col("c_sid"), "left")
+    found = sets.where("n > 0").join(named, F.col("sid") == F.col("c_sid"), "left").drop("c_sid")
+    return found.unionByName(sets.where("n = 0").withColumn("first", F.lit(None).cast(found.schema["first"].dataType)))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

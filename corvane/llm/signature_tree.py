@@ -130,24 +130,30 @@ class Traversal:
 
 
 class Possible(Traversal):
-    """Which members may be linked to any other, by their bitmaps and sizes alone."""
+    """Which members may be linked to any other, by their bitmaps and sizes alone. sides: only pairs of members of different sides count."""
 
-    def __init__(self, maps: list[bytes], sizes: list[int], percent: int):
+    def __init__(self, maps: list[bytes], sizes: list[int], percent: int, sides: list[bool] | None = None):
         super().__init__(percent)
         self.alive = np.zeros(len(maps), dtype=bool)
         by = defaultdict(list)
         for i, m in enumerate(maps):
-            by[len(m)].append(i)
+            by[len(m), bool(sides and sides[i])].append(i)
         sizes = np.array(sizes, dtype=np.int64)
-        held = {}
-        for width, own in by.items():
-            held[width] = np.frombuffer(b"".join(maps[i] for i in own), dtype=np.uint8).reshape(len(own), width).copy()
-        # Linked sets differ too little in size to be more than one width apart.
-        for width, own in by.items():
-            own_tree = self._tree(own, held[width], sizes)
-            self.walk(own_tree, own_tree)
-            if 2 * width in by:
-                self.walk(own_tree, self._tree(by[2 * width], folded(held[2 * width]), sizes))
+        held, trees = {}, {}
+        for (width, side), own in by.items():
+            held[width, side] = np.frombuffer(b"".join(maps[i] for i in own), dtype=np.uint8).reshape(len(own), width).copy()
+            trees[width, side] = self._tree(own, held[width, side], sizes)
+        # Any two widths whose sizes the threshold allows are compared, the wider one folded.
+        for narrow, own in by.items():
+            for wide, other in by.items():
+                if wide[0] < narrow[0] or (wide[0] == narrow[0] and wide[1] < narrow[1]) or (sides and wide[1] == narrow[1]):
+                    continue
+                if 100 * int(sizes[own].max()) < percent * int(sizes[other].min()):
+                    continue
+                bits = held[wide]
+                while bits.shape[1] > narrow[0]:
+                    bits = folded(bits)
+                self.walk(trees[narrow], trees[wide] if wide[0] == narrow[0] else self._tree(other, bits, sizes))
 
     @staticmethod
     def _tree(own: list[int], bits: np.ndarray, sizes: np.ndarray) -> Node | None:

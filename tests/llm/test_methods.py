@@ -57,6 +57,22 @@ def test_jaccard_components(spark, words, percent):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [20, 50, 80, 95])
+def test_jaccard_at_any_threshold(spark, percent, monkeypatch):
+    """Sets of very different sizes link where the threshold allows it; blocks of several parts."""
+    monkeypatch.setattr(jaccard_join, "PART_SETS", 8)
+    rng = random.Random(percent)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 403, 900]))]
+        for _ in range(rng.randrange(1, 8)):
+            rows.append((len(rows), " ".join(base[: int(len(base) * rng.choice([0.22, 0.3, 0.5, 0.55, 0.82, 0.97, 1.0]))])))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, 3, percent).collect()}
+    assert got == components(rows, 3, percent)
+
+
 def test_large_block_is_split_and_whole(spark, monkeypatch):
     """A block over many parts, with members that only other parts connect."""
     monkeypatch.setattr(jaccard_join, "PART_SETS", 16)
