@@ -50,6 +50,18 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """What runs inside gets Arrow batches of n rows at most: for rows that are large by themselves."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def texts_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, list]]:
     """(offset, texts) slices of a string column; null stays None."""
     for at in range(0, batch.num_rows, SLICE):
