@@ -45,8 +45,10 @@ STEP = 25
 #: Ways that rows of a common token are dealt before they are counted, and that nodes of one root are when the root moves.
 SALTS = 64
 ROOT_SALTS = 16
+#: Rows of a slim table (ids and flags) up to which it is broadcast to the sets' tokens, so that these don't move: some 20 MB.
+SLIM = 200_000
 #: Times that sets with too few shared tokens are left out.
-SIFTS = 2
+SIFTS = 1
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -316,14 +318,31 @@ def _sifted(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     together = Window.partitionBy("token", "salt")
     met = rows.withColumn("salt", salt).withColumn("low", F.min("h").over(together)).withColumn("high", F.max("h").over(together))
     met = written(met.where("common or low < high").select("token", "h", "common", "low"), "met")
-    left = met.where("not common").select("token", "h", F.col("low").alias("leader")).unionByName(_shared(met.where("common")))
+    left = met.where("not common").select("token", "h", F.col("low").alias("leader"), "common").unionByName(_shared(met.where("common")).withColumn("common", F.lit(True)))
     need = nodes.groupBy("h").agg((1 + F.floor(F.ceil(F.min("n") * percent / 100) / STEP)).alias("need"))
     for _ in range(SIFTS):
-        enough = left.select("token", "h").groupBy("h").agg(F.count("*").alias("have")).join(need, "h").where("have >= need").select("h")
-        left = written(_shared(left.select("token", "h").join(enough, "h", "left_semi")), "shared")
+        enough = left.groupBy("h").agg(F.count("*").alias("have")).join(need, "h").where("have >= need").select("h")
+        stay = left.select("token", "h", "common").join(enough, "h", "left_semi")
+        alone = Window.partitionBy("token")
+        met = stay.where("not common").withColumn("leader", F.min("h").over(alone)).withColumn("high", F.max("h").over(alone)).where("leader < high")
+        left = met.select("token", "h", "leader", "common").unionByName(_shared(stay.where("common")).withColumn("common", F.lit(True)))
+        left = written(left, "shared")
     return left
 
 
+def _slim(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written, and marked for a broadcast where there are SLIM of them at most."""
+    rows = written(rows, name)
+    return F.broadcast(rows) if rows.count() <= SLIM else rows
+
+
+def _unlike(members: DataFrame) -> DataFrame:
+    """(leader, sid) of the blocks, one of each that has the same members."""
+    marks = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    first = members.groupBy("leader").agg(*marks, F.count("*").alias("k")).where("k > 1").groupBy("mark1", "mark2", "k").agg(F.min("leader").alias("leader"))
+    return members.join(first.select("leader"), "leader", "left_semi")
+
+
 def link_sets(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents' sets (id, mark, n, sid) and links (a, b) of set digests that connect all similar sets."""
     found = written(sets_and_counts(docs, words, id_col, text_col), "sets")
@@ -345,19 +364,19 @@ def link_sets(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     if not lone.isEmpty():
         met = possible_across(_meetings(lone, placed).join(bodies, F.col("sid") == F.col("n_sid")), percent)
         alive = alive.unionByName(met.select("leader", "sid"))
-    alive = written(alive.distinct(), "alive")
+    alive = written(_unlike(alive.distinct()), "alive")
     # Texts don't move: they are hashed again where they are, and the wanted sets' tokens are sent.
-    tokens = written(tokens_of(docs, words, sieve(alive.select("sid").distinct()), text_col), "tokens")
-    placed = written(_placed(alive.join(nodes.select("sid", "n", "h"), "sid")), "placed")
-    # Several tasks may have sent the same set.
-    full = tokens.dropDuplicates(["sid"]).select(F.col("sid").alias("t_sid"), "tokens")
+    # Several tasks may send the same set.
+    tokens = tokens_of(docs, words, sieve(alive.select("sid").distinct()), text_col).dropDuplicates(["sid"])
+    full = written(tokens.select(F.col("sid").alias("t_sid"), "tokens"), "tokens")
+    placed = _slim(_placed(alive.join(nodes.select("sid", "n", "h"), "sid")), "placed")
     parts = placed.join(full, F.col("sid") == F.col("t_sid")).select("leader", "part", (F.col("parts") > 1).alias("split"), "sid", "tokens")
     first = written(within_parts(parts, percent), "links")
     links = first.where(F.col("b").isNotNull()).select("a", "b")
     loose = first.where(F.col("b").isNull()).select("leader", F.col("a").alias("sid"), F.col("part").alias("own"))
     if not loose.isEmpty():
         able = possible_across(_meetings(loose, placed).join(bodies, F.col("sid") == F.col("n_sid")), percent)
-        links = links.union(written(across_parts(able.join(full, F.col("sid") == F.col("t_sid")), percent), "links"))
+        links = links.union(written(across_parts(_slim(able, "able").join(full, F.col("sid") == F.col("t_sid")), percent), "links"))
     return sets, links
 
 
