@@ -82,14 +82,15 @@ def records(pages: DataFrame, files: int, least: int = LEAST, id_col: str = "pag
     are equal in what the join adds, which is made distinct first. Both sides are dealt by a hash of
     the three into `files` partitions, so that payloads move once and copies don't meet in one task.
     """
-    key = lambda i, u, d: F.xxhash64(F.col(i).isNull(), F.col(i).cast("string"), F.col(u), F.col(d))
-    head = _headers(pages, least, id_col, url_col, payload_col).where("record_type = 'revisit'").distinct()
-    head = head.select(key("id", "url", "payload_digest").alias("h_key"), F.col("id").alias("h_id"), F.col("url").alias("h_url"), F.col("payload_digest").alias("h_digest"), "refers_to", "refers_url")
+    told = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    # One key that is never null: the join takes the rows as they are dealt by it.
+    key = lambda i, u, d: F.sha2(F.concat_ws("\n", F.col(d), F.length(told(i)).cast("string"), told(i), told(u)), 256)
+    head = _headers(pages, least, id_col, url_col, payload_col).where("record_type = 'revisit'")
+    head = head.groupBy(key("id", "url", "payload_digest").alias("h_key")).agg(F.any_value("refers_to").alias("refers_to"), F.any_value("refers_url").alias("refers_url"))
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("p_id"), F.col(url_col).cast("string").alias("p_url"), body.alias("p_body"), F.sha2(body.cast("binary"), 256).alias("p_digest"))
     rows = rows.withColumn("p_key", key("p_id", "p_url", "p_digest"))
-    same = (F.col("p_key") == F.col("h_key")) & (F.col("p_digest") == F.col("h_digest")) & F.col("p_id").eqNullSafe(F.col("h_id")) & F.col("p_url").eqNullSafe(F.col("h_url"))
-    rows = rows.repartition(files, "p_key").join(head.repartition(files, "h_key").hint("shuffle_hash"), same, "left")
+    rows = rows.repartition(files, "p_key").join(head.repartition(files, "h_key").hint("shuffle_hash"), F.col("p_key") == F.col("h_key"), "left")
     revisit = F.col("h_key").isNotNull()
     size = F.octet_length("p_body").cast("string")
     block = F.concat(F.lit(_HTTP), F.lit("Content-Length: "), size, F.lit(CRLF + CRLF), F.when(revisit, "").otherwise(F.col("p_body")))
