@@ -13,18 +13,20 @@ def gram(df: DataFrame, features: str, target: str, n_features: int) -> tuple[np
     """(X'X, X'y, rows) in one pass: each task adds up its own matrices, which sum by cell. Sizes depend on the features alone."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         xx, xy, n = np.zeros((n_features, n_features)), np.zeros(n_features), 0
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, n_features)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features)
             xx += x.T @ x
-            xy += x.T @ pdf["y"].to_numpy(dtype=float)
+            xy += x.T @ batch.column(1).to_numpy(zero_copy_only=False)
             n += len(x)
         i, j = np.divmod(np.arange(n_features**2), n_features)
-        yield pd.DataFrame({"i": [*i, *range(n_features), -1], "j": [*j, *[-1] * n_features, -1], "v": [*xx.ravel(), *xy, float(n)]})
+        places = (np.concatenate([i, np.arange(n_features), [-1]]).astype(np.int32), np.concatenate([j, np.full(n_features, -1), [-1]]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, places), pa.array(np.concatenate([xx.ravel(), xy, [float(n)]]))], ["i", "j", "v"])
 
-    cells = df.select(F.col(features).alias("x"), F.col(target).alias("y")).where("x is not null and y is not null").mapInPandas(run, "i int, j int, v double")
+    rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+    cells = rows.where("x is not null and y is not null").mapInArrow(run, "i int, j int, v double")
     xx, xy, n = np.zeros((n_features, n_features)), np.zeros(n_features), 0.0
     for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # n_features ** 2 cells
         if r["i"] < 0:
@@ -100,6 +102,62 @@ def ensemble_score(trees: list[list[dict]], features: list[str], baseline: float
     return 1 / (1 + F.exp(-total)) if logistic else total
 
 
+def exported(model) -> tuple[list[list[dict]], float]:
+    """The trees of a fitted model of boosted() as lists of nodes for ensemble_score(), and its baseline.
+
+    Leaves carry the tree's weight; a node's children follow it. A classifier's margins are doubled, as its probability is logistic in that.
+    """
+    scale = 2.0 if model.__class__.__name__.startswith("GBTClass") else 1.0
+    out = []
+    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
+        nodes: list[dict] = []
+
+        def add(node, nodes=nodes, weight=weight) -> int:
+            at = len(nodes)
+            if node.subtreeDepth() == 0:
+                nodes.append({"value": scale * weight * node.prediction()})
+                return at
+            split = node.split()
+            nodes.append({"feature": split.featureIndex(), "threshold": split.threshold()})
+            nodes[at]["left"] = add(node.leftChild())
+            nodes[at]["right"] = add(node.rightChild())
+            return at
+
+        add(tree._call_java("rootNode"))
+        out.append(nodes)
+    return out, 0.0
+
+
+def export(model, features: list[str], path: str, rows: DataFrame, tolerance: float = 1e-6) -> None:
+    """Writes a fitted model's trees as one JSON text table at path, after a check that they score rows as the model does.
+
+    rows hold the features; where any score differs by more than the tolerance nothing is written and a ValueError says so.
+    """
+    import json
+
+    from pyspark.ml.feature import VectorAssembler
+
+    trees, baseline = exported(model)
+    classify = model.__class__.__name__.startswith("GBTClass")
+    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(rows))
+    from pyspark.ml.functions import vector_to_array
+
+    own = vector_to_array("probability")[1] if classify else F.col("prediction")
+    gap = scored.select(F.max(F.abs(own - ensemble_score(trees, features, baseline, classify))).alias("gap")).first()["gap"]
+    if gap is not None and gap > tolerance:
+        raise ValueError(f"the exported trees differ from the model by {gap}")
+    text = json.dumps({"features": features, "baseline": baseline, "logistic": classify, "trees": trees}, sort_keys=True)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def imported(spark, path: str) -> Column:
+    """The score of a model that export() wrote, as a column over its features."""
+    import json
+
+    spec = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    return ensemble_score(spec["trees"], spec["features"], spec["baseline"], spec["logistic"])
+
+
 def kernel_features(df: DataFrame, features: str, n_features: int, width: float, count: int, seed: int = 0) -> DataFrame:
     """rff array<double>: random Fourier features whose products stand for an RBF kernel."""
     rng = np.random.default_rng(seed)
@@ -123,21 +181,18 @@ def pairwise_ranker(df: DataFrame, query: str, features: str, label: str, n_feat
                 d = p - x[~y]
                 total += (1 / (1 + np.exp(np.clip(d @ w, -30, 30)))) @ d if len(d) else 0
                 pairs += len(d)
-            return pd.DataFrame({"g": [total.tolist()], "n": [pairs]})
+            return pd.DataFrame({"g": [[*total.tolist(), float(pairs)]]})  # the pairs' number comes last
 
         return run
 
     rows = df.select(query, F.col(features).alias("x"), F.col(label).cast("int").alias("y")).persist()
     w = np.zeros(n_features)
     for _ in range(rounds):
-        parts = rows.groupBy(query).applyInPandas(gradients(w), "g array<double>, n long")
-        total = parts.select(F.posexplode("g").alias("i", "v"), F.lit(0).alias("z")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-        n = parts.agg(F.sum("n")).first()[0] or 0
-        if not n:
+        parts = rows.groupBy(query).applyInPandas(gradients(w), "g array<double>").select(F.posexplode("g").alias("i", "v"))
+        total = {r["i"]: r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        if not (n := total.get(n_features, 0)):
             break
-        g = np.zeros(n_features)
-        for r in total:
-            g[r["i"]] = r["v"] / n
+        g = np.array([total[k] / n for k in range(n_features)])
         w += rate * (g - l2 * w)
     rows.unpersist()
     return w

@@ -28,52 +28,76 @@ def merged(peaks: DataFrame, key: list[str], bin_col: str, weight: str) -> DataF
     return peaks.groupBy(*key, bin_col).agg(F.sum(weight).alias("w"))
 
 
-def normalised(peaks: DataFrame, key: list[str], weight: str = "w") -> DataFrame:
-    """Weights over their record's Euclidean norm; records of norm 0 get 0."""
-    norms = peaks.groupBy(*key).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
-    return peaks.join(norms, key).withColumn(weight, F.when(F.col("norm") > 0, F.col(weight) / F.col("norm")).otherwise(0.0)).drop("norm")
+def records(peaks: DataFrame, key: str, bin_col: str, weight: str) -> DataFrame:
+    """(key, peaks: array<struct<bin, w>>, ascending): a record's merged peaks in one row. Peaks are dealt once, by their record."""
+    return merged(peaks.repartition(key), [key], bin_col, weight).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(bin_col).alias("bin"), "w"))).alias("peaks"))
 
 
-def matched(pairs: DataFrame, q: DataFrame, r: DataFrame, q_key: str, r_key: str, bin_col: str = "bin") -> DataFrame:
-    """A row for each bin that both records of a pair have: (q_key, r_key, bin, qw, rw). The join is on record and bin."""
-    left = pairs.select(q_key, r_key).join(q.select(q_key, bin_col, F.col("w").alias("qw")), q_key)
-    return left.join(r.select(r_key, bin_col, F.col("w").alias("rw")), [r_key, bin_col])
+def _total(peaks: Column, of) -> Column:
+    return F.aggregate(peaks, F.lit(0.0), lambda a, p: a + of(p["w"]))
 
 
-def cosine(rows: DataFrame, q_key: str, r_key: str) -> DataFrame:
-    """Sum of products over matched bins of normalised records."""
-    return rows.groupBy(q_key, r_key).agg(F.sum(F.col("qw") * F.col("rw")).alias("sim"))
+def _scaled(peaks: Column, of) -> Column:
+    return F.transform(peaks, lambda p: F.struct(p["bin"].alias("bin"), of(p["w"]).alias("w")))
 
 
-def reverse_cosine(rows: DataFrame, q_key: str, r_key: str) -> DataFrame:
-    """The cosine with the query's norm taken over matched bins alone, the plain cosine, and their mean."""
-    dot, norm = F.sum(F.col("qw") * F.col("rw")), F.sqrt(F.sum(F.col("qw") * F.col("qw")))
-    got = rows.groupBy(q_key, r_key).agg(dot.alias("plain"), F.when(norm > 0, dot / norm).otherwise(0.0).alias("reverse"))
-    return got.withColumn("hybrid", (F.col("plain") + F.col("reverse")) / 2)
+def normalised(rows: DataFrame) -> DataFrame:
+    """records() with weights over their record's Euclidean norm; records of norm 0 get 0."""
+    rows = rows.withColumn("__norm", F.sqrt(_total(F.col("peaks"), lambda w: w * w)))
+    return rows.withColumn("peaks", _scaled(F.col("peaks"), lambda w: F.when(F.col("__norm") > 0, w / F.col("__norm")).otherwise(0.0))).drop("__norm")
+
+
+def entropy_weights(rows: DataFrame) -> DataFrame:
+    """records() with weights that sum to 1; where the entropy S is under 3 they are raised to 0.25 + 0.25 S and sum to 1 again."""
+    share = lambda r, name: r.withColumn(name, _total(F.col("peaks"), lambda w: w)).withColumn("peaks", _scaled(F.col("peaks"), lambda w: w / F.col(name)))
+    rows = share(rows, "__t").withColumn("__s", -_total(F.col("peaks"), lambda p: F.when(p > 0, p * F.ln(p)).otherwise(0.0)))
+    rows = rows.withColumn("peaks", _scaled(F.col("peaks"), lambda p: F.when(F.col("__s") < 3, F.pow(p, 0.25 + 0.25 * F.col("__s"))).otherwise(p)))
+    return share(rows, "__u").drop("__t", "__s", "__u")
+
+
+def met(pairs: DataFrame, rows: DataFrame, key: str, q_key: str, r_key: str) -> DataFrame:
+    """pairs with q_peaks (array) and r_peaks (map from bin to weight): each record joins its pairs once. Only records of a pair are looked at."""
+    held = rows.join(pairs.select(F.col(r_key).alias(key)).union(pairs.select(F.col(q_key).alias(key))).distinct(), key, "left_semi")
+    q = held.select(F.col(key).alias(q_key), F.col("peaks").alias("q_peaks"))
+    r = held.select(F.col(key).alias(r_key), F.map_from_entries("peaks").alias("r_peaks"))
+    return pairs.join(q, q_key).join(r, r_key)
+
 
+def hits(shift: Column | None = None) -> Column:
+    """The (qw, rw) of bins that both sides of met() have, the query's moved down by shift."""
+    both = F.transform("q_peaks", lambda p: F.struct(p["w"].alias("qw"), F.try_element_at("r_peaks", p["bin"] if shift is None else p["bin"] - shift).alias("rw")))
+    return F.filter(both, lambda h: h["rw"].isNotNull())
 
-def entropy_weights(peaks: DataFrame, key: list[str], weight: str = "w") -> DataFrame:
-    """Weights that sum to 1; where the entropy S is under 3 they are raised to 0.25 + 0.25 S and sum to 1 again."""
-    total = peaks.groupBy(*key).agg(F.sum(weight).alias("t"))
-    p = peaks.join(total, key).withColumn("p", F.col(weight) / F.col("t"))
-    s = p.groupBy(*key).agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))).alias("s"))
-    p = p.join(s, key).withColumn("v", F.when(F.col("s") < 3, F.pow("p", 0.25 + 0.25 * F.col("s"))).otherwise(F.col("p")))
-    again = p.groupBy(*key).agg(F.sum("v").alias("u"))
-    return p.join(again, key).withColumn(weight, F.col("v") / F.col("u")).drop("t", "p", "s", "v", "u")
+
+def product(found: Column) -> Column:
+    """Sum of products over matched bins."""
+    return F.aggregate(found, F.lit(0.0), lambda a, h: a + h["qw"] * h["rw"])
+
+
+def cosine(rows: DataFrame) -> DataFrame:
+    """met() of normalised records with sim, the sum of products; pairs without a common bin go."""
+    return rows.withColumn("__hits", hits()).where(F.size("__hits") > 0).withColumn("sim", product(F.col("__hits"))).drop("__hits", "q_peaks", "r_peaks")
+
+
+def reverse_cosine(rows: DataFrame) -> DataFrame:
+    """The cosine with the query's norm taken over matched bins alone, the plain cosine, and their mean."""
+    got = rows.withColumn("__hits", hits()).where(F.size("__hits") > 0).withColumn("plain", product(F.col("__hits")))
+    norm = F.sqrt(F.aggregate("__hits", F.lit(0.0), lambda a, h: a + h["qw"] * h["qw"]))
+    got = got.withColumn("__norm", norm).withColumn("reverse", F.when(F.col("__norm") > 0, F.col("plain") / F.col("__norm")).otherwise(0.0))
+    return got.withColumn("hybrid", (F.col("plain") + F.col("reverse")) / 2).drop("__hits", "__norm", "q_peaks", "r_peaks")
 
 
-def entropy_similarity(rows: DataFrame, q_key: str, r_key: str) -> DataFrame:
+def entropy_similarity(rows: DataFrame) -> DataFrame:
     """Sum of (a+b)ln(a+b) - a ln a - b ln b over matched bins, over ln 4."""
     x = lambda c: c * F.ln(c)
-    a, b = F.col("qw"), F.col("rw")
-    return rows.where((a > 0) & (b > 0)).groupBy(q_key, r_key).agg((F.sum(x(a + b) - x(a) - x(b)) / log(4)).alias("sim"))
+    found = F.filter(hits(), lambda h: (h["qw"] > 0) & (h["rw"] > 0))
+    got = rows.withColumn("__hits", found).where(F.size("__hits") > 0)
+    total = F.aggregate("__hits", F.lit(0.0), lambda a, h: a + x(h["qw"] + h["rw"]) - x(h["qw"]) - x(h["rw"]))
+    return got.withColumn("sim", total / log(4)).drop("__hits", "q_peaks", "r_peaks")
 
 
-def shifted_similarity(pairs: DataFrame, q: DataFrame, r: DataFrame, q_key: str, r_key: str, shift: str) -> DataFrame:
+def shifted_similarity(rows: DataFrame, shift: str) -> DataFrame:
     """The larger of the cosine on the bins as they are and with the record's bins moved by the pair's shift (in bins)."""
-    left = pairs.select(q_key, r_key, shift).join(q.select(q_key, F.col("bin").alias("qbin"), F.col("w").alias("qw")), q_key)
-    modes = F.explode(F.array(F.struct(F.lit("direct").alias("mode"), F.col("qbin").alias("bin")), F.struct(F.lit("shifted").alias("mode"), (F.col("qbin") - F.col(shift)).alias("bin"))))
-    left = left.select(q_key, r_key, "qw", modes.alias("m")).select(q_key, r_key, "qw", "m.mode", "m.bin")
-    hits = left.join(r.select(r_key, "bin", F.col("w").alias("rw")), [r_key, "bin"])
-    sums = hits.groupBy(q_key, r_key, "mode").agg(F.sum(F.col("qw") * F.col("rw")).alias("s"))
-    return sums.groupBy(q_key, r_key).agg(F.coalesce(F.max(F.when(F.col("mode") == "direct", F.col("s"))), F.lit(0.0)).alias("direct"), F.coalesce(F.max(F.when(F.col("mode") == "shifted", F.col("s"))), F.lit(0.0)).alias("shifted"), F.max("s").alias("sim"))
+    got = rows.withColumn("__direct", hits()).withColumn("__shifted", hits(F.col(shift))).where((F.size("__direct") > 0) | (F.size("__shifted") > 0))
+    got = got.withColumn("direct", product(F.col("__direct"))).withColumn("shifted", product(F.col("__shifted")))
+    return got.withColumn("sim", F.greatest("direct", "shifted")).drop("__direct", "__shifted", "q_peaks", "r_peaks")

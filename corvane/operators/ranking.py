@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of a value's range for each key: ranks inside a bucket, offsets between them.
 BUCKETS = 512
+#: Rows of a slot of an order, and the most slots.
+PER_SLOT, MOST_SLOTS = 1_000_000, 4096
 
 
 def tied_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -29,6 +33,54 @@ def tied_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return counts.withColumn("below", F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).select(*by, value, "n", "below", "total")
 
 
+def slotted(df: DataFrame, value: str, name: str = "__slot", per_slot: int | None = None) -> DataFrame:
+    """df with the number of a slot of the value's order: slots hold about PER_SLOT rows each, whatever the distribution.
+
+    Their bounds are approximate quantiles of the value, so results must not depend on them. Rows of one
+    value share a slot. Tables of fewer rows have one slot, and no quantiles are taken.
+    """
+    n = df.count()
+    slots = min(MOST_SLOTS, n // (per_slot or PER_SLOT))
+    if slots < 2:
+        return df.withColumn(name, F.lit(0.0))
+    from pyspark.ml.feature import Bucketizer
+
+    keyed = df.withColumn("__slot_by", F.col(value).cast("double"))
+    bounds = sorted(set(keyed.approxQuantile("__slot_by", [k / slots for k in range(1, slots)], 1 / (4 * slots))))
+    splits = [-float("inf"), *bounds, float("inf")]
+    return Bucketizer(splits=splits, inputCol="__slot_by", outputCol=name, handleInvalid="keep").transform(keyed).drop("__slot_by")
+
+
+def placed(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """name: 0, 1, ... within each key by the order, whose first column is a number.
+
+    Rows are numbered inside slots of that column, and start after the rows of the key's slots before:
+    a key of any share of the rows is numbered by many tasks.
+    """
+    cut = slotted(df, order[0])
+    counts = cut.groupBy(*by, "__slot").agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "__slot", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__slot").orderBy(*order))
+    return _with(cut.withColumn(name, inside - 1), counts, [*by, "__slot"]).withColumn(name, F.col(name) + F.col("__before")).drop("__slot", "__before")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each name of shares: the exact quantile, linearly interpolated.
+
+    Distinct values are counted and cumulated in buckets; only those that hold one of the wanted
+    ranks go on, two for each share and key.
+    """
+    counts = tied_counts(df.select(*by, F.col(value).cast("double").alias("__v")), by, "__v")
+    place = {k: F.lit(float(q)) * (F.col("total") - 1) for k, q in shares.items()}
+    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+    some = reduce(lambda a, b: a | b, [holds(f(x)) for x in place.values() for f in (F.floor, F.ceil)])
+    ends = [F.max(F.when(holds(f(x)), F.col("__v"))).alias(f"__{side}_{k}") for k, x in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = counts.where(some).groupBy(*by).agg(*ends, F.max("total").alias("total"))
+    part = {k: x - F.floor(x) for k, x in place.items()}
+    return got.select(*by, *[(F.col(f"__lo_{k}") + (F.col(f"__hi_{k}") - F.col(f"__lo_{k}")) * part[k]).alias(k) for k in shares])
+
+
 def _with(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(right, by) if by else left.crossJoin(F.broadcast(right))
 
@@ -86,15 +138,20 @@ def changes(by: list[str], order: str, value: str) -> Column:
     return F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
 
 
-def running_before(by: list[str], order: str, value: str) -> Column:
-    """Sum of the rows before, 0 in the first."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(w), F.lit(0))
+def running_before(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of the key's rows before, 0 in the first. order is a number without ties. Sums of slots first, then rows inside their slot."""
+    cut = slotted(df, order)
+    sums = cut.groupBy(*by, "__slot").agg(F.sum(value).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*by, "__slot", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return _with(cut.withColumn(name, F.coalesce(inside, F.lit(0))), sums, [*by, "__slot"]).withColumn(name, F.col(name) + F.col("__before")).drop("__slot", "__before")
 
 
 def quantile_map(scores: DataFrame, by: list[str], score: str, reference: DataFrame, value: str, name: str, tiebreak: str) -> DataFrame:
     """scores with reference values dealt out in score order; tied scores share the mean of theirs. Both sides have as many rows for each key."""
-    w = Window.partitionBy(*by)
-    left = scores.withColumn("__n", F.row_number().over(w.orderBy(score, tiebreak)))
-    right = reference.select(*by, F.col(value).alias("__value"), F.row_number().over(w.orderBy(value)).alias("__n"))
-    return left.join(right, [*by, "__n"]).withColumn(name, F.avg("__value").over(Window.partitionBy(*by, score))).drop("__n", "__value")
+    left = placed(scores, by, [score, tiebreak], "__n")
+    right = placed(reference.select(*by, F.col(value).alias("__value")), by, ["__value"], "__n")
+    dealt = left.join(right, [*by, "__n"])
+    means = dealt.groupBy(*by, score).agg(F.avg("__value").alias(name))
+    return dealt.drop("__n", "__value").join(means, [*by, score])

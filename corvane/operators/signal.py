@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import placed, slotted
+
 #: Percentiles of a window's amplitudes, linearly interpolated.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 
 
 def positions(df: DataFrame, series: str, *order: str) -> DataFrame:
-    """pos: 0, 1, ... within each series by the order."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(series).orderBy(*order)) - 1)
+    """pos: 0, 1, ... within each series by the order, whose first column is a number. One long series is numbered by many tasks."""
+    return placed(df, [series], list(order), "pos")
 
 
 def tumbling(df: DataFrame, size: int) -> DataFrame:
@@ -55,42 +57,74 @@ def rate_ratio(low: Column, high: Column, eps: float = 1e-6) -> Column:
 
 
 def time_to_next(df: DataFrame, series: str, seconds: str, event: Column, tiebreak: str) -> DataFrame:
-    """ttf: seconds from each row to the next row (itself included) where the event holds; null after the last."""
-    w = Window.partitionBy(series).orderBy(F.col(seconds), F.col(tiebreak)).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("ttf", F.min(F.when(event, F.col(seconds))).over(w) - F.col(seconds))
+    """ttf: seconds from each row to the next row (itself included) where the event holds; null after the last.
+
+    Rows look ahead inside their slot of the order, and else take the first event of the slots after it.
+    """
+    cut = slotted(df.withColumn("__at", F.when(event, F.col(seconds))), seconds)
+    ends = cut.groupBy(series, "__slot").agg(F.min("__at").alias("__first"))
+    later = F.min("__first").over(Window.partitionBy(series).orderBy("__slot").rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select(series, "__slot", later.alias("__later"))
+    w = Window.partitionBy(series, "__slot").orderBy(F.col(seconds), F.col(tiebreak)).rowsBetween(0, Window.unboundedFollowing)
+    seen = cut.withColumn("__next", F.min("__at").over(w)).join(ends, [series, "__slot"])
+    return seen.withColumn("ttf", F.coalesce("__next", "__later") - F.col(seconds)).drop("__at", "__slot", "__next", "__later")
+
 
+def loudest(df: DataFrame, series: str, value: str, size: int, stretch: int = 65536) -> DataFrame:
+    """The start of each series' stretch of `size` rows with the largest root mean square, the earliest of equal ones; whole stretches only.
 
-def loudest(df: DataFrame, series: str, value: str, size: int) -> DataFrame:
-    """The start of each series' stretch of `size` rows with the largest root mean square, the earliest of equal ones; whole stretches only."""
-    w = Window.partitionBy(series).orderBy("pos").rowsBetween(0, size - 1)
-    runs = df.withColumn("rms", F.sqrt(F.avg(F.col(value) * F.col(value)).over(w))).withColumn("__n", F.count("*").over(w)).where(F.col("__n") == size)
+    A series is cut into pieces of `stretch` positions, each with the size - 1 rows that follow it.
+    """
+    own = F.floor(F.col("pos") / stretch)
+    again = (F.col("pos") % stretch < size - 1) & (own > 0)
+    pieces = df.select(series, "pos", value, F.explode(F.when(again, F.array(own - 1, own)).otherwise(F.array(own))).alias("__piece"))
+    w = Window.partitionBy(series, "__piece").orderBy("pos").rowsBetween(0, size - 1)
+    runs = pieces.withColumn("rms", F.sqrt(F.avg(F.col(value) * F.col(value)).over(w))).withColumn("__n", F.count("*").over(w)).where((F.col("__n") == size) & (own == F.col("__piece")))
     best = runs.groupBy(series).agg(F.max(F.struct(F.round("rms", 9).alias("rms"), (-F.col("pos")).alias("neg"))).alias("b"))
     return best.select(series, (-F.col("b.neg")).alias("start"), F.col("b.rms").alias("rms"))
 
 
 def spectrum(df: DataFrame, by: list[str], value: str, bands: int = 8) -> DataFrame:
-    """Shares of `bands` equal bands of the power spectrum, its centroid and its 95 % roll-off (as parts of the Nyquist frequency), window by window.
+    """Spectral features of each window: log10 shares of `bands` log-spaced bands of the power spectrum without its
+    constant part, the centroid, and the frequency below which 95 % of the power lies (as parts of the highest one).
 
-    SQL has no Fourier transform: a window's values go to numpy together; a window's size bounds them.
+    Bands run from a thousandth of the highest frequency up to it. SQL has no Fourier transform: windows
+    are gathered as arrays, and a batch's windows of one length are transformed together. Windows of
+    one row have no power.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    names = [*(f"band_{k}" for k in range(bands)), "centroid", "rolloff"]
+
+    def features(x: np.ndarray) -> np.ndarray:
+        power = np.abs(np.fft.rfft(x, axis=1))[:, 1:] ** 2
+        n, m = power.shape
+        if not m:
+            return np.hstack([np.full((n, bands), -12.0), np.zeros((n, 2))])
+        share = np.hstack([np.zeros((n, 1)), np.cumsum(power, axis=1)]) / (power.sum(axis=1, keepdims=True) + 1e-30)
+        at = np.linspace(0, 1, m)
+        edge = np.searchsorted(at, np.geomspace(1e-3, 1.0, bands + 1))
+        low = np.log10(np.maximum(share[:, edge[1:]] - share[:, edge[:-1]], 0) + 1e-12)
+        centroid = np.diff(share, axis=1) @ at
+        rolloff = at[np.minimum((share[:, 1:] < 0.95).sum(axis=1), m - 1)]
+        return np.hstack([low, centroid[:, None], rolloff[:, None]])
 
-    shares = [f"band_{k}" for k in range(bands)]
-
-    def features(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("off")["v"].to_numpy(dtype=float)
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        total = power.sum()
-        if total <= 0:
-            return pd.DataFrame([[*key, *[0.0] * bands, 0.0, 0.0]])
-        f = np.linspace(0, 1, len(power))
-        part = [float(p.sum() / total) for p in np.array_split(power, bands)]
-        return pd.DataFrame([[*key, *part, float((f * power).sum() / total), float(f[np.searchsorted(np.cumsum(power) / total, 0.95)])]])
+    def run(batches):
+        for batch in batches:
+            held = batch.column(len(by))
+            ends = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
+            flat, sizes = held.flatten().to_numpy(zero_copy_only=False), np.diff(ends)
+            out = np.zeros((batch.num_rows, bands + 2))
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                out[own] = features(flat[ends[own][:, None] + np.arange(size)[None, :]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(by))), *(pa.array(c) for c in out.T)], [*by, *names])
 
     kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{s} double" for s in shares), "centroid double", "rolloff double"])
-    return df.select(*by, "off", F.col(value).cast("double").alias("v")).groupBy(*by).applyInPandas(features, schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{c} double" for c in names)])
+    windows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("off", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))).alias("x"))
+    return windows.select(*by, F.transform("x", lambda r: r["v"]).alias("x")).mapInArrow(run, schema)
 
 
 def rms(samples: Column) -> Column:

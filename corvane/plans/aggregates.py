@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import compose, metrics, splits, topk
-from ..operators.ranking import numbered
+from ..operators.ranking import numbered, quantiles
 from ..sources.tables import fingerprints, peaks, scores, spectra
 from .registry import VIEWS, plan
 
 #: A scored candidate table: query = customer, candidate = part, score = its quantity, y = whether it was returned.
-CANDIDATES = "select o_custkey as qid, l_partkey as cid, sum(l_quantity) as score, max((l_returnflag = 'R')::int)::bigint as y from lineitem join orders on l_orderkey = o_orderkey where o_custkey % 5 = 0 group by 1, 2"
+CANDIDATES = "select o_custkey as qid, l_partkey as cid, sum(l_quantity) as score, max((l_returnflag = 'R')::int)::bigint as y from lineitem join orders on l_orderkey = o_orderkey group by 1, 2"
 VIEWS["cand"] = CANDIDATES
 VIEWS["docs"] = "select doc_id, quality, toxic, n_chars, lang from labels join documents using (doc_id)"
 
 
 def candidates(t) -> DataFrame:
-    rows = t.lineitem.join(t.orders.where("o_custkey % 5 = 0"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy(F.col("o_custkey").alias("qid"), F.col("l_partkey").alias("cid")).agg(F.sum("l_quantity").alias("score"), F.max((F.col("l_returnflag") == "R").cast("int")).cast("long").alias("y"))
 
 
@@ -84,12 +84,12 @@ def _(t):
     return t.embeddings.select("vec_id", total(F.zip_with(a, b, lambda x, y: F.greatest(x, y))).alias("top"), total(F.zip_with(a, b, lambda x, y: (x + y) / 2)).alias("mid"))
 
 
-@plan("agg10_gram", "select i::bigint as i, j::bigint as j, round(sum(embedding[i + 1]::double * embedding[j + 1]::double), 4) as v from embeddings, (select unnest(range(0, 4)) as i), (select unnest(range(0, 4)) as j) group by 1, 2")
+@plan("agg10_gram", "select i::bigint as i, j::bigint as j, round(sum(embedding[i + 1]::double * embedding[j + 1]::double), 4) as v from embeddings, (select unnest(range(0, 64)) as i), (select unnest(range(0, 64)) as j) group by 1, 2")
 def _(t):
     from ..operators.models import gram
 
-    xx, _, _ = gram(t.embeddings.select(F.slice("embedding", 1, 4).alias("x"), "label"), "x", "label", 4)
-    return t.spark.createDataFrame([(i, j, round(float(xx[i, j]), 4)) for i in range(4) for j in range(4)], "i long, j long, v double")
+    xx, _, _ = gram(t.embeddings.select(F.col("embedding").alias("x"), "label"), "x", "label", 64)
+    return t.spark.createDataFrame([(i, j, round(float(xx[i, j]), 4)) for i in range(64) for j in range(64)], "i long, j long, v double")
 
 
 @plan("agg11_merged_bins", "select rid, bin, round(sum(w), 6) as w from peaks group by 1, 2", "peaks")
@@ -228,7 +228,8 @@ def _(t):
 
 @plan("agg31_describe", "select o_orderpriority, count(*)::bigint as n, round(avg(o_totalprice), 6) as mean, round(median(o_totalprice), 6) as mid, round(max(o_totalprice), 6) as top from orders group by 1")
 def _(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"), F.percentile("o_totalprice", F.lit(0.5)).alias("mid"), F.max("o_totalprice").alias("top"))
+    plain = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("top"))
+    return plain.join(quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"mid": 0.5}), "o_orderpriority")
 
 
 @plan("agg32_balanced_weights", "with c as (select c_mktsegment, count(*) as n from customer group by 1) select c_custkey, round(0.2::double / n, 6) as w from customer join c using (c_mktsegment)")
@@ -239,7 +240,7 @@ def _(t):
 
 @plan("agg33_quantiles", "select l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) as q{int(q * 1000)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.999)) + " from lineitem group by 1")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(*[F.percentile("l_extendedprice", F.lit(q)).alias(f"q{int(q * 1000)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.999)])
+    return quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {f"q{int(q * 1000)}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.999)})
 
 
 @plan("agg34_clamped_weight", "select lang, round(least((count(*) - sum(toxic)) / greatest(sum(toxic), 1)::double, 50), 6) as w from docs group by 1", "docs")
@@ -315,9 +316,19 @@ def _(t):
     return held.join(sums, F.col("fold") != F.col("g")).groupBy("fold").agg(F.round(F.sum("s") / F.sum("n"), 4).alias("guess"), F.sum("n").alias("rows"))
 
 
-@plan("evl04_leak_guards", "select * from (values ('queries are dropped rows', 0::bigint), ('banned keys are queries'' keys', 0), ('class 3 keys are banned', 0)) v(rule, broken)")
+_BROKEN = """, bad as (select key from p where qclass = 3 and key % 2 = 0 union all select -1), lost as (select rid from o where rid % 3 <> 0)
+select 'queries are dropped rows' as rule, count(*)::bigint as broken from q where rid not in (select rid from lost)
+union all select 'banned keys are queries'' keys', count(*) from bad where key not in (select key from q)
+union all select 'class 3 keys are banned', count(*) from q where qclass = 3 and key not in (select key from bad)"""
+
+
+@plan("evl04_leak_guards", _SPLIT + _BROKEN, "spectra")
 def _(t):
-    return splits.violations(split_of(t), "rid", "key")
+    """The guards over a split with planted faults: lost drop rows, unbanned keys and a banned key that nobody asks for."""
+    split = split_of(t)
+    split["drop"] = split["drop"].where("rid % 3 <> 0")
+    split["banned"] = split["banned"].where("key % 2 = 0").union(t.spark.sql("select -1L as key"))
+    return splits.violations(split, "rid", "key")
 
 
 @plan("evl05_sweep", "select a::double as alpha, b::bigint as k, round(avg(least(o_totalprice * a, b * 100000)), 4) as score from orders, (select unnest([0.2::double, 0.5, 0.8]) as a), (select unnest([1, 2]) as b) group by 1, 2")

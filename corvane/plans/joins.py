@@ -12,7 +12,7 @@ from .registry import plan
 
 
 def asked(t):
-    """The query records: those of one customer in a hundred."""
+    """The stated queries: the records of one customer in a hundred. All records are the library that they search."""
     return spectra(t).where("key % 100 = 0").select("rid", "mz", "key")
 
 
@@ -81,21 +81,20 @@ def _(t):
     return raw.join(names, F.lower(F.trim("raw")) == F.col("name"), "left").select("c_custkey", F.coalesce("k", F.lit(-1)).alias("k"))
 
 
-@plan("jon12_one_to_one", "select vec_id, label::bigint as label, (vec_id in (select vec_id from embeddings))::int::bigint as there from embeddings")
+@plan("jon12_one_to_one", "with k as (select doc_id, count(*)::bigint as n from labels group by 1) select d.doc_id, coalesce(n, 0)::bigint as matches from documents d left join k using (doc_id)")
 def _(t):
-    ids = t.embeddings.select("vec_id", "label")
-    there = t.embeddings.select("vec_id").withColumn("there", F.lit(1))
-    return ids.join(there, "vec_id", "left").select("vec_id", "label", F.coalesce("there", F.lit(0)).alias("there"))
+    """Documents in their own order of ids, with how often the labels name them: 1 is an alignment, 0 and more are planted faults."""
+    named = t.labels.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return t.documents.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
 @plan("jon13_bin_match", "select a.rid as q, r.rid, round(sum(x.w * y.w), 6) as s from asked a join spectra r on abs(r.mz - a.mz) <= a.mz * (1000 / 1e6::double) join peaks x on x.rid = a.rid join peaks y on y.rid = r.rid and x.bin = y.bin group by 1, 2", "spectra asked peaks")
 def _(t):
-    from ..operators.peaks import matched
+    from ..operators import peaks as pk
 
     q = asked(t).select(F.col("rid").alias("q"), F.col("mz").alias("q_mz"))
     pairs = rangejoin.ppm_join(q, "q_mz", spectra(t).select("rid", "mz"), "mz", 1000).select("q", "rid")
-    p = peaks(t)
-    return matched(pairs, p.withColumnRenamed("rid", "q"), p, "q", "rid").groupBy("q", "rid").agg(F.sum(F.col("qw") * F.col("rw")).alias("s"))
+    return pk.cosine(pk.met(pairs, pk.records(peaks(t), "rid", "bin", "w"), "rid", "q", "rid")).select("q", "rid", F.col("sim").alias("s"))
 
 
 @plan("jon14_nearest", "select s_suppkey, round(arg_min(p_retailprice, [abs(p_retailprice - v), p_retailprice]), 6) as near from (select s_suppkey, 900 + abs(s_acctbal) / 10 as v from supplier) s join part on abs(p_retailprice - v) <= 5 group by 1")

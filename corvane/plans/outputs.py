@@ -37,15 +37,25 @@ def _(t):
     return ids.join(wide, "row_id", "left").fillna(0.5, ["click", "view"])
 
 
-@plan("snk06_validator", "select 0::bigint as nulls, 0::bigint as empty, 0::bigint as repeated, 0::bigint as too_long")
+@plan("snk06_validator", f"with base as ({_LIST}), f as (select * from base union all select qid, items from base where qid % 7 = 0 union all select null, items from base where qid % 17 = 0 union all select -qid, '' from base where qid % 11 = 0 union all select -1000000 - qid, null from base where qid % 19 = 0 union all select -2000000 - qid, repeat(items || ';', 30) || items from base where qid % 13 = 0), k as (select qid, count(*) as n from f group by 1) select (select count(*) from f where qid is null or items is null)::bigint as nulls, (select count(*) from f where items = '')::bigint as empty, (select count(*) from k where n > 1)::bigint as repeated, (select count(*) from f where len(string_split(items, ';')) > 25)::bigint as too_long", "cand")
 def _(t):
-    return sinks.submission_faults(submission(t), "qid", "items")
+    """A submission with planted faults of each kind."""
+    base = submission(t)
+    more = [
+        base.where("qid % 7 = 0"),
+        base.where("qid % 17 = 0").withColumn("qid", F.lit(None).cast("long")),
+        base.where("qid % 11 = 0").select(-F.col("qid"), F.lit("")),
+        base.where("qid % 19 = 0").select(-1000000 - F.col("qid"), F.lit(None).cast("string")),
+        base.where("qid % 13 = 0").select(-2000000 - F.col("qid"), F.concat(F.repeat(F.concat("items", F.lit(";")), F.lit(30)), "items")),
+    ]
+    return sinks.submission_faults(reduce(DataFrame.union, more, base), "qid", "items")
 
 
-@plan("snk08_log_once", "select o_orderkey as run, o_orderstatus as status from orders")
+@plan("snk08_log_once", "select o_orderkey as run, case when o_orderkey % 2 = 0 then 'logged' else o_orderstatus end as status from orders")
 def _(t):
+    """Runs that the log has keep what it says of them; the others are added once, although they come twice."""
     runs = t.orders.select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
-    return sinks.log_once(runs, runs.where("run % 2 = 0"), ["run"])
+    return sinks.log_once(runs.union(runs), runs.where("run % 2 = 0").withColumn("status", F.lit("logged")), ["run"])
 
 
 # Models: numeric checks are in the tests; SQL replays what is arithmetic.
@@ -94,8 +104,8 @@ def _(t):
 
 @plan("mlo05_kernel_ridge")
 def _(t):
-    rows = t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
-    rows = models.kernel_features(rows, "x", 8, 0.5, 32)
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
+    rows = models.kernel_features(rows, "x", 64, 1.4, 32)
     xx, xy, _ = models.gram(rows, "rff", "y", 32)
     return rows.select("vec_id", models.dot(F.col("rff"), models.ridge(xx, xy, [1.0])[1.0]).alias("guess"))
 
@@ -109,8 +119,8 @@ def _(t):
 
 @plan("mlo07_pairwise_ranker")
 def _(t):
-    rows = t.embeddings.select(F.col("label").alias("qid"), "vec_id", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("x"), (F.col("embedding")[0] > 0.1).cast("int").alias("y"))
-    w = models.pairwise_ranker(rows, "qid", "x", "y", 4, rounds=5)
+    rows = t.embeddings.select(F.col("label").alias("qid"), "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), (F.col("embedding")[0] > 0.1).cast("int").alias("y"))
+    w = models.pairwise_ranker(rows, "qid", "x", "y", 64, rounds=5)
     return rows.select("qid", "vec_id", "y", models.dot(F.col("x"), w).alias("score"))
 
 
@@ -133,10 +143,10 @@ def _(t):
 @plan("mlo11_pseudo_labels")
 def _(t):
     """Within each fold: a ridge head fitted on the labelled rest, its surest unlabelled rows added, and the head fitted again."""
-    rows = t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"), (F.col("label") < 5).cast("double").alias("y"), group_fold(F.col("vec_id"), 3).alias("fold")).withColumn("known", F.col("vec_id") % 4 == 0)
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), (F.col("label") < 5).cast("double").alias("y"), group_fold(F.col("vec_id"), 3).alias("fold")).withColumn("known", F.col("vec_id") % 4 == 0)
 
     def fit(train):
-        head = lambda some, y: models.ridge(*models.gram(some.withColumn("t", y), "x", "t", 8)[:2], [1.0])[1.0]
+        head = lambda some, y: models.ridge(*models.gram(some.withColumn("t", y), "x", "t", 64)[:2], [1.0])[1.0]
         first = head(train.where("known"), F.col("y"))
         guessed = train.where("not known").withColumn("g", models.dot(F.col("x"), first))
         cut = guessed.agg(F.percentile("g", F.lit(0.9)).alias("hi"), F.percentile("g", F.lit(0.1)).alias("lo"))
@@ -157,18 +167,13 @@ def _(t):
 
 @plan("mlo15_grouped_cv")
 def _(t):
-    rows = t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"), group_fold(F.col("label"), 3).alias("fold"))
-    parts = []
-    for alpha in (0.1, 10.0):
-
-        def fit(train, alpha=alpha):
-            w = models.ridge(*models.gram(train, "x", "y", 8)[:2], [alpha])[alpha]
-            return lambda held: held.withColumn("guess", models.dot(F.col("x"), w))
-
-        folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
-        scored_rows = models.out_of_fold(rows, "fold", folds, fit)
-        parts.append(metrics.error_by_fold(scored_rows, "fold", "y", F.col("guess")).withColumn("alpha", F.lit(alpha)))
-    return reduce(DataFrame.unionByName, parts)
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"), group_fold(F.col("label"), 3).alias("fold"))
+    alphas, parts = [0.1, 10.0], []
+    for fold in range(3):  # one pass over a fold's training rows serves all settings
+        found = models.ridge(*models.gram(rows.where(F.col("fold") != fold), "x", "y", 64)[:2], alphas)
+        held = rows.where(F.col("fold") == fold)
+        parts += [held.select("fold", "y", models.dot(F.col("x"), found[a]).alias("guess"), F.lit(a).alias("alpha")) for a in alphas]
+    return metrics.error_by_fold(reduce(DataFrame.unionByName, parts).withColumn("group", F.struct("alpha", "fold")), "group", "y", F.col("guess")).select("group.*", "*").drop("group")
 
 
 @plan("mlo16_staged_metrics", "with a as (select event_type as class, avg(value) as m from events group by 1) select 'raw' as stage, round(avg(m), 6) as metric from a union all select 'clipped', round(avg(least(m, 50)), 6) from a")

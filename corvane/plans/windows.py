@@ -64,7 +64,7 @@ def _(t):
 
 @plan("win09_prefix_sum", "select event_id, round(coalesce(sum(value) over (partition by series order by event_id rows between unbounded preceding and 1 preceding), 0), 4) as before from signal", "signal")
 def _(t):
-    return signal(t).select("event_id", F.round(ranking.running_before(["series"], "event_id", "value"), 4).alias("before"))
+    return ranking.running_before(signal(t), ["series"], "event_id", "value", "before").select("event_id", F.round("before", 4).alias("before"))
 
 
 @plan("win10_first_crossing", "with c as (select l_orderkey, l_linenumber, sum(l_quantity) over (partition by l_orderkey order by l_linenumber) / sum(l_quantity) over (partition by l_orderkey) as share from lineitem) select l_orderkey, min(l_linenumber)::bigint as at from c where share >= 0.95 group by 1")
@@ -86,7 +86,7 @@ def _(t):
     return ranking.quantile_map(left, ["label"], "s", right, "v", "mapped", "vec_id").select("vec_id", "mapped")
 
 
-@plan("win13_sliding_windows", f"with {_POS}, w as (select series, k, value from p, (select unnest(range(0, 200)) as k) where pos >= k * 5 and pos < k * 5 + 20) select series, k::bigint as win, count(*)::bigint as rows, round(avg(value), 6) as mean from w group by 1, 2", "signal")
+@plan("win13_sliding_windows", f"with {_POS}, w as (select series, k, value from p, (select unnest(range(0, (select max(pos) // 5 + 1 from p))) as k) where pos >= k * 5 and pos < k * 5 + 20) select series, k::bigint as win, count(*)::bigint as rows, round(avg(value), 6) as mean from w group by 1, 2", "signal")
 def _(t):
     return sig.sliding(placed(t), 20, 5).groupBy("series", "win").agg(F.count("*").alias("rows"), F.avg("value").alias("mean"))
 

@@ -45,11 +45,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def add_shards(df: DataFrame, path: str, shard: str) -> DataFrame:
     """Writes the shards that aren't at path yet, each as a partition folder, and returns the table. A rerun adds only what is missing."""
     spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path).select(shard).distinct()
-        df = df.join(there, shard, "left_anti")
-    except AnalysisException:
-        pass
+    if exists(spark, path):  # anything else that is wrong with the table there is an error
+        df = df.join(spark.read.parquet(path).select(shard).distinct(), shard, "left_anti")
     df.write.mode("append").partitionBy(shard).parquet(path)
     return spark.read.parquet(path)
 
@@ -68,5 +65,5 @@ def cached(make, spark: SparkSession, folder: str, name: str, version: int, **se
 
 
 def log_once(runs: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
-    """The log with the runs' rows whose key it lacks."""
-    return log.unionByName(runs.join(log.select(*key).distinct(), key, "left_anti"))
+    """The log with the runs whose key it lacks, one row for each key."""
+    return log.unionByName(runs.join(log.select(*key).distinct(), key, "left_anti").dropDuplicates(key))
