@@ -166,7 +166,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
         return work
 
-    return per_text(docs, id_col, text_col, "ids array<int>, n_tokens long", make)
+    return per_text(docs, id_col, text_col, "ids array<int>, n_tokens long", make, keeps=True)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -206,7 +206,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return work
 
-    return per_text(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return per_text(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, keeps=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

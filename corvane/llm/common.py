@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -79,9 +80,20 @@ def held(key: str, make: Callable):
     return _held[key]
 
 
+#: What else workers remember: functions that let it go.
+FORGET: list[Callable] = []
+
+
 def nothing_held() -> None:
-    """Called by tasks that keep nothing: the worker's memory is theirs."""
+    """Called by tasks that keep nothing: the worker's memory is theirs, and what earlier tasks had freed goes back to the system."""
     _held.clear()
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
 
 
 @contextmanager
@@ -96,9 +108,11 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
-def per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list], list]], keeps: bool = False) -> DataFrame:
     """A row per input row: the id (any type, null too) and what the function that make() returns gives for its text.
 
+    keeps: make() uses held(), for the worker's next tasks.
+
     make() runs once in each task, so that models and caches are set up on the executor; the
     function gets a list of texts (None for null) and returns a list of tuples in schema's order.
     """
@@ -112,6 +126,8 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Cal
     fields = ["__id", *names.fieldNames()]
 
     def run(batches):
+        if not keeps:
+            nothing_held()
         work = make()
         for batch in batches:
             for at, texts in texts_of(batch):

@@ -95,7 +95,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = held(f"counter {path}", lambda: Counter(path))  # serves all the worker's tasks
         return lambda texts: [(len(t.encode()) if t else 0, n := own.count(t), n > limit) for t in texts]
 
-    return per_text(docs, id_col, text_col, "n_bytes long, n_tokens long, over_limit boolean", make)
+    return per_text(docs, id_col, text_col, "n_bytes long, n_tokens long, over_limit boolean", make, keeps=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 from functools import lru_cache
 from itertools import islice
 
+from .common import FORGET
+
 END = "</w>"
 #: str.split() also splits at these, the tokenizer does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -87,11 +89,14 @@ def _bytes_in_text():
             yield c, k, b
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+FORGET.append(vocabulary.cache_clear)
+
+
 class Memory(dict):
     """What a worker remembers, at most `most` entries. When it is full the older half stays: common words come early."""
 
