@@ -158,6 +158,16 @@ def imported(spark, path: str) -> Column:
     return ensemble_score(spec["trees"], spec["features"], spec["baseline"], spec["logistic"])
 
 
+def mlp_probe(train: DataFrame, features: str, label: str, n_features: int, classes: int, hidden: int = 32, iterations: int = 60) -> Callable[[DataFrame], DataFrame]:
+    """A network of one hidden layer on array features; what it returns adds `guess`, the likeliest class 0 to classes - 1."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    ready = lambda df: df.withColumn("__x", array_to_vector(features))
+    probe = MultilayerPerceptronClassifier(layers=[n_features, hidden, classes], featuresCol="__x", labelCol=label, predictionCol="guess", probabilityCol="__p", rawPredictionCol="__r", seed=1, maxIter=iterations).fit(ready(train))
+    return lambda df: probe.transform(ready(df)).drop("__x", "__p", "__r")
+
+
 def kernel_features(df: DataFrame, features: str, n_features: int, width: float, count: int, seed: int = 0) -> DataFrame:
     """rff array<double>: random Fourier features whose products stand for an RBF kernel."""
     rng = np.random.default_rng(seed)

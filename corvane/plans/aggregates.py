@@ -338,7 +338,18 @@ def _(t):
     return rows.groupBy("s.alpha", "s.k").agg(F.round(F.avg(F.least(F.col("o_totalprice") * F.col("s.alpha"), F.col("s.k") * 100000.0)), 4).alias("score"))
 
 
-@plan("evl06_dilution", "with s as (select unnest([0.25::double, 0.5, 1.0]) as share) select share, count(p_partkey)::bigint as pool, round(avg(p_retailprice), 6) as mean from s join part on ('0x' || substr(md5('d:' || p_partkey), 1, 8))::bigint < share * 4294967296 group by 1")
+_SHARE = "('0x' || substr(md5('d:' || s.rid), 1, 8))::bigint"
+
+
+@plan("evl06_dilution", f"with c as (select a.rid as q, a.key as qkey, s.rid, s.key, round(abs(s.mz - a.mz), 6) as gap, a.mz, {_SHARE} as h from asked a join spectra s on abs(s.mz - a.mz) <= a.mz * (2000 / 1e6::double) and s.rid <> a.rid), w as (select share::double as share, ppm::bigint as ppm, c.*, row_number() over (partition by share, ppm, q order by gap, rid) as n from c, (select unnest([0.25::double, 0.5, 1.0]) as share), (select unnest([500, 2000]) as ppm) where h < share * 4294967296 and gap <= mz * (ppm / 1e6::double)), r as (select share, ppm, q, count(*) as pool, min(case when key = qkey then n end) as n from w group by 1, 2, 3) select share, ppm, count(*)::bigint as queries, round(avg(pool), 6) as pool, round(avg(coalesce(1.0::double / n, 0)), 6) as mrr from r group by 1, 2", "spectra asked")
 def _(t):
-    parts = [t.part.where(topk.fraction("d", x, F.col("p_partkey"))).agg(F.lit(x).alias("share"), F.count("*").alias("pool"), F.avg("p_retailprice").alias("mean")) for x in (0.25, 0.5, 1.0)]
-    return reduce(DataFrame.union, parts)
+    """Quality against the library's share and the window's width: queries find the nearest records, right are those of their own customer."""
+    from ..operators import rangejoin
+    from .joins import asked
+
+    a = asked(t).select(F.col("rid").alias("q"), F.col("mz").alias("q_mz"), F.col("key").alias("qkey"))
+    near = rangejoin.ppm_join(a, "q_mz", spectra(t).select("rid", "mz", "key"), "mz", 2000).where("q <> rid").withColumn("gap", F.round(F.abs(F.col("mz") - F.col("q_mz")), 6))
+    some = [near.where(topk.fraction("d", x, F.col("rid")) & (F.col("gap") <= F.col("q_mz") * (ppm / 1e6))).select(F.lit(x).alias("share"), F.lit(ppm).alias("ppm"), "q", "qkey", "rid", "key", "gap") for x in (0.25, 0.5, 1.0) for ppm in (500, 2000)]
+    w = Window.partitionBy("share", "ppm", "q").orderBy("gap", "rid")
+    found = reduce(DataFrame.union, some).withColumn("n", F.row_number().over(w)).groupBy("share", "ppm", "q").agg(F.count("*").alias("pool"), F.min(F.when(F.col("key") == F.col("qkey"), F.col("n"))).alias("n"))
+    return found.groupBy("share", "ppm").agg(F.count("*").alias("queries"), F.avg("pool").alias("pool"), F.avg(F.coalesce(1.0 / F.col("n"), F.lit(0.0))).alias("mrr"))

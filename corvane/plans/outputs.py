@@ -165,6 +165,14 @@ def _(t):
     return rows.groupBy("mapped", "labelled").agg(F.count("*").alias("classes"))
 
 
+@plan("mlo14_mlp_probe")
+def _(t):
+    """Each row's class as a network sees it that was fitted without the row's fold."""
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"), group_fold(F.col("vec_id"), 2).alias("fold"))
+    fit = lambda train: lambda held: models.mlp_probe(train, "x", "y", 64, 10, iterations=20)(held).select("vec_id", "fold", "y", "guess")
+    return models.out_of_fold(rows, "fold", [0, 1], fit)
+
+
 @plan("mlo15_grouped_cv")
 def _(t):
     rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"), group_fold(F.col("label"), 3).alias("fold"))

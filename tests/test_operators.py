@@ -300,3 +300,11 @@ def test_exported_trees_score_like_the_model(spark, tmp_path, classify):
     assert np.mean(gap) < 0.4
     with pytest.raises(ValueError):
         models.export(model, ["a", "c", "b"], str(tmp_path / "other"), df.select(F.col("a"), (F.col("b") + 5).alias("c"), F.col("c").alias("b")).union(df.select("a", "b", "c")), tolerance=-1.0)
+
+
+def test_mlp_probe_tells_what_no_line_can(spark):
+    rng = np.random.default_rng(10)
+    x = rng.uniform(-1, 1, (400, 2))
+    df = spark.createDataFrame([([float(a), float(b)], float(a * b > 0)) for a, b in x], "x array<double>, y double")
+    got = models.mlp_probe(df, "x", "y", 2, 2, hidden=12, iterations=200)(df).collect()
+    assert np.mean([r["guess"] == r["y"] for r in got]) > 0.9
