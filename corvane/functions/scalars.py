@@ -51,3 +51,11 @@ def spaced(low: float, high: float, n: int, geometric: bool = False) -> Column:
     if geometric:
         return F.transform(steps, lambda i: low * F.pow(F.lit(high / low), i / float(n - 1)))
     return F.transform(steps, lambda i: low + (high - low) * i / float(n - 1))
+
+
+def half(value: Column) -> Column:
+    """A number as half precision holds it, as a double: 11 significant bits, halves to even, 2 ** -24 apart below 2 ** -14, infinite from 65520 on."""
+    v = value.cast("double")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-14)) - 10)
+    held = F.when(v == 0, v).otherwise(F.rint(v / step) * step)
+    return F.when(F.abs(v) >= 65520, F.signum(v) * float("inf")).when(F.isnan(v), v).otherwise(held)

@@ -172,10 +172,11 @@ def _(t):
     return t.part.groupBy("p_size").agg(F.size(F.array_distinct(F.transform(F.collect_list("p_retailprice"), lambda x: F.round(x, 1)))).alias("n"))
 
 
-@plan("scf31_storage_width")
+@plan("scf31_storage_width", "with v as (select vec_id, unnest(embedding)::double as x from embeddings), h as (select vec_id, x, case when x = 0 then x else round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) end as s from v) select vec_id, round(sum(s), 6) as total, round(max(abs(s - x)) * 1e4, 6) as off from h group by 1")
 def _(t):
-    """Spark has no half-precision type: values are stored as floats, and computed on as doubles."""
-    return t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double").cast("float")).alias("stored"))
+    """Spark has no half-precision type: values are rounded to what it holds, and stored and computed on as doubles."""
+    v = t.embeddings.select("vec_id", F.explode("embedding").alias("x")).withColumn("s", fx.half(F.col("x")))
+    return v.groupBy("vec_id").agg(F.sum("s").alias("total"), (F.max(F.abs(F.col("s") - F.col("x").cast("double"))) * 1e4).alias("off"))
 
 
 @plan("scf32_decibels", "select p_partkey, round(pow(10, p_size / 20.0::double), 6) as gain, round(10 * log10(p_retailprice), 6) as db from part")

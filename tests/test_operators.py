@@ -308,3 +308,32 @@ def test_mlp_probe_tells_what_no_line_can(spark):
     df = spark.createDataFrame([([float(a), float(b)], float(a * b > 0)) for a, b in x], "x array<double>, y double")
     got = models.mlp_probe(df, "x", "y", 2, 2, hidden=12, iterations=200)(df).collect()
     assert np.mean([r["guess"] == r["y"] for r in got]) > 0.9
+
+
+def test_half_precision_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    x = [0.0, -0.0, 1.0, 2.0**-24, 2.0**-25, 3 * 2.0**-25, 65504.0, 65519.0, 65520.0, -1e9, 2049.0, 2051.0, *(rng.normal(size=500) * 10.0 ** rng.integers(-8, 5, 500))]
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").select("i", scalars.half(F.col("v")).alias("h")).collect()
+    with np.errstate(over="ignore"):
+        assert all(r["h"] == float(np.float16(x[r["i"]])) for r in got)
+
+
+def test_hashed_crop_and_out_of_fold(spark, tables):
+    """The crop's start is the hash's remainder and its values follow; each fold's guesses come from the other folds' ridge."""
+    from hashlib import md5
+
+    from corvane import plans
+
+    from .conftest import SMALL
+
+    rows = {r["vec_id"]: r["embedding"] for r in tables.embeddings.collect()}
+    for r in plans.QUERIES["win19_hashed_crop"](spark, SMALL).collect():
+        start = int(md5(f"crop:{r['vec_id']}".encode()).hexdigest()[:8], 16) % (len(rows[r["vec_id"]]) - 16 + 1)
+        assert r["start"] == start and r["crop"] == rows[r["vec_id"]][start : start + 16]
+    orders = [(o["o_orderkey"], int(md5(f"fold:{o['o_custkey']}".encode()).hexdigest()[:8], 16) % 3, o["o_custkey"] % 100, o["o_totalprice"]) for o in tables.orders.collect()]
+    got = {r["o_orderkey"]: r for r in plans.QUERIES["evl07_out_of_fold"](spark, SMALL).collect()}
+    for fold in range(3):
+        train = np.array([[1.0, x, y] for _, f, x, y in orders if f != fold])
+        w = np.linalg.solve(train[:, :2].T @ train[:, :2] + np.eye(2), train[:, :2].T @ train[:, 2])
+        assert all(got[k]["fold"] == f and got[k]["guess"] == pytest.approx(w[0] + w[1] * x, rel=1e-6) for k, f, x, _ in orders if f == fold)
+    assert len(got) == len(orders)
