@@ -12,6 +12,11 @@ from math import log1p
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import MOST_SLOTS, slotted
+
+#: Rows of a slot of an order that rows and points share.
+PER_SLOT = 100_000
+
 
 def _bins(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(low.cast("long"), high.cast("long")))
@@ -42,36 +47,66 @@ def shifted_join(queries: DataFrame, q_value: str, q_id: str, library: DataFrame
     return absolute_join(moved, "__moved", library.select(l_id, l_value), l_value, tolerance).select(q_id, l_id).distinct()
 
 
-def interval_join(rows: DataFrame, value: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
+def interval_join(rows: DataFrame, value: str, intervals: DataFrame, low: str, high: str, per_slot: int = PER_SLOT) -> DataFrame:
     """Each row with the interval that holds its value (low <= value < high); intervals don't overlap.
 
     An as-of join without pairs: both sides are put in one order and each row takes the last
     interval that began. Rows before the first or after the last interval are left out.
-    Ordering goes by buckets of the value, and a bucket starts with the interval open at its start.
+    Ordering goes by slots of the order, and a slot starts with the interval open at its start.
     """
-    return _as_of(rows, value, intervals, low).where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+    return _as_of(rows, value, intervals, low, per_slot).where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
 
 
-def _as_of(rows: DataFrame, value: str, points: DataFrame, at: str, buckets: int = 256) -> DataFrame:
-    """Each row with the point of the largest `at` <= value (none: nulls)."""
+def _as_of(rows: DataFrame, value: str, points: DataFrame, at: str, per_slot: int = PER_SLOT) -> DataFrame:
+    """Each row with the point of the largest `at` <= value (none, or no value: nulls). Slots of the order hold like numbers of rows and points."""
     names = points.columns
-    span = points.agg(F.min(at).alias("a"), F.max(at).alias("b"))
-    place = lambda c: F.when(F.col("b") > F.col("a"), F.least(F.greatest(F.floor((c - F.col("a")) / (F.col("b") - F.col("a")) * buckets), F.lit(-1)), F.lit(buckets))).otherwise(F.when(c < F.col("a"), -1).otherwise(0)).cast("long")
-    span = F.broadcast(span)  # one row
-    packed = points.crossJoin(span).select(place(F.col(at)).alias("__bucket"), F.col(at).alias("__at"), F.struct(*names).alias("__point"))
-    # The last point of each bucket opens the following ones: one row for each bucket.
-    ends = packed.groupBy("__bucket").agg(F.max_by("__point", "__at").alias("__point"))
-    ends = span.sparkSession.range(-1, buckets + 1).select(F.col("id").alias("__bucket")).join(F.broadcast(ends), "__bucket", "left")
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    opens = ends.select("__bucket", F.last("__point", ignorenulls=True).over(before).alias("__open"))
-    mine = rows.crossJoin(span).select(place(F.col(value)).alias("__bucket"), F.col(value).alias("__at"), F.struct(*rows.columns).alias("__row"))
+    packed = points.where(F.col(at).isNotNull()).select(F.col(at).alias("__at"), F.struct(*names).alias("__point"))
+    mine = rows.select(F.col(value).alias("__at"), F.struct(*rows.columns).alias("__row"))
     both = packed.withColumn("__row", F.lit(None).cast(mine.schema["__row"].dataType)).unionByName(mine.withColumn("__point", F.lit(None).cast(packed.schema["__point"].dataType)))
-    line = Window.partitionBy("__bucket").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__last", F.last("__point", ignorenulls=True).over(line)).where(F.col("__row").isNotNull())
-    found = seen.join(F.broadcast(opens), "__bucket", "left").withColumn("__hit", F.coalesce("__last", "__open"))
+    cut = slotted(both, "__at", per_slot=per_slot)
+    # The last point of each slot opens the following ones: one row for each slot.
+    ends = cut.where("__point is not null").groupBy("__slot").agg(F.max_by("__point", "__at").alias("__point"))
+    ends = rows.sparkSession.range(MOST_SLOTS + 1).select(F.col("id").cast("double").alias("__slot")).join(F.broadcast(ends), "__slot", "left")
+    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    opens = ends.select("__slot", F.last("__point", ignorenulls=True).over(before).alias("__open"))
+    line = Window.partitionBy("__slot").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = cut.withColumn("__last", F.last("__point", ignorenulls=True).over(line)).where(F.col("__row").isNotNull())
+    found = seen.join(F.broadcast(opens), "__slot", "left").withColumn("__hit", F.when(F.col("__at").isNotNull(), F.coalesce("__last", "__open")))
     return found.select("__row.*", *[F.col("__hit")[c].alias(c) for c in names])
 
 
+def window_counts(rows: DataFrame, value: str, library: DataFrame, at: str, tolerance: float, per_slot: int = PER_SLOT) -> DataFrame:
+    """rows with n, the number of library rows with abs(at - value) <= tolerance, and most, the largest such `at` (none: 0 and null).
+
+    No pairs are made, so a window may hold any share of the library: distinct values of `at` are
+    counted and cumulated, and each distinct value looks up where its window ends. Values that differ
+    from each other by rounding alone (4e-15 of their size) may fall on either side of a window's edge.
+    """
+    v, lib = F.col("__value"), F.col("__lib")
+    slack = (F.abs(v) + tolerance) * 4e-15
+    looks = {"over": v + tolerance + slack, "sure": v + tolerance - slack, "low": v - tolerance + slack}
+    held = library.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("double").alias("__at")).agg(F.count("*").alias("__n"))
+    asks = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("__value")).distinct()
+    asks = asks.select("__value", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("at")) for k, x in looks.items()])).alias("l")).select("__value", F.col("l.kind").alias("__kind"), F.col("l.at").alias("__at"))
+    cut = slotted(held.unionByName(asks, allowMissingColumns=True), "__at", per_slot=per_slot)
+    ends = cut.where("__kind is null").groupBy("__slot").agg(F.sum("__n").alias("__sum"), F.max("__at").alias("__end"), F.max_by("__n", "__at").alias("__of_end"))
+    ends = rows.sparkSession.range(MOST_SLOTS + 1).select(F.col("id").cast("double").alias("__slot")).join(F.broadcast(ends), "__slot", "left")
+    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    opens = ends.select("__slot", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), F.last("__end", ignorenulls=True).over(before).alias("__open"), F.last("__of_end", ignorenulls=True).over(before).alias("__of_open"))
+    line = Window.partitionBy("__slot").orderBy("__at", F.col("__kind").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda x: F.last(F.when(F.col("__kind").isNull(), F.col(x)), ignorenulls=True).over(line)
+    seen = cut.withColumns({"__sum": F.coalesce(F.sum("__n").over(line), F.lit(0)), "__last": last("__at"), "__of_last": last("__n")}).where("__kind is not null")
+    seen = seen.join(F.broadcast(opens), "__slot").withColumns({"__lib": F.coalesce("__last", "__open"), "__upto": F.col("__before") + F.col("__sum")})
+    seen = seen.withColumn("__below", F.col("__upto") - F.coalesce("__of_last", "__of_open", F.lit(0)))
+    of = lambda kind, x: F.max(F.when(F.col("__kind") == kind, x))
+    ends = seen.groupBy("__value").agg(
+        (of("over", F.when(lib - v > tolerance, F.col("__below")).otherwise(F.col("__upto"))) - of("low", F.when(v - lib <= tolerance, F.col("__below")).otherwise(F.col("__upto")))).alias("n"),
+        F.coalesce(of("over", F.when(lib - v <= tolerance, lib)), of("sure", lib)).alias("most"),
+    )
+    ends = ends.select(F.col("__value").alias(value), "n", F.when(F.col("n") > 0, F.col("most")).alias("most"))
+    return rows.join(ends, value, "left").withColumn("n", F.coalesce("n", F.lit(0))).select(*rows.columns, "n", "most")
+
+
 def nearest_join(rows: DataFrame, value: str, points: DataFrame, at: str, tolerance: float) -> DataFrame:
     """Each row with the nearest point's `at` within the tolerance (the smaller on ties), else null. Rows need no key."""
     keyed = rows.withColumn("__row", F.struct(*rows.columns))

@@ -20,7 +20,7 @@ VIEWS = {
     "signal": "select user_id as series, event_id, floor(epoch(ts))::bigint as sec, value, event_type = 'error' as reset, event_type from events",
     "scores": "select user_id as file, (floor(epoch(ts))::bigint // 3600)::bigint as start, event_type as class, round(avg(value), 9) as score from events group by all",
     "fps": "select vec_id as key, label, list_sum(list_transform(range(1, 61), lambda i: case when embedding[i] > 0 then (1::bigint << (60 - i)::int) else 0 end))::bigint as fp from embeddings",
-    "asked": "select o_orderkey as rid, o_totalprice as mz, o_custkey as key from orders where o_custkey % 100 = 0",
+    "asked": "select o_orderkey as rid, o_totalprice as mz, o_custkey as key from orders where o_orderkey % 50 = 0",
 }
 
 

@@ -26,7 +26,7 @@ def normal_peaks(t):
 
 
 def met(t, p=None):
-    """Every query record with each record in its window; the queries are those of one customer in a hundred, against all records."""
+    """Every query record with each record in its window; the queries are the records whose id is divisible by 50, against all records."""
     return pk.met(pairs(t), p if p is not None else normal_peaks(t), "rid", "q", "rid")
 
 
@@ -62,10 +62,10 @@ def _(t):
     return pk.shifted_similarity(met(t).withColumn("shift", (F.col("rid") - F.col("q")) % 7), "shift").select("q", "rid", "direct", "shifted", "sim")
 
 
-@plan("sim06_tanimoto", "select a.key as q, b.key, round(bit_count(a.fp & b.fp) / greatest(bit_count(a.fp | b.fp), 1)::double, 6) as t from fps a join fps b on a.label = b.label where a.key % 25 = 0", "fps")
+@plan("sim06_tanimoto", "select a.key as q, b.key, round(bit_count(a.fp & b.fp) / greatest(bit_count(a.fp | b.fp), 1)::double, 6) as t from fps a join fps b on a.label = b.label where a.key % 50 = 0", "fps")
 def _(t):
     f = fingerprints(t)
-    both = f.where("key % 25 = 0").select(F.col("key").alias("q"), "label", F.col("fp").alias("qfp")).join(f, "label")
+    both = f.where("key % 50 = 0").select(F.col("key").alias("q"), "label", F.col("fp").alias("qfp")).join(f, "label")
     return both.select("q", "key", bits.tanimoto(F.col("qfp"), F.col("fp")).alias("t"))
 
 
@@ -73,12 +73,12 @@ _P = "list_transform(a.embedding, lambda x: 1 / (1 + exp(-x::double)))"
 _B = "list_transform(b.embedding, lambda x: (x > 0)::int::double)"
 
 
-@plan("sim07_soft_tanimoto", f"with s as (select a.vec_id as q, b.vec_id as key, {_P} as p, {_B} as b from embeddings a join embeddings b on a.label = b.label where a.vec_id % 25 = 0), d as (select q, key, list_dot_product(p, b) as d, list_sum(p) as sp, list_sum(b) as sb from s) select q, key, round(case when sb + sp - d > 0 then d / (sb + sp - d) else 0 end, 6) as t from d")
+@plan("sim07_soft_tanimoto", f"with s as (select a.vec_id as q, b.vec_id as key, {_P} as p, {_B} as b from embeddings a join embeddings b on a.label = b.label where a.vec_id % 50 = 0), d as (select q, key, list_dot_product(p, b) as d, list_sum(p) as sp, list_sum(b) as sb from s) select q, key, round(case when sb + sp - d > 0 then d / (sb + sp - d) else 0 end, 6) as t from d")
 def _(t):
     e = t.embeddings
     p = F.transform("embedding", lambda x: 1 / (1 + F.exp(-x.cast("double"))))
     b = F.transform("embedding", lambda x: (x > 0).cast("double"))
-    both = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), "label", p.alias("p")).join(e.select(F.col("vec_id").alias("key"), "label", b.alias("b")), "label")
+    both = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", p.alias("p")).join(e.select(F.col("vec_id").alias("key"), "label", b.alias("b")), "label")
     return both.select("q", "key", bits.soft_tanimoto(F.col("p"), F.col("b")).alias("t"))
 
 
@@ -152,7 +152,7 @@ _SEARCH = f"with {_PAIRS.replace(' and s.key <> a.key', '')}, {_NORM}, {_MATCH},
 
 
 def library_search(t):
-    """The flagship: every query customer's records against all others in their mass window; the 25 best customers."""
+    """The flagship: the records of asked(), by their customers, against all others in their mass window; the 25 best customers."""
     a = asked(t).select(F.col("rid").alias("q"), F.col("mz").alias("q_mz"), F.col("key").alias("qkey"))
     near = rangejoin.ppm_join(a, "q_mz", spectra(t).select("rid", "mz", "key"), "mz", PPM).where("q <> rid")
     rows = pk.cosine(pk.met(near, normal_peaks(t), "rid", "q", "rid"))

@@ -57,6 +57,24 @@ def test_shifted_match(spark):
     assert got["direct"] < 0.2 and got["shifted"] > 0.99 and got["sim"] == got["shifted"]
 
 
+@pytest.mark.parametrize("per_slot", [100_000, 7])
+def test_window_counts_and_intervals_by_slots(spark, per_slot):
+    """Ties, edges met exactly, a value with a third of all rows, nulls, an empty library; one slot and many."""
+    rng = np.random.default_rng(3)
+    lib = [float(x) for x in rng.integers(0, 60, 80)] + [20.0] * 40 + [0.1 * k for k in range(20)] + [None]
+    ask = [float(x) for x in rng.integers(-10, 75, 40)] + [20.0, 20.0, 0.3, 1e6, -1e6, None]
+    rows = spark.createDataFrame(list(enumerate(ask)), "id long, v double")
+    library = spark.createDataFrame([(x,) for x in lib], "y double")
+    got = {r["id"]: (r["n"], r["most"]) for r in rangejoin.window_counts(rows, "v", library, "y", 2.0, per_slot).collect()}
+    for i, v in enumerate(ask):
+        near = [y for y in lib if v is not None and y is not None and abs(y - v) <= 2.0]
+        assert got[i] == (len(near), max(near, default=None)), v
+    assert {(r["n"], r["most"]) for r in rangejoin.window_counts(rows, "v", library.limit(0), "y", 2.0, per_slot).collect()} == {(0, None)}
+    cuts = spark.createDataFrame([(10.0 * k, 10.0 * k + 7) for k in range(-1, 7)], "lo double, hi double")
+    held = {r["id"]: r["lo"] for r in rangejoin.interval_join(rows, "v", cuts, "lo", "hi", per_slot).collect()}
+    assert held == {i: 10.0 * (v // 10) for i, v in enumerate(ask) if v is not None and -10 <= v < 67 and v % 10 < 7}
+
+
 def test_tanimoto_and_propagation(spark):
     pool = spark.createDataFrame([(1, "a", [0b011]), (1, "b", [0b101]), (1, "c", [0b1000])], "q long, key string, fp array<long>")
     seeds = spark.createDataFrame([(1, [0b011], 0.5)], "q long, sfp array<long>, score double")
