@@ -64,6 +64,22 @@ def cached(make, spark: SparkSession, folder: str, name: str, version: int, **se
     return spark.read.parquet(path)
 
 
+def with_settings(df: DataFrame, **settings) -> DataFrame:
+    """df that carries the settings it was built with: in its first column's metadata, so that Parquet keeps them in the files of the rows."""
+    first = df.schema[0]
+    return df.withMetadata(first.name, first.metadata | {"settings": json.dumps(settings, sort_keys=True, default=str)})
+
+
+def at_settings(df: DataFrame, **settings) -> DataFrame:
+    """df, or a ValueError that names the settings in which it was built otherwise (all, where it carries none)."""
+    held = json.loads(df.schema[0].metadata.get("settings", "{}"))
+    asked = json.loads(json.dumps(settings, sort_keys=True, default=str))
+    absent = object()
+    if differ := sorted(k for k in held.keys() | asked.keys() if held.get(k, absent) != asked.get(k, absent)):
+        raise ValueError(f"built at other settings: {', '.join(f'{k} is {held.get(k)!r}, not {asked.get(k)!r}' for k in differ)}")
+    return df
+
+
 def log_once(runs: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
     """The log with the runs whose key it lacks, one row for each key."""
     return log.unionByName(runs.join(log.select(*key).distinct(), key, "left_anti").dropDuplicates(key))

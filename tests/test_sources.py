@@ -82,3 +82,15 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     got = features.finished(spark, sink)
     want = part(0, 3000).groupBy("series", F.floor(F.col("pos") / 1000).alias("win")).agg(F.count("*").alias("rows"), F.avg("value").alias("mean"), F.max("value").alias("peak"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_features_only_at_the_settings_of_their_table(spark, tmp_path):
+    path = str(tmp_path / "features")
+    sinks.with_settings(spark.range(3).toDF("id"), width=5, bands=[1, 2], note=None).write.parquet(path)
+    got = spark.read.parquet(path)
+    assert sinks.at_settings(got, width=5, bands=(1, 2), note=None).count() == 3
+    for other, named in (({"width": 6, "bands": [1, 2], "note": None}, "width"), ({"width": 5, "note": None}, "bands"), ({"width": 5, "bands": [1, 2]}, "note")):
+        with pytest.raises(ValueError, match=named):
+            sinks.at_settings(got, **other)
+    with pytest.raises(ValueError, match="width"):
+        sinks.at_settings(spark.range(3), width=5)
