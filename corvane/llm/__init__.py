@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "bpe_codec", "quality_rank", "mixing", "jaccard_join", "license_scan", "quality_rules", "warc", "token_counts", "bm25", "byte_bpe", "spelling")
+MODULES = ("toxicity", "bpe_codec", "quality_rank", "mixing", "jaccard_join", "license_scan", "quality_rules", "warc", "token_counts", "bm25", "byte_bpe", "spelling", "versions")
 
 
 def registry() -> tuple[dict, dict]:
