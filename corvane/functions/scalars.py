@@ -59,3 +59,14 @@ def half(value: Column) -> Column:
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-14)) - 10)
     held = F.when(v == 0, v).otherwise(F.rint(v / step) * step)
     return F.when(F.abs(v) >= 65520, F.signum(v) * float("inf")).when(F.isnan(v), v).otherwise(held)
+
+
+def formula_mass(formula: Column) -> Column:
+    """Monoisotopic mass of a formula text such as C6H12O6; null for null, empty or other text and for elements of unknown mass."""
+    from .kernels import MASSES
+
+    known = F.create_map(*[F.lit(x) for pair in MASSES.items() for x in pair])
+    parts = F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(0))
+    count = lambda x: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(x, "[0-9]+", 0), F.lit("")), F.lit("999999")), F.lit(1)).cast("double")
+    total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + F.try_element_at(known, F.regexp_extract(x, "[A-Za-z]+", 0)) * count(x))
+    return F.when(formula.rlike("^([A-Z][a-z]?[0-9]*)+$"), total)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, outputs, scalars, scans, similarity, windows
+from . import aggregates, joins, outputs, scalars, scans, similarity, structures, windows
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "joins", "outputs", "scalars", "scans", "similarity", "windows"]
+__all__ = ["QUERIES", "SQL", "aggregates", "joins", "outputs", "scalars", "scans", "similarity", "structures", "windows"]

@@ -317,9 +317,7 @@ def _(t):
 
 @plan("udf03_formula_mass", "with f as (select p_partkey, p_partkey % 7 + 1 as c, p_partkey % 9 + 2 as h, p_partkey % 3 + 1 as o from part) select p_partkey, round(12 * c + 1.00782503207::double * h + 15.99491461956::double * o, 6) as mass from f")
 def _(t):
-    from ..functions.kernels import mass
-
-    return _mapped(formulas(t), lambda r: [(r.p_partkey, mass(r.formula))], "p_partkey long, mass double")
+    return formulas(t).select("p_partkey", fx.formula_mass(F.col("formula")).alias("mass"))
 
 
 @plan("udf04_subformulas")
