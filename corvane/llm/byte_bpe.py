@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import held, nothing_held, table, texts_of, uncollected
 
 #: Distinct slices that a worker remembers, besides those of the texts at hand.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Characters that are scanned together; a longer text is scanned in pieces of this length, the state carried along.
 WINDOW = 1 << 21
 #: Functions that are composed one after the other in a block; blocks go side by side.
@@ -295,7 +295,14 @@ def _lists(flat: np.ndarray, counts: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def _bytes_of(own: Decoder, ids: np.ndarray, counts) -> pa.Array:
+    """The bytes of each list of ids, the lists being laid end to end."""
+    data, ends = own.decode(ids)
+    edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: str | None = None) -> DataFrame:
     """Every whole text as ids: id, ids array<int>, slice_at array<int>, slice_ids array<int>.
 
     slice_at has the character offset of each slice (each stretch that is merged by itself), slice_ids
@@ -303,21 +310,24 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     Null ids, repeated rows and ties pass through: a row out for each row in. Other columns are not
     read, so their names don't matter; an empty table gives an empty one. Long texts are scanned in
     pieces, their slices are the same as if they weren't. tokenizer is the rank file's path on the
-    executors; None stands for the installed public file.
+    executors; None stands for the installed public file. decoded: the name of a further column, with
+    the bytes that the ids decode to, made in the same task.
     """
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     numbers = ArrayType(IntegerType(), True)
-    out = StructType([StructField("__id", slim.schema["__id"].dataType), *(StructField(n, numbers) for n in ("ids", "slice_at", "slice_ids"))])
+    out = StructType([StructField("__id", slim.schema["__id"].dataType), *(StructField(n, numbers) for n in ("ids", "slice_at", "slice_ids")), *([StructField(decoded, BinaryType())] if decoded else [])])
 
     def run(batches):
         path = tokenizer or default_path()
-        own = held(f"byte encoder {path}", lambda: Encoder(path))
+        own, back = held(f"byte codec {path}", lambda: (Encoder(path), Decoder(path)))
         for batch in batches:
             for k, texts in texts_of(batch):
                 with uncollected():
                     ids, n_ids, at, per_slice, n_slices = own.encode(texts)
                 arrays = [batch.column(0).slice(k, len(texts)), _lists(ids, n_ids), _lists(at, n_slices), _lists(per_slice, n_slices)]
-                yield pa.RecordBatch.from_arrays(arrays, ["__id", "ids", "slice_at", "slice_ids"])
+                if decoded:
+                    arrays.append(_bytes_of(back, ids, n_ids))
+                yield pa.RecordBatch.from_arrays(arrays, out.names)
 
     return slim.mapInArrow(run, out).withColumnRenamed("__id", id_col)
 
@@ -336,10 +346,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", tokeni
         for batch in batches:
             lists = batch.column(at)
             counts = np.array(lists.value_lengths().fill_null(0))
-            flat = np.asarray(lists.flatten().fill_null(-1)).astype(np.int64)
-            data, ends = own.decode(flat)
-            edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-            column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+            column = _bytes_of(own, np.asarray(lists.flatten().fill_null(-1)), counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], out.names)
 
     return encoded.mapInArrow(run, out)
@@ -359,7 +366,7 @@ def ids_between(encoded: DataFrame, first: int, end: int, to: str = "ids_between
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = decode(encode(table(spark, sf_dir, "documents")).select("doc_id", "ids"))
+    got = encode(table(spark, sf_dir, "documents"), decoded="decoded")
     digests = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256), F.sha2(F.col("decoded"), 256)
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digests[0].alias("ids_sha256"), digests[1].alias("decoded_sha256"))
 
