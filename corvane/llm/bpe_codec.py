@@ -136,8 +136,8 @@ class Codec:
         return [b"".join(map(seen.__getitem__, chunks)) for chunks in cut]
 
     def decode(self, ids) -> str:
-        """The tokens' strings with a space between them, special ones included: the vocabulary names no decoder."""
-        return " ".join(map(self.v.strings.__getitem__, ids))
+        """The tokens' strings with a space between them, special ones included: the vocabulary names no decoder. Nulls and ids that it lacks are skipped."""
+        return " ".join(s for i in ids if (s := self.v.strings.get(i)) is not None)
 
 
 def _make(tokenizer: str | None) -> Codec:

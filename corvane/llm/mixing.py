@@ -125,7 +125,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = taken.select(F.col("place").alias("__place"), F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("number").alias("__number"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times"))
     taken = written(taken, "taken")
     # The rows travel as one struct, so that no column of theirs meets one of the mix.
-    keyed = sized(docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), id_col, text_col, source_col, "__row")
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))])
+    keyed = sized(slim, "id", "text", "source", "row")
     same = (F.col("place") == F.col("__place")) & F.col("source").eqNullSafe(F.col("__source"))
     found = keyed.join(taken.where("__copies = 1"), same).select("row", "__times")
     many = taken.where("__copies > 1")

@@ -62,7 +62,7 @@ def folder(spark, tmp_path_factory):
     """Tables with nulls in any column, empty and very long texts, repeated rows and columns of clashing names."""
     where = str(tmp_path_factory.mktemp("hard"))
     docs = spark.createDataFrame(HARD, COLUMNS)
-    clashing = {c: F.lit("x") for c in ("id", "n", "sid", "size", "score", "kept", "label", "target", "taken", "token", "row", "place", "copies", "number", "__times", "words")}
+    clashing = {c: F.lit("x") for c in ("id", "n", "sid", "size", "score", "kept", "label", "target", "taken", "token", "row", "place", "copies", "number", "__times", "__row", "__place", "__source", "words")}
     docs.withColumns(clashing).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (1, 0, 0), (5, 1, 1), (6, None, None), (None, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     return where

@@ -62,3 +62,11 @@ def test_round_trip_through_tables(spark, tables):
     encoded = bpe_codec.encode(docs)
     texts = {r["doc_id"]: r["text"] for r in bpe_codec.decode(encoded).collect()}
     assert texts == {r["doc_id"]: CODEC.decode(r["ids"]) for r in encoded.collect()}
+
+
+def test_decoding_skips_foreign_ids():
+    codec = bpe_codec.Codec(wordbpe.default_path())
+    library = Tokenizer.from_file(wordbpe.default_path())
+    ids = library.encode("Hello wide world", add_special_tokens=False).ids
+    assert codec.decode([10**6, *ids, 49_408, 77_777]) == library.decode([10**6, *ids, 49_408, 77_777], skip_special_tokens=False) == codec.decode(ids)
+    assert codec.decode([None, *ids, -1]) == codec.decode(ids) and codec.decode([]) == ""
