@@ -152,30 +152,91 @@ def framed(samples: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.concat(samples, F.array_repeat(F.lit(0.0), size)), i * size + 1, F.lit(size)))
 
 
-def log_mel(frames: DataFrame, key: str, samples: str, rate: int = 32000, size: int = 512, hop: int = 256, bands: int = 32) -> DataFrame:
-    """(key, mel array<array<double>>): mel power in dB, at most 80 dB under the loudest, standardised over the sample. A numpy kernel."""
+def mel_filters(rate: int, size: int, bands: int, low: float, high: float):
+    """(bands, size / 2 + 1) triangles between frequencies evenly spaced in mel, each of unit area."""
+    import numpy as np
+
+    mel = 2595 * np.log10(1 + np.array([low, high]) / 700)
+    edges = 700 * (10 ** (np.linspace(*mel, bands + 2) / 2595) - 1)
+    f = np.linspace(0, rate / 2, size // 2 + 1)
+    rising = (f - edges[:-2, None]) / np.diff(edges)[:-1, None]
+    falling = (edges[2:, None] - f) / np.diff(edges)[1:, None]
+    return np.maximum(0, np.minimum(rising, falling)) * (2 / (edges[2:] - edges[:-2]))[:, None]
+
+
+def log_mel(frames: DataFrame, key: str, samples: str, rate: int = 32000, size: int = 2048, window: int = 626, hop: int = 313, bands: int = 256, low: float = 20.0, high: float = 16000.0) -> DataFrame:
+    """(key, mel array<array<double>>), a row of bands for each hop: mel power in dB, at most 80 dB under the loudest, standardised over
+    the sample (standard deviation with n - 1). A numpy kernel.
+
+    Frames of `size` are centred on each hop, the ends mirrored; the Hann window (periodic) of `window` samples stands in their middle.
+    """
     import numpy as np
     import pandas as pd
 
-    def bank() -> np.ndarray:
-        mel = lambda f: 2595 * np.log10(1 + f / 700)
-        edges = 700 * (10 ** (np.linspace(0, mel(rate / 2), bands + 2) / 2595) - 1)
-        f = np.linspace(0, rate / 2, size // 2 + 1)
-        up = (f[None, :] - edges[:-2, None]) / np.diff(edges)[:-1, None]
-        down = (edges[2:, None] - f[None, :]) / np.diff(edges)[1:, None]
-        return np.maximum(0, np.minimum(up, down))
+    def image(x, filters, shape):
+        x = np.asarray(x, dtype=float)
+        x = np.pad(x if len(x) else np.zeros(1), size // 2, mode="reflect")
+        parts = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * shape
+        db = 10 * np.log10(np.maximum(1e-10, np.abs(np.fft.rfft(parts)) ** 2 @ filters.T))
+        db = np.maximum(db, db.max() - 80)
+        return (db - db.mean()) / (db.std(ddof=1) + 1e-6) if db.size > 1 else db * 0
 
     def run(batches):
-        filters, window = bank(), np.hanning(size)
+        filters, shape = mel_filters(rate, size, bands, low, high), np.zeros(size)
+        shape[(size - window) // 2 : (size - window) // 2 + window] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
         for pdf in batches:
-            out = []
-            for x in pdf[samples]:
-                x = np.asarray(x, dtype=float)
-                x = np.pad(x, (0, max(0, size - len(x))))
-                parts = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * window
-                db = 10 * np.log10(np.maximum(1e-10, np.abs(np.fft.rfft(parts)) ** 2 @ filters.T))
-                db = np.maximum(db, db.max() - 80)
-                out.append(((db - db.mean()) / (db.std() + 1e-6)).tolist())
-            yield pd.DataFrame({key: pdf[key], "mel": out})
+            yield pd.DataFrame({key: pdf[key], "mel": [None if x is None else image(x, filters, shape).tolist() for x in pdf[samples]]})
 
     return frames.select(key, samples).mapInPandas(run, f"{key} {dict(frames.dtypes)[key]}, mel array<array<double>>")
+
+
+def resampling_filter(up: int, down: int, beta: float = 5.0):
+    """A low-pass filter for a change of rate by up / down: a sinc under a Kaiser window, 10 periods of the slower rate to each side, of gain `up` at 0."""
+    import numpy as np
+
+    widest = max(up, down)
+    reach = np.arange(-10 * widest, 10 * widest + 1)
+    taps = np.sinc(reach / widest) * np.kaiser(len(reach), beta)
+    return taps / taps.sum() * up
+
+
+def resample(x, up: int = 3, down: int = 2):
+    """x at up / down times its rate, along the last axis; ceil(n * up / down) samples, zeros beyond both ends.
+
+    Output m is the filter over the stretched signal around m * down. Of its taps only each up-th meets a
+    sample, so each phase is a short filter of its own.
+    """
+    import numpy as np
+
+    x = np.asarray(x, dtype=float)
+    taps, n = resampling_filter(up, down), x.shape[-1]
+    half = len(taps) // 2
+    out = np.zeros((*x.shape[:-1], -(-n * up // down)))
+    centre = np.arange(out.shape[-1]) * down + half
+    for phase in range(up):
+        own = taps[phase::up]
+        at = np.flatnonzero(centre % up == phase)
+        padded = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(len(own) - 1, len(own) - 1 + half)])
+        for j, w in enumerate(own):
+            out[..., at] += w * padded[..., centre[at] // up - j + len(own) - 1]
+    return out
+
+
+def overlapping_chunks(frames: DataFrame, key: str, samples: str, length: int, chunk: int, up: int = 3, down: int = 2) -> DataFrame:
+    """(key, chunk, samples): each row's signal, padded with zeros or cut to `length`, resampled, and its first and its last `chunk` samples (chunk 0 and 1)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[pdf[samples].notna()]
+            if not len(pdf):
+                continue
+            x = np.zeros((len(pdf), length))
+            for k, own in enumerate(pdf[samples]):
+                x[k, : min(len(own), length)] = own[:length]
+            y = resample(x, up, down)
+            for n, part in enumerate((y[:, :chunk], y[:, -chunk:])):
+                yield pd.DataFrame({key: pdf[key].to_numpy(), "chunk": np.int32(n), "samples": list(part)})
+
+    return frames.select(key, samples).mapInPandas(run, f"{key} {dict(frames.dtypes)[key]}, chunk int, samples array<double>")

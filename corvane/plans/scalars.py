@@ -9,7 +9,7 @@ from ..functions import scalars as fx
 from ..operators import bits, rangejoin, signal as sig
 from ..operators.peaks import binned
 from ..operators.ranking import numbered
-from ..sources import readers
+from ..sources import audio, readers
 from ..sources.tables import fingerprints, peaks
 from .registry import plan
 
@@ -378,6 +378,27 @@ def _(t):
 
 
 
+def _taps():
+    return [round(float(w), 12) for w in sig.resampling_filter(3, 2)]
+
+
+@plan("udf10_resampled_chunks", f"with h as (select {_taps()}::double[] as h), x as (select vec_id, list_transform(embedding, lambda v: v::double) as x from embeddings), y as (select vec_id, list_transform(range(0, 96), lambda m: list_sum(list_transform(range(0, 64), lambda j: case when 2 * m + 30 - 3 * j between 0 and 60 then x[j + 1] * h[2 * m + 30 - 3 * j + 1] else 0 end))) as y from x, h), c as (select vec_id, 0::bigint as chunk, y[1:58] as s from y union all select vec_id, 1, y[39:96] from y) select vec_id, chunk, len(s)::bigint as n, round(list_sum(s), 6) as total, round(list_dot_product(s, s), 6) as energy from c")
+def _(t):
+    """A signal at 3/2 of its rate, in two chunks that overlap by a fifth of it."""
+    chunks = sig.overlapping_chunks(t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x")), "vec_id", "x", 64, 58)
+    total = lambda f: F.aggregate("samples", F.lit(0.0), f)
+    return chunks.select("vec_id", "chunk", F.size("samples").alias("n"), total(lambda a, v: a + v).alias("total"), total(lambda a, v: a + v * v).alias("energy"))
+
+
+@plan("src10_decoded_audio", "with q as (select vec_id, list_transform(embedding[11:50], lambda x: round_even(least(greatest(x::double, -1), 1) * 32767, 0)) as q from embeddings) select vec_id, 8000::bigint as rate, 64::bigint as frames, 40::bigint as n, round(list_sum(q) / 32768, 5) as total from q")
+def _(t):
+    """Each vector as a WAV file, probed and read from its tenth frame on."""
+    made = audio.encoded(t.embeddings.select("vec_id", sig.quantised(F.transform("embedding", lambda x: x.cast("double"))).alias("q")), "q", "file", 8000).select("vec_id", "file")
+    probed = audio.probed(made, "file").select("vec_id", "frames")
+    heard = audio.decoded(made, "file", 10 / 8000, 40 / 8000).join(probed, "vec_id")
+    return heard.select("vec_id", "rate", "frames", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double")), 5).alias("total"))
+
+
 @plan("udf11_mix_at_snr", "with a as (select vec_id, list_transform(embedding[1:32], lambda x: x::double) as f, list_transform(embedding[33:64], lambda x: x::double) as b from embeddings), g as (select *, sqrt(list_dot_product(f, f) / 32) / (sqrt(list_dot_product(b, b) / 32) * pow(10, 6 / 20.0::double)) as g from a), m as (select vec_id, list_transform(range(1, 33), lambda i: f[i] + g * b[i]) as m from g), p as (select vec_id, m, greatest(list_max(list_transform(m, lambda x: abs(x))), 1) as p from m) select vec_id, list_sum(list_transform(m, lambda x: round_even(least(greatest(x / p, -1), 1) * 32767, 0)))::bigint as total from p")
 def _(t):
     half = lambda i: F.transform(F.slice("embedding", i, 32), lambda x: x.cast("double"))
@@ -387,4 +408,4 @@ def _(t):
 
 @plan("udf12_log_mel")
 def _(t):
-    return sig.log_mel(t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("samples")), "vec_id", "samples", rate=8000, size=32, hop=16, bands=6)
+    return sig.log_mel(t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("samples")), "vec_id", "samples", rate=8000, size=32, window=20, hop=16, bands=6, low=20.0, high=4000.0)
