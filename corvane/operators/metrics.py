@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import tied_counts
+from .ranking import quantiles, tied_counts
 
 
 def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
@@ -87,7 +87,8 @@ def leave_one_out_median(df: DataFrame, fold: str, value: str) -> DataFrame:
     counts = df.groupBy(fold, value).agg(F.count("*").alias("n"))
     folds = df.select(F.col(fold).alias("__held")).distinct()
     other = folds.join(counts, F.col("__held") != F.col(fold))
-    return other.groupBy(F.col("__held").alias(fold)).agg(F.percentile(F.col(value), F.lit(0.5), F.col("n")).alias("median"))
+    other = other.select(F.col("__held").alias(fold), value, "n")
+    return quantiles(other, [fold], value, {"median": 0.5}, "n")
 
 
 def rows_before(by: list[str], order: list[Column]) -> Column:

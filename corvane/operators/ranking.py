@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 BUCKETS = 512
 #: Rows of a slot of an order, and the most slots.
 PER_SLOT, MOST_SLOTS = 1_000_000, 4096
+#: Places of a key's order that a task takes together where a row needs its neighbours.
+STRETCH = 100_000
 
 
-def tied_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value, n (rows of that value), below (rows of smaller values) and total, a row for each distinct value.
+def tied_counts(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """by, value, n (rows of that value, or their summed weights, which are whole numbers), below (rows of smaller values) and total, a row for each distinct value.
 
     Values are counted first; then counts are cumulated inside buckets of the value's range and
     between buckets, so that a key with a third of all rows is spread over many tasks.
     """
     held = df.where(F.col(value).isNotNull())
-    counts = held.groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = held.groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     ends = counts.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("n").alias("total"))
     counts = _with(counts, ends, by)
     wide = F.col("__high") > F.col("__low")
@@ -65,13 +67,42 @@ def placed(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFra
     return _with(cut.withColumn(name, inside - 1), counts, [*by, "__slot"]).withColumn(name, F.col(name) + F.col("__before")).drop("__slot", "__before")
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """by and a column for each name of shares: the exact quantile, linearly interpolated.
+def in_stretches(df: DataFrame, by: list[str], order: list[str], reach: int, name: str = "pos", length: int | None = None) -> DataFrame:
+    """df with the place of each row in its key (name: 0, 1, ...), a stretch of `length` places, and own.
+
+    A stretch also has the `reach` rows before and after it, for which own is false: windows over
+    (by, stretch) ordered by the place see at each own row as far as they would over the whole key,
+    which many tasks share. length: STRETCH, or what is given; reach may not exceed it.
+    """
+    length = length or STRETCH
+    at = placed(df, by, order, name)
+    near = F.array_distinct(F.array(*[F.floor((F.col(name) + d) / length) for d in (-reach, 0, reach)]))
+    spread = at.withColumn("stretch", F.explode(F.filter(near, lambda x: x >= 0)))
+    return spread.withColumn("own", F.col("stretch") == F.floor(F.col(name) / length))
+
+
+def rolled(df: DataFrame, by: list[str], order: list[str], value: str, k: int, columns: dict[str, str]) -> DataFrame:
+    """df with centred statistics over k rows to each side, clipped at the ends: columns says name: max or mean. A key of any length is shared out in stretches."""
+    rows = in_stretches(df, by, order, k, "__at")
+    named = {name: rolling([*by, "stretch"], "__at", value, k, how) for name, how in columns.items()}
+    return rows.withColumns(named).where("own").drop("__at", "stretch", "own")
+
+
+def with_neighbours(df: DataFrame, by: list[str], order: list[str], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """df with columns of the rows before (-1) or after (1) in each key: name: (column, distance); and first, whether the row is its key's first."""
+    rows = in_stretches(df, by, order, max(abs(d) for _, d in columns.values()), "__at")
+    w = Window.partitionBy(*by, "stretch").orderBy("__at")
+    named = {name: F.lag(c, -d).over(w) if d < 0 else F.lead(c, d).over(w) for name, (c, d) in columns.items()}
+    return rows.withColumns(named | {"first": F.col("__at") == 0}).where("own").drop("__at", "stretch", "own")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
+    """by and a column for each name of shares: the exact quantile, linearly interpolated; a row counts as often as its weight says.
 
     Distinct values are counted and cumulated in buckets; only those that hold one of the wanted
     ranks go on, two for each share and key.
     """
-    counts = tied_counts(df.select(*by, F.col(value).cast("double").alias("__v")), by, "__v")
+    counts = tied_counts(df.select(*by, F.col(value).cast("double").alias("__v"), *([weight] if weight else [])), by, "__v", weight)
     place = {k: F.lit(float(q)) * (F.col("total") - 1) for k, q in shares.items()}
     holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
     some = reduce(lambda a, b: a | b, [holds(f(x)) for x in place.values() for f in (F.floor, F.ceil)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import placed
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group by an order without ties; Spark keeps k rows a group before it shuffles."""
@@ -44,7 +46,7 @@ def every_nth(df: DataFrame, order: str, n: int, by: list[str]) -> DataFrame:
 
 def evenly_spaced(df: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
     """k rows of each group (all, where it has fewer) at even distances from first to last, halves rounded to even."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__place", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    ranked = placed(df, by, [order], "__place").join(sizes, by)
     picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("__n") - 1) / float(max(1, k - 1))))
     return ranked.where((F.col("__n") <= k) | F.array_contains(picks, F.col("__place").cast("double"))).drop("__place", "__n")

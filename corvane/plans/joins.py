@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rangejoin, topk
@@ -134,8 +133,9 @@ def _(t):
 
 @plan("jon19_neighbours", "select event_id, round(lag(value) over w, 6) as before, round(lead(value) over w, 6) as after from signal window w as (partition by series order by sec, event_id)", "signal")
 def _(t):
-    w = Window.partitionBy("series").orderBy("sec", "event_id")
-    return signal(t).select("event_id", F.lag("value").over(w).alias("before"), F.lead("value").over(w).alias("after"))
+    from ..operators.ranking import with_neighbours
+
+    return with_neighbours(signal(t), ["series"], ["sec", "event_id"], {"before": ("value", -1), "after": ("value", 1)}).select("event_id", "before", "after")
 
 
 @plan("jon20_canonical_key", "select o_orderkey, (md5(lower(trim(o_orderpriority))) = md5(lower('1-urgent')))::int::bigint as hit from orders")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import compose, metrics, models
+from ..operators.ranking import quantiles
 from ..operators.splits import group_fold
 from ..sources import sinks
 from ..sources.tables import scores, signal
@@ -165,7 +166,7 @@ def _(t):
         head = lambda some, y: models.ridge(*models.gram(some.withColumn("t", y), "x", "t", 64)[:2], [1.0])[1.0]
         first = head(train.where("known"), F.col("y"))
         guessed = train.where("not known").withColumn("g", models.dot(F.col("x"), first))
-        cut = guessed.agg(F.percentile("g", F.lit(0.9)).alias("hi"), F.percentile("g", F.lit(0.1)).alias("lo"))
+        cut = quantiles(guessed, [], "g", {"hi": 0.9, "lo": 0.1})
         sure = guessed.crossJoin(F.broadcast(cut)).where("g >= hi or g <= lo").withColumn("y", (F.col("g") >= F.col("hi")).cast("double"))
         both = train.where("known").select("x", "y").unionByName(sure.select("x", "y"))
         second = head(both, F.col("y"))

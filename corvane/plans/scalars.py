@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fx
 from ..operators import bits, rangejoin, signal as sig
 from ..operators.peaks import binned
-from ..operators.ranking import numbered
+from ..operators.ranking import numbered, quantiles, running_before, with_neighbours
 from ..sources import audio, readers
 from ..sources.tables import fingerprints, peaks
 from .registry import plan
@@ -215,8 +214,9 @@ def _(t):
 
 @plan("scf38_running", "select event_id, round(sum(value) over w, 4) as total, round(value - lag(value) over w, 4) as diff from events window w as (partition by user_id order by event_id)")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return t.events.select("event_id", F.round(F.sum("value").over(w), 4).alias("total"), F.round(F.col("value") - F.lag("value").over(w), 4).alias("diff"))
+    summed = running_before(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", "sum")
+    rows = with_neighbours(summed, ["user_id"], ["event_id"], {"before": ("value", -1)})
+    return rows.select("event_id", F.round(F.col("sum") + F.col("value"), 4).alias("total"), F.round(F.col("value") - F.col("before"), 4).alias("diff"))
 
 
 @plan("scf39_arg_extremes", "select vec_id, (list_position(embedding, list_max(embedding)) - 1)::bigint as top, (list_position(embedding, list_min(embedding)) - 1)::bigint as low from embeddings")
@@ -254,7 +254,8 @@ def _(t):
 def _(t):
     holes = t.events.withColumn("v", F.when(F.col("value") > 5, F.col("value")).otherwise(F.lit(float("nan"))))
     clean = F.nanvl("v", F.lit(None).cast("double"))
-    return holes.groupBy("event_type").agg(F.max(clean).alias("top"), F.percentile(clean, F.lit(0.5)).alias("mid"))
+    middle = quantiles(holes.withColumn("c", clean), ["event_type"], "c", {"mid": 0.5})
+    return holes.groupBy("event_type").agg(F.max(clean).alias("top")).join(middle, "event_type", "left").select("event_type", "top", "mid")
 
 
 @plan("scf48_missing_key", "select doc_id, coalesce(quality, -1)::bigint as quality from documents left join labels using (doc_id)")

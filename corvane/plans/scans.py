@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import topk
-from ..operators.ranking import numbered, quantiles
+from ..operators.ranking import numbered, placed as ranked, quantiles, running_before
 from ..sources import readers
 from ..sources.tables import scores, signal
 from .registry import plan
@@ -34,8 +33,7 @@ def _(t):
 
 @plan("src09_position_slice", "with s as (select series, value, row_number() over (partition by series order by sec, event_id) - 1 as pos from signal) select series, pos::bigint as pos, round(value, 6) as value from s where pos between 10 and 29", "signal")
 def _(t):
-    w = Window.partitionBy("series").orderBy("sec", "event_id")
-    return signal(t).withColumn("pos", F.row_number().over(w) - 1).where("pos between 10 and 29").select("series", "pos", "value")
+    return ranked(signal(t), ["series"], ["sec", "event_id"], "pos").where("pos between 10 and 29").select("series", "pos", "value")
 
 
 @plan("src12_unlabelled", "select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
@@ -162,7 +160,7 @@ def _(t):
     from ..operators.signal import positions, tumbling, whole_windows
 
     s = positions(signal(t), "series", "sec", "event_id")
-    s = s.withColumn("cycle", F.sum(F.col("reset").cast("int")).over(Window.partitionBy("series").orderBy("pos")))
+    s = running_before(s.withColumn("step", F.col("reset").cast("int")), ["series"], "pos", "step", "before").withColumn("cycle", F.col("before") + F.coalesce("step", F.lit(0)))
     return whole_windows(tumbling(s, 5), ["series", "win"], 5, "cycle").select("series", "win", F.col("lo").alias("cycle"))
 
 

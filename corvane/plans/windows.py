@@ -39,7 +39,8 @@ def _(t):
 
 @plan("win05_rolling", "select file, start, class, round(max(score) over w, 6) as top, round(avg(score) over w + 1e-7, 4) as mid from scores window w as (partition by file, class order by start rows between 6 preceding and 6 following)", "scores")
 def _(t):
-    return scores(t).select("file", "start", "class", ranking.rolling(["file", "class"], "start", "score", 6).alias("top"), F.round(ranking.rolling(["file", "class"], "start", "score", 6, "mean") + 1e-7, 4).alias("mid"))
+    rows = ranking.rolled(scores(t), ["file", "class"], ["start"], "score", 6, {"top": "max", "mid": "mean"})
+    return rows.select("file", "start", "class", "top", F.round(F.col("mid") + 1e-7, 4).alias("mid"))
 
 
 _RANK = "(rank() over (partition by class order by {c}) + (count(*) over (partition by class, {c}) - 1) / 2.0::double - 1) / greatest(1, count(*) over (partition by class) - 1)"
@@ -48,7 +49,7 @@ _RANK = "(rank() over (partition by class order by {c}) + (count(*) over (partit
 @plan("win06_context_blend", f"with a as (select *, {_RANK.format(c='score')} as r from scores), b as (select *, max(r) over (partition by file, class order by start rows between 6 preceding and 6 following) as ctx from a) select file, start, class, round(0.2::double * r + 0.8::double * {_RANK.format(c='ctx')}, 6) as blend from b", "scores")
 def _(t):
     own = ranking.average_rank(scores(t), ["class"], "score", "r")
-    context = own.withColumn("ctx", ranking.rolling(["file", "class"], "start", "r", 6))
+    context = ranking.rolled(own, ["file", "class"], ["start"], "r", 6, {"ctx": "max"})
     return ranking.average_rank(context, ["class"], "ctx", "rc").select("file", "start", "class", (0.2 * F.col("r") + 0.8 * F.col("rc")).alias("blend"))
 
 
@@ -59,7 +60,8 @@ def _(t):
 
 @plan("win08_boundaries", "select event_id, (case when row_number() over w > 1 and event_type is not distinct from lag(event_type) over w then 0 else 1 end)::bigint as new from signal window w as (partition by series order by event_id)", "signal")
 def _(t):
-    return signal(t).select("event_id", ranking.changes(["series"], "event_id", "event_type").alias("new"))
+    rows = ranking.with_neighbours(signal(t), ["series"], ["event_id"], {"before": ("event_type", -1)})
+    return rows.select("event_id", F.when(~F.col("first") & F.col("event_type").eqNullSafe(F.col("before")), 0).otherwise(1).alias("new"))
 
 
 @plan("win09_prefix_sum", "select event_id, round(coalesce(sum(value) over (partition by series order by event_id rows between unbounded preceding and 1 preceding), 0), 4) as before from signal", "signal")
