@@ -8,34 +8,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .heads import fold_sums
+
 
 def gram(df: DataFrame, features: str, target: str, n_features: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(X'X, X'y, rows) in one pass: each task adds up its own matrices, which sum by cell. Sizes depend on the features alone."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        xx, xy, n = np.zeros((n_features, n_features)), np.zeros(n_features), 0
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features)
-            xx += x.T @ x
-            xy += x.T @ batch.column(1).to_numpy(zero_copy_only=False)
-            n += len(x)
-        i, j = np.divmod(np.arange(n_features**2), n_features)
-        places = (np.concatenate([i, np.arange(n_features), [-1]]).astype(np.int32), np.concatenate([j, np.full(n_features, -1), [-1]]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([*map(pa.array, places), pa.array(np.concatenate([xx.ravel(), xy, [float(n)]]))], ["i", "j", "v"])
-
-    rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
-    cells = rows.where("x is not null and y is not null").mapInArrow(run, "i int, j int, v double")
-    xx, xy, n = np.zeros((n_features, n_features)), np.zeros(n_features), 0.0
-    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # n_features ** 2 cells
-        if r["i"] < 0:
-            n = r["v"]
-        elif r["j"] < 0:
-            xy[r["i"]] = r["v"]
-        else:
-            xx[r["i"], r["j"]] = r["v"]
-    return xx, xy, int(n)
+    """(X'X, X'y, rows) in one pass: each task adds up its own matrices and hands on one row of numbers. Sizes depend on the features alone."""
+    rows = df.select(F.col(features).alias("x"), F.array(F.col(target).cast("double")).alias("y"))
+    sums = fold_sums(rows, [], "x", "y", n_features, 1).get(())
+    if sums is None:
+        return np.zeros((n_features, n_features)), np.zeros(n_features), 0
+    return sums.xx, sums.xy[:, 0], int(sums.weight)
 
 
 def ridge(xx: np.ndarray, xy: np.ndarray, alphas: list[float]) -> dict[float, np.ndarray]:

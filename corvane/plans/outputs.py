@@ -111,6 +111,15 @@ def _(t):
     return rows.select("vec_id", models.dot(F.col("rff"), models.ridge(xx, xy, [1.0])[1.0]).alias("guess"))
 
 
+@plan("mlo05_nu_svr")
+def _(t):
+    """Every vector's label as support vectors guess it, fitted on at most 1,000 of them."""
+    from ..operators import svr
+
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
+    return svr.predicted(rows, "x", svr.fit(rows, "vec_id", "x", "y", most=1000)).select("vec_id", "guess")
+
+
 @plan("mlo06_wrappers", "select o_orderkey, round(least(greatest(exp(ln(1 + o_totalprice)) - 1, 0), 100000), 4) as guess, round(list_median([o_totalprice, o_totalprice * 0.5, 90000]), 4) as blend from orders")
 def _(t):
     x = F.col("o_totalprice")
@@ -201,6 +210,50 @@ def _(t):
     return metrics.error_by_fold(reduce(DataFrame.unionByName, parts).withColumn("group", F.struct("alpha", "fold")), "group", "y", F.col("guess")).select("group.*", "*").drop("group")
 
 
+_MIX = "(select unnest([1.0::double, 0.25]) as late)"
+_HEADS = f"""with r as (select o_orderkey, ('0x' || substr(md5('fold:' || o_custkey), 1, 8))::bigint % 4 as fold, o_orderpriority < '3' as early, (o_custkey % 100)::double / 10 as x, o_totalprice / 1000 as y from orders),
+w as (select r.*, late, case when early then 1.0::double else late end as w from r, {_MIX}),
+f as (select a.fold, b.late, sum(w) as sw, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from (select distinct fold from r) a join w b on b.fold <> a.fold group by 1, 2),
+h as (select fold, late, alpha, (sxy - sx * sy / sw) / (sxx - sx * sx / sw + alpha) as c, sy / sw as my, sx / sw as mx from f, (select unnest([1.0::double, 1000.0]) as alpha))
+select r.fold::bigint as fold, late, alpha, round(avg(abs(r.y - (my + c * (r.x - mx)))), 6) as mae, count(*)::bigint as n from r join h using (fold) group by 1, 2, 3"""
+
+
+@plan("mlo15_weighted_heads", _HEADS)
+def _(t):
+    """Heads for each fold, two penalties and two weights of the later priorities, all from one pass: their held-out errors."""
+    from ..operators import heads
+
+    rows = t.orders.select(group_fold(F.col("o_custkey"), 4).alias("fold"), (F.col("o_orderpriority") < "3").alias("early"), F.array((F.col("o_custkey") % 100).cast("double") / 10).alias("x"), F.array(F.col("o_totalprice") / 1000).alias("y"))
+    sums = heads.fold_sums(rows, ["fold", "early"], "x", "y", 1, 1)
+    parts = []
+    for late in (1.0, 0.25):
+        rest = heads.without_each(heads.mixed(sums, {True: 1.0, False: late}), [0, 1, 2, 3])
+        for alpha in (1.0, 1000.0):
+            held = heads.scored(rows, "x", "fold", {f: v.ridge(alpha) for f, v in rest.items()})
+            error = F.abs(F.col("y")[0] - F.col("scores")[0])
+            parts.append(held.groupBy("fold").agg(F.avg(error).alias("mae"), F.count("*").alias("n")).select("fold", F.lit(late).alias("late"), F.lit(alpha).alias("alpha"), "mae", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@plan("mlo12_head_variants")
+def _(t):
+    """Macro AUC of held-out rows by cohort (classes with many or few labelled rows) for heads with and without the unsure rows' weight."""
+    from ..operators import heads
+
+    classes = list(range(10))
+    y = F.array(*[(F.col("label") == k).cast("double") for k in classes])
+    rows = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"), y.alias("y"), group_fold(F.col("vec_id"), 3).alias("fold"), (F.col("vec_id") % 4 == 0).alias("sure"))
+    sums = heads.fold_sums(rows, ["fold", "sure"], "x", "y", 64, 10)
+    parts = []
+    for name, mix in (("sure alone", {True: 1.0}), ("all", {True: 1.0, False: 1.0}), ("weighted", {True: 1.0, False: 0.2})):
+        rest = heads.without_each(heads.mixed(sums, mix), [0, 1, 2])
+        held = heads.scored(rows, "x", "fold", {f: v.ridge(10.0) for f, v in rest.items()})
+        long = held.select("label", F.posexplode("scores").alias("class", "score")).select("class", "score", (F.col("label") == F.col("class")).cast("int").alias("hit"))
+        by_class = metrics.auc(long, ["class"], "score", "hit")
+        parts.append(by_class.groupBy((F.col("class") < 5).alias("cohort")).agg(F.avg("auc").alias("auc"), F.count("*").alias("classes")).select(F.lit(name).alias("head"), "cohort", "auc", "classes"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @plan("mlo16_staged_metrics", "with a as (select event_type as class, avg(value) as m from events group by 1) select 'raw' as stage, round(avg(m), 6) as metric from a union all select 'clipped', round(avg(least(m, 50)), 6) from a")
 def _(t):
     a = t.events.groupBy("event_type").agg(F.avg("value").alias("m"))
