@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,8 +48,8 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def entropy_weights(rows: DataFrame) -> DataFrame:
-    """records() with weights that sum to 1; where the entropy S is under 3 they are raised to 0.25 + 0.25 S and sum to 1 again."""
-    share = lambda r, name: r.withColumn(name, _total(F.col("peaks"), lambda w: w)).withColumn("peaks", _scaled(F.col("peaks"), lambda w: w / F.col(name)))
+    """records() with weights that sum to 1; where the entropy S is under 3 they are raised to 0.25 + 0.25 S and sum to 1 again. Records of weight 0 keep 0."""
+    share = lambda r, name: r.withColumn(name, _total(F.col("peaks"), lambda w: w)).withColumn("peaks", _scaled(F.col("peaks"), lambda w: F.coalesce(F.try_divide(w, F.col(name)), F.lit(0.0))))
     rows = share(rows, "__t").withColumn("__s", -_total(F.col("peaks"), lambda p: F.when(p > 0, p * F.ln(p)).otherwise(0.0)))
     rows = rows.withColumn("peaks", _scaled(F.col("peaks"), lambda p: F.when(F.col("__s") < 3, F.pow(p, 0.25 + 0.25 * F.col("__s"))).otherwise(p)))
     return share(rows, "__u").drop("__t", "__s", "__u")
@@ -63,6 +63,58 @@ def met(pairs: DataFrame, rows: DataFrame, key: str, q_key: str, r_key: str) ->
     return pairs.join(q, q_key).join(r, r_key)
 
 
+def _flat(peaks: DataFrame, key: str, bin_col: str, weight: str) -> tuple[DataFrame, Window]:
+    """Merged peaks (key, bin, w), dealt once by their record, and the window of a record."""
+    rows = merged(peaks.repartition(key), [key], bin_col, weight).withColumnRenamed(bin_col, "bin")
+    return rows, Window.partitionBy(key)
+
+
+def flat_cosine(peaks: DataFrame, key: str, bin_col: str, weight: str) -> DataFrame:
+    """(key, bin, w): merged peaks over their record's Euclidean norm; records of norm 0 get 0."""
+    rows, w = _flat(peaks, key, bin_col, weight)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(w))
+    return rows.withColumn("__norm", norm).withColumn("w", F.when(F.col("__norm") > 0, F.col("w") / F.col("__norm")).otherwise(0.0)).drop("__norm")
+
+
+def flat_entropy(peaks: DataFrame, key: str, bin_col: str, weight: str) -> DataFrame:
+    """(key, bin, w): merged peaks as entropy_weights() weighs them."""
+    rows, w = _flat(peaks, key, bin_col, weight)
+    share = lambda r: r.withColumn("w", F.coalesce(F.try_divide("w", F.sum("w").over(w)), F.lit(0.0)))
+    rows = share(rows).withColumn("__s", -F.sum(F.when(F.col("w") > 0, F.col("w") * F.ln("w")).otherwise(0.0)).over(w))
+    return share(rows.withColumn("w", F.when(F.col("__s") < 3, F.pow("w", 0.25 + 0.25 * F.col("__s"))).otherwise(F.col("w"))).drop("__s"))
+
+
+def shared(q: DataFrame, lib: DataFrame, near: Column, rows: DataFrame, key: str, q_key: str, r_key: str) -> DataFrame:
+    """A row for each bin that two records near each other have in common: the columns of q and lib, bin, qw and rw.
+
+    q, lib and near are rangejoin's sides; rows are (key, bin, w), as flat_cosine() or flat_entropy() give them. Peaks meet by window and bin at once, so that of two records
+    in one window nothing is made unless they share a bin, and nothing wider than a peak is shuffled.
+    """
+    laid = rows.select(key, "bin", "w")
+    asks = q.join(laid.withColumnsRenamed({key: q_key, "w": "qw"}), q_key)
+    holds = lib.join(laid.withColumnsRenamed({key: r_key, "w": "rw"}), r_key)
+    return asks.join(holds, ["__bin", "bin"]).where(near).drop("__bin")
+
+
+def shared_cosine(found: DataFrame, by: list[str]) -> DataFrame:
+    """by and sim, the sum of products over shared() rows of normalised records."""
+    return found.groupBy(*by).agg(F.sum(F.col("qw") * F.col("rw")).alias("sim"))
+
+
+def shared_reverse(found: DataFrame, by: list[str]) -> DataFrame:
+    """by, plain (the cosine), reverse (the query's norm taken over shared bins alone) and hybrid, their mean."""
+    got = found.groupBy(*by).agg(F.sum(F.col("qw") * F.col("rw")).alias("plain"), F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("__norm"))
+    got = got.withColumn("reverse", F.when(F.col("__norm") > 0, F.col("plain") / F.col("__norm")).otherwise(0.0))
+    return got.withColumn("hybrid", (F.col("plain") + F.col("reverse")) / 2).drop("__norm")
+
+
+def shared_entropy(found: DataFrame, by: list[str]) -> DataFrame:
+    """by and sim, the entropy similarity over shared() rows of entropy_weights(); weights of 0 share nothing."""
+    x = lambda c: c * F.ln(c)
+    both = F.col("qw") + F.col("rw")
+    return found.where((F.col("qw") > 0) & (F.col("rw") > 0)).groupBy(*by).agg((F.sum(x(both) - x(F.col("qw")) - x(F.col("rw"))) / log(4)).alias("sim"))
+
+
 def hits(shift: Column | None = None) -> Column:
     """The (qw, rw) of bins that both sides of met() have, the query's moved down by shift."""
     both = F.transform("q_peaks", lambda p: F.struct(p["w"].alias("qw"), F.try_element_at("r_peaks", p["bin"] if shift is None else p["bin"] - shift).alias("rw")))

@@ -30,15 +30,24 @@ def absolute_join(queries: DataFrame, q_value: str, library: DataFrame, l_value:
     return q.join(lib, "__bin").where(F.abs(F.col(l_value) - F.col(q_value)) <= tolerance).drop("__bin")
 
 
-def ppm_join(queries: DataFrame, q_value: str, library: DataFrame, l_value: str, ppm: float) -> DataFrame:
-    """Pairs with abs(l_value - q_value) <= q_value * ppm / 1e6, values positive. Bins are logarithmic, so a query meets three at most, at any size."""
+def ppm_sides(queries: DataFrame, q_value: str, library: DataFrame, l_value: str, ppm: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with a bin (__bin) on which rows within q_value * ppm / 1e6 meet, values positive, and the condition that says which of those are.
+
+    Bins are logarithmic, so a query meets three at most, at any size. Other columns may join the bin as keys.
+    """
     step = 2 * ppm / 1e6
     scale = log1p(step)
     place = lambda c: F.floor(F.ln(c) / scale)
     slack = 1e-9  # a value on a bin's edge may be computed on either side of it
     q = queries.where(F.col(q_value) > 0).withColumn("__bin", _bins(place(F.col(q_value) * (1 - ppm / 1e6 - slack)), place(F.col(q_value) * (1 + ppm / 1e6 + slack))))
     lib = library.where(F.col(l_value) > 0).withColumn("__bin", place(F.col(l_value)).cast("long"))
-    return q.join(lib, "__bin").where(F.abs(F.col(l_value) - F.col(q_value)) <= F.col(q_value) * (ppm / 1e6)).drop("__bin")
+    return q, lib, F.abs(F.col(l_value) - F.col(q_value)) <= F.col(q_value) * (ppm / 1e6)
+
+
+def ppm_join(queries: DataFrame, q_value: str, library: DataFrame, l_value: str, ppm: float) -> DataFrame:
+    """Pairs with abs(l_value - q_value) <= q_value * ppm / 1e6, values positive."""
+    q, lib, near = ppm_sides(queries, q_value, library, l_value, ppm)
+    return q.join(lib, "__bin").where(near).drop("__bin")
 
 
 def shifted_join(queries: DataFrame, q_value: str, q_id: str, library: DataFrame, l_value: str, l_id: str, shifts: Iterable[float], tolerance: float) -> DataFrame:

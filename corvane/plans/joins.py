@@ -92,8 +92,8 @@ def _(t):
     from ..operators import peaks as pk
 
     q = asked(t).select(F.col("rid").alias("q"), F.col("mz").alias("q_mz"))
-    pairs = rangejoin.ppm_join(q, "q_mz", spectra(t).select("rid", "mz"), "mz", 1000).select("q", "rid")
-    return pk.cosine(pk.met(pairs, pk.records(peaks(t), "rid", "bin", "w"), "rid", "q", "rid")).select("q", "rid", F.col("sim").alias("s"))
+    sides = rangejoin.ppm_sides(q, "q_mz", spectra(t).select("rid", "mz"), "mz", 1000)
+    return pk.shared_cosine(pk.shared(*sides, pk.merged(peaks(t), ["rid"], "bin", "w"), "rid", "q", "rid"), ["q", "rid"]).withColumnRenamed("sim", "s")
 
 
 @plan("jon14_nearest", "select s_suppkey, round(arg_min(p_retailprice, [abs(p_retailprice - v), p_retailprice]), 6) as near from (select s_suppkey, 900 + abs(s_acctbal) / 10 as v from supplier) s join part on abs(p_retailprice - v) <= 5 group by 1")

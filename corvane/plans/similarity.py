@@ -25,6 +25,13 @@ def normal_peaks(t):
     return pk.normalised(pk.records(peaks(t), "rid", "bin", "w"))
 
 
+def shared(t, p=None):
+    """The bins that each query record has in common with each record in its window; the queries are the records whose id is divisible by 50, against all records."""
+    q = asked(t).select(F.col("rid").alias("q"), F.col("mz").alias("q_mz"), F.col("key").alias("q_key"))
+    sides = rangejoin.ppm_sides(q, "q_mz", spectra(t).select("rid", "mz", "key"), "mz", PPM)
+    return pk.shared(*sides, p if p is not None else pk.flat_cosine(peaks(t), "rid", "bin", "w"), "rid", "q", "rid")
+
+
 def met(t, p=None):
     """Every query record with each record in its window; the queries are the records whose id is divisible by 50, against all records."""
     return pk.met(pairs(t), p if p is not None else normal_peaks(t), "rid", "q", "rid")
@@ -32,29 +39,29 @@ def met(t, p=None):
 
 @plan("sim01_cosine", f"with {_PAIRS}, {_NORM}, {_MATCH} select q, rid, round(sum(qw * rw), 6) as sim from x group by 1, 2", "spectra asked peaks")
 def _(t):
-    return pk.cosine(met(t)).select("q", "rid", "sim")
+    return pk.shared_cosine(shared(t).where("key <> q_key"), ["q", "rid"])
 
 
 @plan("sim02_reverse_cosine", f"with {_PAIRS}, {_NORM}, {_MATCH} select q, rid, round(sum(qw * rw), 6) as plain, round(sum(qw * rw) / sqrt(sum(qw * qw)), 6) as reverse, round((sum(qw * rw) + sum(qw * rw) / sqrt(sum(qw * qw))) / 2, 6) as hybrid from x group by 1, 2", "spectra asked peaks")
 def _(t):
-    return pk.reverse_cosine(met(t)).select("q", "rid", "plain", "reverse", "hybrid")
+    return pk.shared_reverse(shared(t).where("key <> q_key"), ["q", "rid"]).select("q", "rid", "plain", "reverse", "hybrid")
 
 
 _ENTROPY = "b as (select rid, bin, sum(w) as w from peaks group by 1, 2), e1 as (select rid, bin, w / sum(w) over (partition by rid) as p from b), e2 as (select rid, bin, p, -sum(p * ln(p)) over (partition by rid) as s from e1), e3 as (select rid, bin, case when s < 3 then pow(p, 0.25 + 0.25 * s) else p end as v from e2), n as (select rid, bin, v / sum(v) over (partition by rid) as w from e3)"
 
 
 def entropy_peaks(t):
-    return pk.entropy_weights(pk.records(peaks(t), "rid", "bin", "w"))
+    return pk.flat_entropy(peaks(t), "rid", "bin", "w")
 
 
 @plan("sim03_entropy_weights", f"with {_ENTROPY} select rid, bin, round(w, 6) as w from n", "peaks")
 def _(t):
-    return entropy_peaks(t).select("rid", F.explode("peaks").alias("p")).select("rid", "p.bin", "p.w")
+    return entropy_peaks(t).select("rid", "bin", "w")
 
 
 @plan("sim04_entropy_similarity", f"with {_PAIRS}, {_ENTROPY}, {_MATCH} select q, rid, round(sum((qw + rw) * ln(qw + rw) - qw * ln(qw) - rw * ln(rw)) / ln(4), 6) as sim from x group by 1, 2", "spectra asked peaks")
 def _(t):
-    return pk.entropy_similarity(met(t, entropy_peaks(t))).select("q", "rid", "sim")
+    return pk.shared_entropy(shared(t, entropy_peaks(t)).where("key <> q_key"), ["q", "rid"])
 
 
 @plan("sim05_shifted", f"with {_PAIRS}, {_NORM}, x as (select pr.q, pr.rid, m, sum(a.w * c.w) as s from pr join n a on a.rid = pr.q cross join (select unnest([0, 1]) as m) join n c on c.rid = pr.rid and c.bin = a.bin - m * ((pr.rid - pr.q) % 7) group by 1, 2, 3) select q, rid, round(coalesce(max(case when m = 0 then s end), 0), 6) as direct, round(coalesce(max(case when m = 1 then s end), 0), 6) as shifted, round(max(s), 6) as sim from x group by 1, 2", "spectra asked peaks")
@@ -153,9 +160,7 @@ _SEARCH = f"with {_PAIRS.replace(' and s.key <> a.key', '')}, {_NORM}, {_MATCH},
 
 def library_search(t):
     """The flagship: the records of asked(), by their customers, against all others in their mass window; the 25 best customers."""
-    a = asked(t).select(F.col("rid").alias("q"), F.col("mz").alias("q_mz"), F.col("key").alias("qkey"))
-    near = rangejoin.ppm_join(a, "q_mz", spectra(t).select("rid", "mz", "key"), "mz", PPM).where("q <> rid")
-    rows = pk.cosine(pk.met(near, normal_peaks(t), "rid", "q", "rid"))
+    rows = pk.shared_cosine(shared(t).where("q <> rid"), ["q_key", "q", "key", "rid"]).withColumnRenamed("q_key", "qkey")
     found = compose.two_level(rows, "qkey", "q", "key", "sim").withColumn("score", F.round("score", 6))
     return topk.top_k(found, ["qkey"], [F.col("score").desc(), F.col("key")], 25, "n").select("qkey", "key", "score", "n")
 

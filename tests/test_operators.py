@@ -355,3 +355,26 @@ def test_hashed_crop_and_out_of_fold(spark, tables):
         w = np.linalg.solve(train[:, :2].T @ train[:, :2] + np.eye(2), train[:, :2].T @ train[:, 2])
         assert all(got[k]["fold"] == f and got[k]["guess"] == pytest.approx(w[0] + w[1] * x, rel=1e-6) for k, f, x, _ in orders if f == fold)
     assert len(got) == len(orders)
+
+
+def test_shared_bins_are_those_of_all_pairs(spark):
+    """Peaks joined by window and bin give what each pair of records in a window gives by itself."""
+    import random
+
+    from corvane.operators import peaks as pk, rangejoin
+
+    rng = random.Random(12)
+    mz = {k: rng.choice([100.0, 500.0]) * (1 + rng.random() / 200) for k in range(60)}
+    rows = [(k, rng.randrange(8), float(rng.randrange(0, 5))) for k in range(60) for _ in range(rng.randrange(6))]
+    peaks = spark.createDataFrame(rows, "rid long, bin long, w double").repartition(4)
+    records = spark.createDataFrame([*mz.items()], "rid long, mz double")
+    asks = records.where("rid % 5 = 0").toDF("q", "q_mz")
+    sides = rangejoin.ppm_sides(asks, "q_mz", records, "mz", 2000)
+    array = pk.met(rangejoin.ppm_join(asks, "q_mz", records, "mz", 2000).select("q", "rid"), pk.normalised(pk.records(peaks, "rid", "bin", "w")), "rid", "q", "rid")
+    found = pk.shared(*sides, pk.flat_cosine(peaks, "rid", "bin", "w"), "rid", "q", "rid")
+    plain = lambda df, *c: {(r.q, r.rid): tuple(round(r[x], 9) for x in c) for r in df.collect()}
+    assert plain(pk.shared_cosine(found, ["q", "rid"]), "sim") == plain(pk.cosine(array), "sim") != {}
+    assert plain(pk.shared_reverse(found, ["q", "rid"]), "plain", "reverse", "hybrid") == plain(pk.reverse_cosine(array), "plain", "reverse", "hybrid")
+    weighed = pk.met(rangejoin.ppm_join(asks, "q_mz", records, "mz", 2000).select("q", "rid"), pk.entropy_weights(pk.records(peaks, "rid", "bin", "w")), "rid", "q", "rid")
+    flat = pk.shared(*sides, pk.flat_entropy(peaks, "rid", "bin", "w"), "rid", "q", "rid")
+    assert plain(pk.shared_entropy(flat, ["q", "rid"]), "sim") == plain(pk.entropy_similarity(weighed), "sim")
