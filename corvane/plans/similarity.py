@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bits, compose, metrics, peaks as pk, rangejoin, topk
+from ..operators import bits, candidates, compose, metrics, peaks as pk, rangejoin, topk
 from ..operators.ranking import average_rank
 from ..sources.tables import fingerprints, peaks, spectra
 from .joins import asked
@@ -138,6 +138,54 @@ def _(t):
     return wide.select("q", "key", "log_pool", "spectral", "spectral_rank", "spectral_gap", F.round("spectral_z", 5).alias("spectral_z"), "spectral_has")
 
 
+#: Candidates of a customer: parts within a hundredth of its mass, and the parts of its orders.
+POOL_PPM = 10000
+_TERMS27 = f"""ql as (select o_custkey as q, o_orderkey as record, l_partkey as key, l_quantity / 50 as sim, l_returnflag = 'R' as far, l_discount * 10 as near, l_quantity as w from orders join lineitem on o_orderkey = l_orderkey where o_custkey % 50 = 0),
+qs as (select c_custkey as q, 900 + (c_acctbal + 1000) / 10 as mass, n_records, best from customer join (select q, count(distinct record) as n_records, max(case when far then near else 0 end) as best from ql group by 1) on q = c_custkey),
+lib as (select p_partkey as key, p_retailprice as mass, count(l_orderkey) > 30 as internal, case when count(l_orderkey) > 0 then ln(1 + count(l_orderkey)) else 0 end as prior from part left join lineitem on l_partkey = p_partkey group by 1, 2),
+pool as (select q, key from qs join lib on abs(lib.mass - qs.mass) <= qs.mass * ({POOL_PPM} / 1e6::double)),
+sp as (select q, key, sum(s) as v from (select q, record, key, max(sim) as s from ql where not far group by 1, 2, 3) group by 1, 2),
+an as (select q, key, max(near) as v from ql where far group by 1, 2),
+tn as (select pool.q, pool.key, bit_count(a.fp & b.fp) / greatest(bit_count(a.fp | b.fp), 1)::double as t, sp.v as s, an.v as n from pool join fps a on a.key = pool.key join (select q, key from sp union select q, key from an) sd on sd.q = pool.q join fps b on b.key = sd.key left join sp on sp.q = sd.q and sp.key = sd.key left join an on an.q = sd.q and an.key = sd.key),
+tm as (select q, key, coalesce(max(s * t), 0) as analog, coalesce(max(pow(n, 3) * t), 0) as shifted, coalesce(max(n * t), 0) as shifted_linear, coalesce(max(case when n is not null then t end), 0) as shifted_plain from tn group by 1, 2),
+so as (select q, key, list_dot_product(p, b) as d, list_sum(p) as sp, list_sum(b) as sb from (select pool.q, pool.key, list_transform(e.embedding, lambda x: 1 / (1 + exp(-x::double))) as p, list_transform(f.embedding, lambda x: (x > 0)::int::double) as b from pool join embeddings e on e.vec_id = pool.q join embeddings f on f.vec_id = pool.key)),
+ca as (select q, key from pool union select q, key from sp),
+wd as (select q, key, round(coalesce(sp.v, 0), 9) as spectral, round(coalesce(analog, 0), 9) as analog, round(coalesce(d / (sb + so.sp - d), 0), 9) as fingerprint, round(coalesce(shifted, 0), 9) as shifted, round(coalesce(shifted_linear, 0), 9) as shifted_linear, round(coalesce(shifted_plain, 0), 9) as shifted_plain, (pool.q is not null)::int as in_pool, qs.mass as qmass, n_records, best as shifted_best, lib.mass as own, coalesce(internal, false) as internal, coalesce(prior, 0) as prior from ca join qs using (q) left join lib using (key) left join sp using (q, key) left join tm using (q, key) left join so using (q, key) left join pool using (q, key)),
+tt as (select *, max(spectral) over w / n_records as best_spectral, round(spectral + analog + 32 * fingerprint + 16 * shifted + case when max(spectral) over w / n_records < 0.8 then 0.5 * prior else 0 end, 9) as total, count(*) over w as rows, sum(in_pool) over w as pool_n from wd window w as (partition by q)),
+pl as (select *, row_number() over (partition by q order by total desc, key) as place from tt),
+rk as (select *, (place - 1) / greatest(rows - 1, 1)::double as total_rank, (row_number() over (partition by q order by fingerprint desc, place) - 1) / greatest(rows - 1, 1)::double as fingerprint_rank, (row_number() over (partition by q order by prior desc, place) - 1) / greatest(rows - 1, 1)::double as prior_rank, total - max(total) over w as total_gap, fingerprint - max(fingerprint) over w as fingerprint_gap, case when stddev_pop(fingerprint) over w >= 1e-9 then (fingerprint - avg(fingerprint) over w) / stddev_pop(fingerprint) over w else 0 end as fingerprint_z from pl window w as (partition by q)),
+kp as (select * from rk where place <= 100),
+ev as (select q, key, max(f) as fragments, sum(f) as fsum, sum(g) as gsum from (select kp.q, kp.key, record, sum(case when ql.key % 13 = kp.key % 13 then w else 0 end) / sum(w) as f, sum(case when ql.key % 13 <= kp.key % 13 then w else 0 end) / sum(w) as g from kp join ql on ql.q = kp.q group by 1, 2, 3) group by 1, 2)"""
+
+
+@plan("sim12_ranker_table", f"with {_TERMS27} select q, key, place::bigint as place, round(total, 5) as total, round(total_rank, 6) as total_rank, round(total_gap, 5) as total_gap, round(spectral / n_records, 6) as spectral, round(spectral / n_records - best_spectral, 6) as spectral_gap, (spectral > 0)::int::bigint as spectral_has, round(analog, 6) as analog, round(fingerprint, 6) as fingerprint, round(fingerprint_rank, 6) as fingerprint_rank, round(fingerprint_gap, 6) as fingerprint_gap, round(fingerprint_z, 5) as fingerprint_z, round(shifted, 6) as shifted, round(shifted_linear, 6) as shifted_linear, round(shifted_plain, 6) as shifted_plain, round(shifted_best, 6) as shifted_best, round(prior, 6) as prior, round(prior_rank, 6) as prior_rank, round(fragments, 6) as fragments, round(fsum / n_records, 6) as fragments_mean, round(fragments - max(fragments) over (partition by q), 6) as fragments_gap, round(gsum / n_records, 6) as formula, round(abs(qmass - own) / qmass * 1e6, 3) as ppm, round(ln(1 + pool_n), 6) as log_pool, round(best_spectral, 6) as best_spectral, n_records::bigint as n_records, in_pool::bigint as in_pool, internal::int::bigint as internal from kp join ev using (q, key)", "fps")
+def _(t):
+    """All 27 columns for the 100 best parts of each customer whose id is divisible by 50; spectra are its orders, analogs the parts it sent back."""
+    orders = t.orders.where("o_custkey % 50 = 0").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("l_orderkey"))
+    lines = t.lineitem.join(orders, "l_orderkey").select("q", F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("key"), (F.col("l_quantity") / 50).alias("sim"), (F.col("l_returnflag") == "R").alias("far"), (F.col("l_discount") * 10).alias("near"), F.col("l_quantity").alias("w"))
+    held = lines.groupBy("q", "record").agg(F.max(F.when(F.col("far"), F.col("near")).otherwise(0.0)).alias("best")).groupBy("q").agg(F.count("*").alias("n_records"), F.max("best").alias("shifted_best"))
+    queries = held.join(t.customer.select(F.col("c_custkey").alias("q"), (900 + (F.col("c_acctbal") + 1000) / 10).alias("mass")), "q")
+    n = t.lineitem.groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("n"))
+    library = t.part.select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("mass")).join(n, "key", "left").select("key", "mass", (F.col("n") > 30).alias("internal"), F.log1p("n").alias("prior"))
+    pool = rangejoin.ppm_join(queries.select("q", F.col("mass").alias("q_mass")), "q_mass", library.select("key", "mass"), "mass", POOL_PPM).select("q", "key")
+    fps = fingerprints(t).select("key", "fp")
+    spectral = compose.two_level(lines.where("not far"), "q", "record", "key", "sim").withColumnRenamed("score", "value")
+    far = lines.where("far").groupBy("q", "key").agg(F.max("near").alias("value"))
+    drawn = pool.join(fps, "key")
+    seeds = lambda found: found.join(fps, "key").select("q", F.col("fp").alias("seed_fp"), "value")
+    spread = lambda found, power: bits.propagated(drawn, seeds(found), "q", "key", "fp", "seed_fp", "value", power=power).withColumnRenamed("analog", "value")
+    p = t.embeddings.select(F.col("vec_id").alias("q"), F.transform("embedding", lambda x: 1 / (1 + F.exp(-x.cast("double")))).alias("p"))
+    b = t.embeddings.select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: (x > 0).cast("double")).alias("b"))
+    guessed = pool.join(p, "q").join(b, "key").select("q", "key", bits.soft_tanimoto(F.col("p"), F.col("b")).alias("value"))
+    terms = {"spectral": spectral, "analog": spread(spectral, 1.0), "fingerprint": guessed, "shifted": spread(far, 3.0), "shifted_linear": spread(far, 1.0), "shifted_plain": spread(far, 0.0)}
+    kept = candidates.listed(queries, pool, terms, library)
+    share = lambda ok: F.sum(F.when(ok, F.col("w")).otherwise(0)) / F.sum("w")
+    lot, own = F.col("part") % 13, F.col("key") % 13
+    evidence = kept.select("q", "key").join(lines.select("q", "record", F.col("key").alias("part"), "w"), "q").groupBy("q", "key", "record").agg(share(lot == own).alias("fragments"), share(lot <= own).alias("formula"))
+    rows = candidates.with_evidence(kept, evidence)
+    return rows.withColumns({"total": F.round("total", 5), "total_gap": F.round("total_gap", 5), "fingerprint_z": F.round("fingerprint_z", 5), "ppm": F.round("ppm", 3)})
+
+
 _R = "(rank() over (partition by label order by embedding[{i}]) + (count(*) over (partition by label, embedding[{i}]) - 1) / 2.0::double - 1) / greatest(1, count(*) over (partition by label) - 1)"
 
 
