@@ -33,7 +33,15 @@ def _(t):
 
 @plan("src09_position_slice", "with s as (select series, value, row_number() over (partition by series order by sec, event_id) - 1 as pos from signal) select series, pos::bigint as pos, round(value, 6) as value from s where pos between 10 and 29", "signal")
 def _(t):
-    return ranked(signal(t), ["series"], ["sec", "event_id"], "pos").where("pos between 10 and 29").select("series", "pos", "value")
+    """The table laid out by position in the shared folder, and a slice of 20 positions of each series read from it."""
+    import uuid
+
+    from ..operators.lineage import shared_dir
+    from ..sources import positioned
+
+    path = f"{shared_dir(t.spark)}/positions-{uuid.uuid4().hex}"
+    positioned.write(signal(t).select("series", "sec", "event_id", "value"), path, "series", ["sec", "event_id"])
+    return positioned.one_slice(t.spark, path, 10, 20).select("series", "pos", "value")
 
 
 @plan("src12_unlabelled", "select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
