@@ -223,17 +223,48 @@ def test_chain_against_brute_force(spark):
     kind = toxicity.kinds_of(x[toxic == 1], toxicity.KINDS)
     y = np.stack([*(np.bincount(np.flatnonzero(toxic)[kind == k], minlength=n) for k in range(toxicity.KINDS)), toxic], axis=1).astype(float)
     assert (y[:, :-1].sum(axis=1) == toxic).all()
-    seen = np.zeros((n, 0))
-    for k, w in enumerate(chain.weights):
-        inputs = np.hstack([x, seen])
-        assert len(w) == len(chain.terms) + k + 1
-        if 0 < y[:, k].sum() < n:  # at the least of the penalised loss its gradient is nothing
-            p = np.array([1 / (1 + np.exp(-(sum(r * c for r, c in zip(row, w)) + w[-1]))) for row in inputs])
-            assert np.abs(inputs.T @ (p - y[:, k]) + 0.3 * w[:-1]).max() < 1e-2 and abs((p - y[:, k]).sum()) < 1e-2
-        out = np.zeros(n)
-        for f in set(folds.tolist()):
-            out[folds == f] = toxicity.probabilities(inputs[folds == f], toxicity.fit_logistic(inputs[folds != f], y[folds != f, k]))
-        seen = np.hstack([seen, out[:, None]])
+    everyone = [words[i] for i in sorted(truth, key=lambda i: (zlib.crc32(str(i).encode()), truth[i]))]
+
+    def without(out, k):
+        """Category k's model without the folds: terms, kinds and inputs of its own rows alone; (terms, weights of 0 to k)."""
+        on = [i for i in range(n) if folds[i] not in out]
+        hot, a, m = sum(toxic[i] for i in on), Counter(w for i in on if toxic[i] for w in everyone[i]), Counter(w for i in on for w in everyone[i])
+        gap = {w: a[w] * len(on) - m[w] * hot for w in a if a[w] >= 3}
+        by = {w: g * g / (m[w] * (len(on) + 1 - m[w])) for w, g in gap.items() if g > 0}
+        own_terms = sorted(sorted(by, key=lambda w: (-by[w], w))[: toxicity.TERMS])
+        own_x = np.array([[float(t in everyone[i]) for t in own_terms] for i in on])
+        hot_rows = [p for p, i in enumerate(on) if toxic[i]]
+        own_kind = toxicity.kinds_of(own_x[hot_rows], toxicity.KINDS)
+        if out:
+            whole = dict(zip(np.flatnonzero(toxic).tolist(), kind.tolist(), strict=True))
+            same = sum(own_kind[p] == whole[on[r]] for p, r in enumerate(hot_rows))
+            if 2 * same < len(hot_rows):
+                own_kind = 1 - own_kind
+        seen, fits = np.zeros((len(on), 0)), []
+        for j in range(k + 1):
+            target = np.zeros(len(on))
+            for p, r in enumerate(hot_rows):
+                target[r] = 1 if j == toxicity.KINDS else own_kind[p] == j
+            fits.append((np.hstack([own_x, seen]), target))
+            if j < k:
+                column = np.zeros(len(on))
+                for f in {folds[i] for i in on}:
+                    other_terms, models = without(out | {int(f)}, j)
+                    for r, i in enumerate(on):
+                        if folds[i] == f:
+                            at = [float(t in everyone[i]) for t in other_terms]
+                            for w in models:
+                                at.append(toxicity.probabilities(np.array([at]), w)[0])
+                            column[r] = at[-1]
+                seen = np.hstack([seen, column[:, None]])
+        return own_terms, [toxicity.fit_logistic(v, y) for v, y in fits]
+
+    root_terms, weights = without(frozenset(), toxicity.KINDS)
+    assert root_terms == list(chain.terms) and len(weights) == len(chain.weights)
+    for k, (w, own) in enumerate(zip(weights, chain.weights, strict=True)):
+        assert len(own) == len(chain.terms) + k + 1 and np.allclose(w, own, atol=1e-6)
+    p = np.array([1 / (1 + np.exp(-(sum(r * c for r, c in zip(row, chain.weights[0])) + chain.weights[0][-1]))) for row in x])
+    assert np.abs(x.T @ (p - y[:, 0]) + 0.3 * chain.weights[0][:-1]).max() < 1e-2  # at the least of the penalised loss its gradient is nothing
     for r in toxicity.score(docs, chain).collect():
         own, ps = toxicity.words(texts[r["doc_id"]]), []
         for w in chain.weights:
