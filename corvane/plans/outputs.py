@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import compose, metrics, models
+from ..operators import compose, metrics, models, reports
+from ..operators.lineage import cut
 from ..operators.ranking import quantiles
 from ..operators.splits import group_fold
 from ..sources import sinks
@@ -290,6 +291,41 @@ def _(t):
     return stage("raw", F.col("m")).union(stage("clipped", F.least("m", F.lit(50.0))))
 
 
+_LINES = "b as (select l_orderkey as q, l_partkey * 10000000 + l_suppkey * 100 + l_linenumber as line, l_quantity, l_extendedprice, l_discount, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) as brought from lineitem), r as (select *, (row_number() over (partition by q order by brought desc, line) = 1)::int as y from b)"
+
+
+def _candidate_lines(t):
+    """An order's lines as a candidate list: y marks the line that brought the most."""
+    brought = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    line = F.col("l_partkey") * 10000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("q"), line.alias("line"), "l_quantity", "l_extendedprice", "l_discount", brought.alias("brought"))
+    first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("brought"), "line")) == 1
+    return rows.withColumn("y", first.cast("int")).drop("brought")
+
+
+@plan("evl08_table", f"with {_LINES}, p as (select q, min(case when y = 1 then place end) as place from (select *, row_number() over (partition by q order by l_discount desc, line) as place from r) group by 1) select o_orderpriority as cohort, count(*)::bigint as queries, round(avg(case when place <= 2 then 1.0::double / place else 0 end), 6) as mrr, coalesce(sum((place <= 2)::int), 0)::bigint as near, count(place)::bigint as listed from orders left join p on q = o_orderkey group by 1")
+def _(t):
+    """How the discount stands as a score for an order's best line, by priority."""
+    queries = t.orders.select(F.col("o_orderkey").alias("q"), F.col("o_orderpriority").alias("cohort"))
+    return reports.standing(_candidate_lines(t), queries, "q", "line", "l_discount", "y", "cohort", most=2)
+
+
+@plan("evl08_feature_auc", f"with {_LINES}, u as (unpivot (select q, y, l_quantity::double as l_quantity, l_extendedprice::double as l_extendedprice, l_discount::double as l_discount from r) on l_quantity, l_extendedprice, l_discount into name feature value v), k as (select *, rank() over (partition by feature, q order by v) + (count(*) over (partition by feature, q, v) - 1) / 2.0::double as rk from u), a as (select feature, q, (sum(case when y = 1 then rk else 0 end) - 1) / (count(*) - 1) as auc from k group by 1, 2 having count(*) > 1) select feature, round(avg(auc), 6) as auc, count(*)::bigint as queries from a group by 1")
+def _(t):
+    return reports.feature_auc(_candidate_lines(t), "q", ["l_quantity", "l_extendedprice", "l_discount"], "y")
+
+
+@plan("evl08_cv")
+def _(t):
+    """What the learned ranker gains over the quantity on held-out orders, by priority."""
+    from ..operators import ranker
+
+    queries = t.orders.select(F.col("o_orderkey").alias("q"), F.col("o_orderpriority").alias("cohort"))
+    settings = ranker.Settings(trees=2, depth=2, bins=16, rate=0.3, seeds=(0,))
+    oof = cut(reports.cross_validated(_candidate_lines(t), "q", "line", ["l_quantity", "l_extendedprice", "l_discount"], "y", folds=2, settings=settings))
+    return reports.gain(oof, queries, "q", "line", "l_quantity", "score", "y", "cohort")
+
+
 @plan("evl07_out_of_fold")
 def _(t):
     rows = t.orders.select("o_orderkey", F.array(F.lit(1.0), (F.col("o_custkey") % 100).cast("double")).alias("x"), F.col("o_totalprice").alias("y"), group_fold(F.col("o_custkey"), 3).alias("fold"))

@@ -11,7 +11,7 @@ from corvane import plans
 from .conftest import SMALL
 
 #: Queries without a twin: seeded or iterative work, checked elsewhere.
-ROWS_ONLY = {"agg21_bootstrap", "evl07_out_of_fold", "mlo01_one_vs_rest", "mlo04_boosted_trees", "mlo05_kernel_ridge", "mlo05_nu_svr", "mlo07_lambdarank", "mlo07_pairwise_ranker", "mlo09_ranking_network", "mlo11_pseudo_labels", "mlo12_head_variants", "mlo14_mlp_probe", "mlo15_grouped_cv", "scf42_spectrum", "top09_backward_elimination", "udf04_subformulas", "udf05_evidence_with_adducts", "udf05_explained_by_formula", "udf06_fragments", "udf06_structure_fragments", "udf12_log_mel", "win19_hashed_crop"}
+ROWS_ONLY = {"agg21_bootstrap", "evl07_out_of_fold", "evl08_cv", "mlo01_one_vs_rest", "mlo04_boosted_trees", "mlo05_kernel_ridge", "mlo05_nu_svr", "mlo07_lambdarank", "mlo07_pairwise_ranker", "mlo09_ranking_network", "mlo11_pseudo_labels", "mlo12_head_variants", "mlo14_mlp_probe", "mlo15_grouped_cv", "scf42_spectrum", "top09_backward_elimination", "udf04_subformulas", "udf05_evidence_with_adducts", "udf05_explained_by_formula", "udf06_fragments", "udf06_structure_fragments", "udf12_log_mel", "win19_hashed_crop"}
 
 
 @pytest.fixture(scope="module")
