@@ -104,3 +104,24 @@ def feature_auc(rows: DataFrame, query: str, features: list[str], label: str) ->
     p, n = F.col("__p"), F.col("__n") - F.col("__p")
     each = sums.where((p > 0) & (n > 0)).withColumn("__auc", (F.col("__sum") - p * (p + 1) / 2) / (p * n))
     return each.groupBy("feature").agg(F.avg("__auc").alias("auc"), F.count("*").alias("queries"))
+
+
+def swept(rows: DataFrame, queries: DataFrame, query: str, row: str, label: str, settings: list[dict[str, float]], most: int = MOST) -> DataFrame:
+    """A row for each setting (term: weight, the same terms in all): its weights, queries, and the mean reciprocal rank of the weighed sum.
+
+    The candidates are read and shuffled by query once, however many settings there are: each is a column of sums. Null terms count as 0; sums are rounded to 9 digits; ties go by row,
+    which is a number; queries without rows or without an answer count as 0.
+    """
+    terms = list(settings[0])
+    if any(set(s) != set(terms) for s in settings):
+        raise ValueError("all settings weigh the same terms")
+    marks = [F.struct(F.round(sum((F.coalesce(F.col(t).cast("double"), F.lit(0.0)) * float(s[t]) for t in terms), F.lit(0.0)), 9).alias("score"), (-F.col(row)).alias("row")) for s in settings]
+    slim = rows.select(query, (F.col(label) == 1).alias("__hit"), *[m.alias(f"__m{k}") for k, m in enumerate(marks)])
+    own = Window.partitionBy(query)
+    best = slim.withColumns({f"__b{k}": F.max(F.when(F.col("__hit"), F.col(f"__m{k}"))).over(own) for k in range(len(settings))})
+    places = [(F.sum((F.col(f"__m{k}") > F.col(f"__b{k}")).cast("long")) + 1).alias(f"__p{k}") for k in range(len(settings))]  # null without an answer
+    each = queries.select(query).join(best.groupBy(query).agg(*places), query, "left")
+    mean = lambda k: F.avg(F.when(F.col(f"__p{k}") <= most, 1 / F.col(f"__p{k}")).otherwise(0.0))
+    one = each.agg(F.count("*").alias("queries"), *[mean(k).alias(f"__r{k}") for k in range(len(settings))])
+    lines = [F.struct(*[F.lit(float(s[t])).alias(t) for t in terms], "queries", F.col(f"__r{k}").alias("mrr")) for k, s in enumerate(settings)]
+    return one.select(F.explode(F.array(*lines)).alias("r")).select("r.*")

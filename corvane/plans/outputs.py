@@ -315,6 +315,14 @@ def _(t):
     return reports.feature_auc(_candidate_lines(t), "q", ["l_quantity", "l_extendedprice", "l_discount"], "y")
 
 
+@plan("evl05_weight_sweep", f"with {_LINES}, g as (select * from (select unnest([0.0::double, 0.5, 1.0]) as l_quantity), (select unnest([0.0::double, 100.0, -100.0]) as l_discount)), x as (select g.l_quantity as wq, g.l_discount as wd, q, y, row_number() over (partition by g.l_quantity, g.l_discount, q order by round(g.l_quantity * r.l_quantity + g.l_discount * r.l_discount, 9) desc, line) as place from r, g), p as (select wq, wd, q, 1.0::double / min(case when y = 1 then place end) as rr from x group by 1, 2, 3) select wq as l_quantity, wd as l_discount, (select count(*) from orders)::bigint as queries, round(sum(rr) / (select count(*) from orders), 6) as mrr from p group by 1, 2")
+def _(t):
+    """Nine weighings of two terms by what they find of each order's best line, from one pass over the lines."""
+    settings = [{"l_quantity": a, "l_discount": b} for a in (0.0, 0.5, 1.0) for b in (0.0, 100.0, -100.0)]
+    queries = t.orders.select(F.col("o_orderkey").alias("q"))
+    return reports.swept(_candidate_lines(t), queries, "q", "line", "y", settings, most=1000)
+
+
 @plan("evl08_cv")
 def _(t):
     """What the learned ranker gains over the quantity on held-out orders, by priority."""

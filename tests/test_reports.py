@@ -87,3 +87,17 @@ def test_empty_tables(table):
     assert reports.feature_auc(df.where("false"), "q", FEATURES, "y").count() == 0
     assert {(r["mrr"], r["near"], r["listed"]) for r in reports.standing(df.where("false"), queries, "q", "k", "a", "y", "odd").collect()} == {(0.0, 0, 0)}
     assert reports.standing(df, queries.where("false"), "q", "k", "a", "y", "odd").count() == 0
+
+
+def test_sweep(table):
+    rows, df, queries = table
+    settings = [{"a": a, "b": b} for a in (0.0, 1.0) for b in (0.5, -2.0)]
+    got = {(r["a"], r["b"]): r for r in reports.swept(df, queries, "q", "k", "y", settings, most=3).collect()}
+    assert len(got) == 4
+    for s in settings:
+        want = [rr(rows, q, lambda r: s["a"] * r[2] + s["b"] * (r[3] or 0.0), 3)[0] for q in range(62)]
+        r = got[s["a"], s["b"]]
+        assert r["queries"] == 62 and r["mrr"] == pytest.approx(np.mean(want))
+    assert [r["mrr"] for r in reports.swept(df.where("false"), queries, "q", "k", "y", settings).collect()] == [0.0] * 4
+    with pytest.raises(ValueError, match="same terms"):
+        reports.swept(df, queries, "q", "k", "y", [{"a": 1.0}, {"b": 1.0}])
