@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import topk
-from ..operators.ranking import numbered, placed as ranked, quantiles, running_before
+from ..operators.ranking import numbered, quantiles, running_before
 from ..sources import readers
 from ..sources.tables import scores, signal
 from .registry import plan
