@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .models import ensemble_score
 
 
@@ -128,7 +129,7 @@ def fit(df: DataFrame, query: str, row: str, features: list[str], label: str, we
             trees[k].append(tree)
         statistics.unpersist()
         if (t + 1) % s.kept_after == 0 and t + 1 < s.trees:
-            kept = _scored(base, [x[since:] for x in trees], edges).checkpoint()
+            kept = cut(_scored(base, [x[since:] for x in trees], edges))
             base.unpersist()
             base, since = kept, t + 1
         scored.unpersist()
