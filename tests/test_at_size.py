@@ -28,3 +28,9 @@ def test_windows_in_slots_give_the_same(spark, monkeypatch, name):
     monkeypatch.setattr(pk, "PER_SLOT", 20)
     got = rows()
     assert got.keys() == whole.keys() and whole and all(got[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_shifted_search_compares_no_whole_records(spark, monkeypatch):
+    got = plans.QUERIES["sim05_shifted"](spark, SMALL)
+    assert got.count() > 0 and not any({"q", "rid"} <= set(re.findall(r"(\w+)#", keys)) for keys in shuffles(got))
+    assert "_peaks" not in got._jdf.queryExecution().executedPlan().toString()
