@@ -72,3 +72,21 @@ def test_flagship_keeps_the_best_before_it_shuffles(spark):
     got = plans.QUERIES["flagship_library_search"](spark, SMALL)
     assert not any({"q", "rid"} <= set(re.findall(r"(\w+)#", keys)) for keys in shuffles(got))
     assert "WindowGroupLimit [q_key" in (plan := got._jdf.queryExecution().executedPlan().toString()) or re.search(r"WindowGroupLimit \[qkey#\w+, q#", plan)
+
+
+def test_spectra_of_one_candidate_together():
+    """Shares of many spectra at once are those of each alone."""
+    import numpy as np
+
+    from corvane.functions import adducts
+
+    draw, names = np.random.default_rng(0), ["[M+H]+", "[M+Na]+"]
+    formula, sizes = {"C": 6, "H": 12, "O": 2}, [3, 0, 5, 1]
+    row = np.repeat(np.arange(4), sizes)
+    mz, weight, at = draw.uniform(0, 120, 9), draw.uniform(0, 5, 9), np.array([117.09, 50.0, 139.07, 117.1])
+    own = [(mz[row == k], weight[row == k]) for k in range(4)]
+    want = [adducts.explained_by_formula(formula, m, w, at[k], names, 0.3) for k, (m, w) in enumerate(own)]
+    assert adducts.all_explained_by_formula(formula, mz, weight, row, at, names, 0.3).tolist() == pytest.approx(want) and max(want) > 0
+    ions = adducts.ions_of([15.0, 43.0, 80.0], "[M+Na]+")
+    want = [adducts.explained_by_pieces([15.0, 43.0, 80.0], m, w, "[M+Na]+", 5.0) for m, w in own]
+    assert adducts.all_explained_by_pieces(ions, mz, weight, row, 4, 5.0).tolist() == pytest.approx(want) and max(want) > 0
