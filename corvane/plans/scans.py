@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import topk
+from ..operators import rangejoin, topk
 from ..operators.ranking import numbered, quantiles, running_before
 from ..sources import readers
 from ..sources.tables import scores, signal
@@ -157,7 +157,9 @@ def _(t):
 
 @plan("flt13_same_attribute", "select a.p_partkey, b.s_suppkey from part a join supplier b on a.p_size = b.s_nationkey")
 def _(t):
-    return t.part.join(t.supplier, F.col("p_size") == F.col("s_nationkey")).select("p_partkey", "s_suppkey")
+    parts, suppliers = t.part.select("p_partkey", F.col("p_size").cast("long").alias("k")), t.supplier.select("s_suppkey", F.col("s_nationkey").cast("long").alias("k"))
+    suppliers, parts = rangejoin.shared_out(suppliers, parts, "k", "p_partkey")
+    return parts.join(suppliers.hint("shuffle_hash"), ["k", "__lot"]).select("p_partkey", "s_suppkey")
 
 
 _CYCLES = "c as (select *, row_number() over (partition by series order by sec, event_id) - 1 as pos, sum(reset::int) over (partition by series order by sec, event_id) as cycle from signal)"

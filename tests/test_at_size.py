@@ -90,3 +90,15 @@ def test_spectra_of_one_candidate_together():
     ions = adducts.ions_of([15.0, 43.0, 80.0], "[M+Na]+")
     want = [adducts.explained_by_pieces([15.0, 43.0, 80.0], m, w, "[M+Na]+", 5.0) for m, w in own]
     assert adducts.all_explained_by_pieces(ions, mz, weight, row, 4, 5.0).tolist() == pytest.approx(want) and max(want) > 0
+
+
+def test_pairs_of_a_key_in_lots_give_the_same(spark, monkeypatch):
+    """Joins on a few keys deal a key's pairs to many tasks."""
+    from corvane.operators import rangejoin
+
+    monkeypatch.setattr(rangejoin, "PAIRS", 50)
+    got = plans.QUERIES["flt13_same_attribute"](spark, SMALL)
+    assert any("__lot" in keys for keys in shuffles(got))
+    part, supplier = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("part", "supplier"))
+    want = part.join(supplier, part["p_size"] == supplier["s_nationkey"]).select("p_partkey", "s_suppkey")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
