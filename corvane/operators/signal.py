@@ -136,9 +136,10 @@ def rms(samples: Column) -> Column:
 def mix_at_snr(front: Column, back: Column, snr_db: Column) -> Column:
     """front plus back scaled to the signal-to-noise ratio, scaled down where a sample exceeds 1. Arrays of equal length."""
     gain = F.when(rms(back) > 0, rms(front) / (rms(back) * F.pow(F.lit(10.0), snr_db / 20))).otherwise(0.0)
-    mixed = F.zip_with(front, back, lambda f, b: f + gain * b)
-    peak = F.array_max(F.transform(mixed, lambda v: F.abs(v)))
-    return F.transform(mixed, lambda v: v / F.greatest(peak, F.lit(1.0)))
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  # a lambda's outer expressions are worked out anew for each sample
+    mixed = once(gain, lambda g: F.zip_with(front, back, lambda f, b: f + g * b))
+    peak = lambda m: F.greatest(F.array_max(F.transform(m, lambda v: F.abs(v))), F.lit(1.0))
+    return once(mixed, lambda m: once(peak(m), lambda p: F.transform(m, lambda v: v / p)))
 
 
 def quantised(samples: Column) -> Column:

@@ -114,3 +114,11 @@ def test_labels_in_blocks_give_the_same(spark, monkeypatch, name):
     monkeypatch.setattr(blocks, "BLOCK", 7)
     got = rows()
     assert whole and len(got) == len(whole) and all(a == pytest.approx(b) for a, b in zip(got, whole, strict=True))
+
+
+def test_a_lambda_works_out_nothing_twice():
+    from pyspark.sql import functions as F
+
+    from corvane.operators.signal import mix_at_snr
+
+    assert str(mix_at_snr(F.col("a"), F.col("b"), F.lit(6.0))).lower().count("pow") == 1
