@@ -122,3 +122,12 @@ def test_a_lambda_works_out_nothing_twice():
     from corvane.operators.signal import mix_at_snr
 
     assert str(mix_at_snr(F.col("a"), F.col("b"), F.lit(6.0))).lower().count("pow") == 1
+
+
+def test_formulas_are_spread_and_worked_out_once(spark):
+    from corvane.plans.scalars import _once
+
+    asked = []
+    fn = _once(lambda text: asked.append(text) or len(text), most=2)
+    assert [fn(x) for x in ("a", "bb", "a", "a")] == [1, 2, 1, 1] and asked == ["a", "bb"]
+    assert "RoundRobinPartitioning" in plans.QUERIES["udf04_subformulas"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
