@@ -44,6 +44,16 @@ def shared_out(asks: DataFrame, rows: DataFrame, on: str, by: str, pairs: int |
     return asks.repartition(n, on, "__lot"), rows.repartition(n, on, "__lot")
 
 
+#: Rows of a task that sorts or groups them.
+ROWS = 500_000
+
+
+def by_size(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """df dealt by the keys to as many tasks as its number of rows asks for, so that what a task holds doesn't grow with the table."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-rows // ROWS), MOST_PARTS))
+    return df.repartition(n, *keys)
+
+
 def absolute_join(queries: DataFrame, q_value: str, library: DataFrame, l_value: str, tolerance: float) -> DataFrame:
     """Pairs with abs(l_value - q_value) <= tolerance. A query meets two or three bins of width 2 * tolerance; a library row lies in one."""
     width = 2 * tolerance
