@@ -131,3 +131,22 @@ def test_formulas_are_spread_and_worked_out_once(spark):
     fn = _once(lambda text: asked.append(text) or len(text), most=2)
     assert [fn(x) for x in ("a", "bb", "a", "a")] == [1, 2, 1, 1] and asked == ["a", "bb"]
     assert "RoundRobinPartitioning" in plans.QUERIES["udf04_subformulas"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_odd_kinds():
+    import pyarrow as pa
+
+    from corvane.operators import blocks
+
+    p = blocks.vectors(pa.array([[0.5, 0.5], None, [1.0], [None, 1.0], []], pa.list_(pa.float64())))
+    assert blocks.soft_tanimotos(p, [p[0] * 2, p[2]]).tolist() == [[0.5, 0.0], [0.0, 0.0], [0.0, 1.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("name", ["agg01_two_level", "snk08_log_once", "evl08_feature_auc"])
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch, name):
+    """A larger table is dealt to more tasks than the session's shuffles have."""
+    from corvane.operators import rangejoin
+
+    monkeypatch.setattr(rangejoin, "ROWS", 100)
+    plan = plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert max(int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan)) > 20
