@@ -5,6 +5,10 @@ is among the query's `top` best by the current score and the labels differ; it w
 NDCG at `top` changes when the two swap places. So a row needs its query's best rows only, which are
 joined to it, and what it does to one of them is added to the histograms at that one's bins: sums of
 gradients are all that a tree is grown from, and they add up over tasks.
+
+Queries of at most WHOLE rows with labels 0 and 1 lie whole in blocks: a row of binaries holds some
+thousands of rows of many queries, so their places and pairs need neither a shuffle nor a copy for
+each tree, and a task works on whole arrays.
 """
 
 from __future__ import annotations
@@ -17,6 +21,10 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 from .models import ensemble_score
+from .rangejoin import MOST_PARTS, ROWS
+
+#: Rows of a query that lies whole in a block, at most, and of a block, about.
+WHOLE, BLOCK = 256, 16_384
 
 
 @dataclass(frozen=True)
@@ -47,6 +55,24 @@ class Ranker:
         every = [ensemble_score(t, self.features) for t in self.trees]
         return sum(every[1:], every[0]) / len(every)
 
+    def scored(self, df: DataFrame, name: str = "score") -> DataFrame:
+        """df with a column of score(), worked out by whole batches: the expression of many trees is too long for the JVM to compile."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import DoubleType, StructField, StructType
+
+        out = StructType([*df.schema.fields, StructField(name, DoubleType())])
+        flat, n, schema = self.flat(), len(self.features), to_arrow_schema(out)
+        x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.features])
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                scores = flat_scores(flat, np.asarray(b.column(b.num_columns - 1).flatten()).reshape(-1, n))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], schema=schema)
+
+        return df.select(*df.columns, x.alias("__x")).mapInArrow(run, out)
+
     def flat(self) -> list[dict[str, np.ndarray]]:
         """For each seed flat arrays over all nodes of its trees: feature (-1 in leaves), threshold, left, right, value, and root of each tree."""
         out = []
@@ -116,24 +142,43 @@ def fit(df: DataFrame, query: str, row: str, features: list[str], label: str, we
     values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
     rows = held.select(F.col(query).alias("query"), F.col(row).cast("long").alias("row"), F.col(label).cast("int").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), values.alias("x"))
     ideal = np.cumsum(discounts(s.top)).tolist()
-    sizes = rows.groupBy("query").agg(F.sum("label").alias("positives"), F.count("*").alias("size")).where("positives > 0 and positives < size")
-    sizes = sizes.select("query", F.element_at(F.array(*map(F.lit, ideal)), F.least("positives", F.lit(s.top)).cast("int")).alias("ideal"))
+    sizes = rows.groupBy("query").agg(F.sum("label").alias("positives"), F.count("*").alias("size"), (F.min("label") >= 0).alias("__low"), (F.max("label") <= 1).alias("__high")).where("positives > 0 and positives < size")
+    whole = (F.col("size") <= WHOLE) & F.col("__low") & F.col("__high")
+    sizes = sizes.select("query", F.element_at(F.array(*map(F.lit, ideal)), F.least("positives", F.lit(s.top)).cast("int")).alias("ideal"), "size", whole.alias("whole")).persist()
     seeds = range(len(s.seeds))
-    base = _binned(rows.join(sizes, "query"), edges, len(seeds)).persist()
+    counts = {r["whole"]: r for r in sizes.groupBy("whole").agg(F.sum("size").alias("rows"), F.count("*").alias("queries")).collect()}  # two rows at most
+    blocks = _blocks(rows, sizes, counts[True]["rows"], False in counts, edges).persist() if True in counts else None
+    base = _binned(rows.join(sizes.where("not whole").select("query", "ideal"), "query"), edges, len(seeds)).persist() if False in counts else None
     trees: list[list[list[dict]]] = [[] for _ in seeds]
     since = 0
     for t in range(s.trees):
-        scored = _scored(base, [x[since:] for x in trees], edges).persist()
-        statistics = _statistics(scored.join(_best(scored, s.top, len(seeds)), "query"), len(edges), s, t).persist()
-        for k, tree in enumerate(_grown(statistics, edges, s, t)):
+        later = [x[since:] for x in trees]
+        in_blocks = _block_statistics(blocks, later, edges, s, t).persist() if blocks is not None else None
+        scored = statistics = None
+        if base is not None:
+            scored = _scored(base, later, edges).persist()
+            statistics = _statistics(scored.join(_best(scored, s.top, len(seeds)), "query"), len(edges), s, t).persist()
+        for k, tree in enumerate(_grown(statistics, edges, s, t, in_blocks)):
             trees[k].append(tree)
-        statistics.unpersist()
+        for df in (statistics, in_blocks):
+            if df is not None:
+                df.unpersist()
         if (t + 1) % s.kept_after == 0 and t + 1 < s.trees:
-            kept = cut(_scored(base, [x[since:] for x in trees], edges))
-            base.unpersist()
-            base, since = kept, t + 1
-        scored.unpersist()
-    base.unpersist()
+            later = [x[since:] for x in trees]
+            if base is not None:
+                kept = cut(_scored(base, later, edges))
+                base.unpersist()
+                base = kept
+            if blocks is not None:
+                kept = cut(_block_scored(blocks, later, edges))
+                blocks.unpersist()
+                blocks = kept
+            since = t + 1
+        if scored is not None:
+            scored.unpersist()
+    for df in (base, blocks, sizes):
+        if df is not None:
+            df.unpersist()
     return Ranker(features, trees)
 
 
@@ -236,14 +281,16 @@ def _cut(pdf, top: int):
     return pdf[pdf.groupby(["query", "seed"], sort=False).cumcount() < top]
 
 
-def _grown(statistics: DataFrame, edges: list[list[float]], s: Settings, t: int) -> list[list[dict]]:
-    """A tree for each seed, grown level by level from histograms."""
+def _grown(statistics: DataFrame | None, edges: list[list[float]], s: Settings, t: int, blocks: DataFrame | None = None) -> list[list[dict]]:
+    """A tree for each seed, grown level by level from histograms of rows and of blocks."""
     seeds = range(len(s.seeds))
     trees: list[list[dict]] = [[{}] for _ in seeds]
     chosen = [np.random.default_rng([seed, t]).permutation(len(edges))[: max(1, round(s.features * len(edges)))] for seed in s.seeds]
     open_nodes = [{0} for _ in seeds]
     for level in range(s.depth + 1):
-        found = _splits(statistics, trees, open_nodes, chosen, edges, s)
+        if level == s.depth:  # the last leaves need their sums alone, which any one feature's cells add up to
+            chosen = [c[:1] for c in chosen]
+        found = _splits(statistics, trees, open_nodes, chosen, edges, s, blocks)
         more = False
         for k in seeds:
             for node in sorted(open_nodes[k]):
@@ -266,22 +313,27 @@ def _grown(statistics: DataFrame, edges: list[list[float]], s: Settings, t: int)
     return trees
 
 
-def _splits(statistics: DataFrame, trees, open_nodes, chosen, edges, s: Settings) -> dict:
+def _splits(statistics: DataFrame | None, trees, open_nodes, chosen, edges, s: Settings, blocks: DataFrame | None = None) -> dict:
     """(seed, node, feature) -> the best split there, with the node's sums. Each task adds up its own histograms; theirs add up by (seed, node, feature)."""
     width = max((len(e) for e in edges), default=0) + 1
     names = [sorted(x) for x in open_nodes]
 
-    def add(batches):
+    def of_rows(batch):
+        yield _bins_of(batch), np.moveaxis(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, len(names), 3), 0, 2)
+
+    def of_blocks(batch):
+        for bins, sums in zip(batch.column(0), batch.column(1), strict=True):
+            bins = np.frombuffer(bins.as_buffer(), np.uint8).reshape(-1, len(edges))
+            yield bins, np.frombuffer(sums.as_buffer()).reshape(len(names), 3, len(bins))
+
+    def add(batches, parts_of):
         import pyarrow as pa
 
         total = [np.zeros((len(n), len(edges), width, 3)) for n in names]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, sums = _bins_of(batch), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, len(names), 3)
+        for bins, sums in (part for batch in batches if batch.num_rows for part in parts_of(batch)):
             for k, nodes in enumerate(names):
                 if nodes:
-                    _fill(total[k], bins, _leaves(bins, trees[k], edges), nodes, chosen[k], *sums[:, k].T)
+                    _fill(total[k], bins, _leaves(bins, trees[k], edges), nodes, chosen[k], *sums[k])
         keys, cells = [], []
         for k, nodes in enumerate(names):
             for n, node in enumerate(nodes):
@@ -310,7 +362,13 @@ def _splits(statistics: DataFrame, trees, open_nodes, chosen, edges, s: Settings
         types = [pa.int32()] * 4 + [pa.float64()] * 3
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(7)], ["seed", "node", "feature", "bin", "gain", "g", "h"])
 
-    parts = statistics.mapInArrow(add, "seed int, node int, feature int, cells array<double>").repartition("seed", "node", "feature")
+    def added(df: DataFrame, parts_of):
+        return df.mapInArrow(lambda batches: add(batches, parts_of), "seed int, node int, feature int, cells array<double>")
+
+    found = [added(df, of) for df, of in ((statistics, of_rows), (blocks, of_blocks)) if df is not None]
+    if not found:
+        return {}
+    parts = (found[0].unionByName(found[1]) if len(found) > 1 else found[0]).repartition("seed", "node", "feature")
     got = parts.mapInArrow(split, "seed int, node int, feature int, bin int, gain double, g double, h double").collect()  # seeds x open nodes x features
     return {(r.seed, r.node, r.feature): r.asDict() for r in got}
 
@@ -323,6 +381,137 @@ def _sampled(query_codes: np.ndarray, queries, seed: int, t: int, share: float)
     return seen[query_codes]
 
 
+_BLOCK = "names array<binary>, sizes binary, labels binary, weights binary, ideals binary, bins binary, scores binary"
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, n_rows: int, others: bool, edges: list[list[float]]) -> DataFrame:
+    """A row for about BLOCK rows of queries that lie whole in it: by query its id as text, size, weight and ideal, by row label, bins and scores (empty: 0). Rows of a query go by their number."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-n_rows // ROWS), MOST_PARTS))
+    if others:  # before they are dealt: those may have any number of rows
+        rows = rows.join(sizes.where("whole").select("query"), "query", "left_semi")
+    dealt = rows.repartition(n, "query").join(sizes.where("whole").select("query", "ideal").repartition(n, "query"), "query")
+    dealt = dealt.sortWithinPartitions("query", "row").select("query", "label", "weight", "ideal", "x")
+
+    def pack(table):
+        import pyarrow as pa
+
+        query = table.column("query").combine_chunks()
+        first = _starts(query)
+        x = np.asarray(table.column("x").combine_chunks().flatten()).reshape(len(query), -1)
+        bins = np.stack([np.where(np.isnan(x[:, k]), 0, np.searchsorted(e, x[:, k])) for k, e in enumerate(edges)], axis=1).astype(np.uint8)
+        weight, ideal = (np.asarray(table.column(c))[first] for c in ("weight", "ideal"))
+        held = [np.diff(np.append(first, len(query))).astype(np.int32), np.asarray(table.column("label")).astype(np.uint8), weight, ideal, bins]
+        names = pa.array([[str(q).encode() for q in query.take(pa.array(first)).to_pylist()]], pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([names, *[pa.array([v.tobytes()], pa.binary()) for v in [*held, np.zeros(0)]]], _names(_BLOCK))
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept: list = []
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+            if sum(b.num_rows for b in kept) >= BLOCK:
+                table = pa.Table.from_batches(kept)
+                first = _starts(table.column("query").combine_chunks())
+                last = int(first[-1])  # the last query may go on
+                cuts = np.unique([0, *first[np.searchsorted(first, np.arange(BLOCK, last, BLOCK))], last])
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield pack(table.slice(int(a), int(b - a)))
+                kept = table.slice(last).to_batches()
+        if kept:
+            yield pack(pa.Table.from_batches(kept))
+
+    return dealt.mapInArrow(run, _BLOCK)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _starts(query) -> np.ndarray:
+    """Where each query of a sorted Arrow array begins."""
+    codes = np.asarray(query.dictionary_encode().indices)
+    return np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+
+
+def _numbers_of(batch, name: str, k: int, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[k].as_buffer(), kind)
+
+
+def _block_scores(batch, k: int, bins: np.ndarray, trees: list[list[list[dict]]], edges: list[list[float]]) -> np.ndarray:
+    """For each seed its scores of a block's rows: the kept ones and those of the trees since."""
+    kept = _numbers_of(batch, "scores", k)
+    scores = kept.reshape(len(trees), -1).copy() if len(kept) else np.zeros((len(trees), len(bins)))
+    for own, into in zip(trees, scores, strict=True):
+        for nodes in own:
+            into += np.array([n.get("value", 0.0) for n in nodes])[_leaves(bins, nodes, edges)]
+    return scores
+
+
+def _block_scored(blocks: DataFrame, trees: list[list[list[dict]]], edges: list[list[float]]) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            scores = []
+            for k in range(batch.num_rows):
+                bins = _numbers_of(batch, "bins", k, np.uint8).reshape(-1, len(edges))
+                scores.append(_block_scores(batch, k, bins, trees, edges).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.binary())], batch.schema.names)
+
+    return blocks.mapInArrow(run, _BLOCK)
+
+
+def _block_statistics(blocks: DataFrame, trees: list[list[list[dict]]], edges: list[list[float]], s: Settings, t: int) -> DataFrame:
+    """bins, sums: of each block, sums (seed, gradient or curvature or count, row) of what _statistics gives row by row."""
+
+    def run(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bins = _numbers_of(batch, "bins", k, np.uint8).reshape(-1, len(edges))
+                names = batch.column(0)[k].as_py()
+                starts = [zlib.crc32(f"{seed}:{t}:".encode()) for seed in s.seeds]
+                seen = np.array([[zlib.crc32(q, c) for q in names] for c in starts]) < s.queries * 2**32  # as _sampled
+                sizes, labels = _numbers_of(batch, "sizes", k, np.int32), _numbers_of(batch, "labels", k, np.uint8)
+                sums = _whole_pairs(sizes, labels, _numbers_of(batch, "weights", k), _numbers_of(batch, "ideals", k), _block_scores(batch, k, bins, trees, edges), seen, s.top)
+                yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["bins", "sums"])
+
+    return blocks.mapInArrow(run, "bins binary, sums binary")
+
+
+def _whole_pairs(sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, ideals: np.ndarray, scores: np.ndarray, seen: np.ndarray, top: int) -> np.ndarray:
+    """(seed, 3, row): gradient, curvature and count of the rows of whole queries, which lie one after another. Each positive row meets its query's others."""
+    n, of = len(labels), np.repeat(np.arange(len(sizes)), sizes)
+    begin = np.cumsum(sizes) - sizes
+    others = np.flatnonzero(labels == 0)
+    per_query = np.bincount(of[others], minlength=len(sizes))
+    before = np.cumsum(per_query) - per_query
+    up = np.flatnonzero(labels == 1)
+    times = per_query[of[up]]
+    one = np.repeat(up, times)
+    two = others[np.arange(len(one)) - np.repeat(np.cumsum(times) - times - before[of[up]], times)]
+    query = of[one]
+    share = weights[query] / ideals[query]
+    steps = np.append(discounts(top), 0.0)
+    out = np.zeros((len(scores), 3, n))
+    for k, own in enumerate(scores):
+        place = np.empty(n, np.int64)
+        place[np.lexsort((-own, of))] = np.arange(n) - begin[of]  # equal scores: in the order of the rows
+        step = steps[np.minimum(place, top)]  # 0 for both beyond the cut, so that such a pair adds nothing
+        miss = 1 / (1 + np.exp(np.clip(own[one] - own[two], -50, 50)))
+        g = np.abs(step[one] - step[two]) * share * miss * seen[k][query]
+        h = g * (1 - miss)
+        out[k, 0] = np.bincount(two, g, n) - np.bincount(one, g, n)
+        out[k, 1] = np.bincount(two, h, n) + np.bincount(one, h, n)
+        out[k, 2] = seen[k][of]
+    return out
+
+
 def _statistics(ready: DataFrame, n_features: int, s: Settings, t: int) -> DataFrame:
     """bins, sums: for each seed gradient, curvature and count (1 where the tree sees the query). Rows stand for themselves; further rows
     of count 0 bring a best row what a batch's rows below the cut do to it."""

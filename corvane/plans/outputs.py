@@ -144,13 +144,12 @@ def _(t):
 
     brought = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     best = F.max(F.struct(brought, "l_linenumber")).over(Window.partitionBy("l_orderkey"))  # an order has a few lines
-    lines = t.lineitem.withColumn("line", F.xxhash64("l_partkey", "l_suppkey", "l_linenumber"))
-    lines = lines.select("l_orderkey", "line", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_linenumber") == best["l_linenumber"]).cast("int").alias("y"), (F.col("l_orderkey") % 3 + 1).alias("cls"))
-    held = group_fold(F.col("l_orderkey"), 5) == 0
+    lines = rangejoin.by_size(t.lineitem.withColumn("line", F.xxhash64("l_partkey", "l_suppkey", "l_linenumber")), t.lineitem.count(), "l_orderkey")
+    lines = lines.select("l_orderkey", "line", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_linenumber") == best["l_linenumber"]).cast("int").alias("y"), (F.col("l_orderkey") % 3 + 1).alias("cls"), (group_fold(F.col("l_orderkey"), 5) == 0).alias("held")).persist()  # read by each pass before the trees; dealt by order, so none of them shuffles it
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    train = ranker.class_weights(lines.where(~held), "l_orderkey", "y", "cls", {1: 0.14, 2: 0.126, 3: 0.735})
+    train = ranker.class_weights(lines.where("not held"), "l_orderkey", "y", "cls", {1: 0.14, 2: 0.126, 3: 0.735})
     model = ranker.fit(train, "l_orderkey", "line", names, "y", "weight", ranker.Settings(trees=4, depth=3, bins=32, rate=0.3, l2=1e-6))
-    return lines.where(held).select("l_orderkey", "line", "y", model.score().alias("score"))
+    return model.scored(lines.where("held")).select("l_orderkey", "line", "y", "score")
 
 
 _TREES = [

@@ -109,3 +109,37 @@ def test_odd_rows(spark):
     assert scores[1] == scores[2] > scores[3]  # the smallest value shares NaN's way
     empty = ranker.fit(df.limit(0), "qid", "row", ["a"], "y", None, Settings(trees=1, seeds=(0,)))
     assert {r.s for r in df.select(empty.score().alias("s")).collect()} == {0.0}
+
+
+def test_queries_in_blocks_give_the_rows_statistics(spark, table):
+    s = Settings(bins=8, top=3, seeds=(5, 6), queries=0.7, features=1.0)
+    edges = ranker.quantile_edges(table, FEATURES, 8)
+    rows = table.where("qid <> 'q60'").select(F.col("qid").alias("query"), "row", F.col("y").alias("label"), (F.col("cls") * 1.0).alias("weight"), F.array(*FEATURES).alias("x"))
+    sizes = rows.groupBy("query").agg(F.lit(1.0).alias("ideal")).withColumn("whole", F.lit(True))
+    trees = [[[{"feature": 0, "bin": 3, "left": 1, "right": 2}, {"value": 0.7}, {"value": -0.4}]], []]
+    scored = ranker._scored(ranker._binned(rows.join(sizes, "query"), edges, 2), trees, edges)
+    want = ranker._splits(ranker._statistics(scored.join(ranker._best(scored, 3, 2), "query"), 4, s, 1), [[{}], [{}]], [{0}, {0}], [np.arange(4)] * 2, edges, s)
+    blocks = ranker._blocks(rows, sizes, rows.count(), False, edges)
+    for held, later in ((blocks, trees), (ranker._block_scored(blocks, trees, edges), [[], []])):
+        got = ranker._splits(None, [[{}], [{}]], [{0}, {0}], [np.arange(4)] * 2, edges, s, ranker._block_statistics(held, later, edges, s, 1))
+        assert got.keys() == want.keys() and len(got) == 8
+        for k in want:
+            assert [got[k][c] for c in ("bin", "gain", "g", "h")] == pytest.approx([want[k][c] for c in ("bin", "gain", "g", "h")], rel=1e-9, abs=1e-12)
+
+
+def test_blocks_hold_whole_queries_and_no_rows_of_trees_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ranker, "BLOCK", 50)
+    rows = spark.range(2000).selectExpr("id div 7 as query", "id as row", "cast(id % 7 = 0 as int) as label", "1.0D as weight", "array(cast(id % 13 as double)) as x")
+    sizes = rows.groupBy("query").agg(F.lit(1.0).alias("ideal")).withColumn("whole", F.lit(True))
+    blocks = ranker._blocks(rows, sizes, 2000, False, [[3.0, 6.0]])
+    held = [(n.decode(), k) for r in blocks.collect() for n, k in zip(r["names"], np.frombuffer(r["sizes"], np.int32), strict=True)]
+    assert len(held) == len(set(held)) == 286 and {k for _, k in held} == {7, 5} and blocks.count() > 20
+    plan = ranker._block_statistics(blocks.persist(), [[]], [[3.0, 6.0]], Settings(seeds=(0,)), 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]
+
+
+def test_scores_by_batch(table):
+    model = ranker.fit(table, "qid", "row", FEATURES, "y", None, Settings(trees=2, depth=2, bins=8, seeds=(1, 2), least_rows=2))
+    rows = table.unionByName(table.limit(3).withColumn("a", F.lit(None).cast("double"))).withColumn("want", model.score())
+    got = model.scored(rows)
+    assert got.columns == [*rows.columns, "score"] and got.where(F.abs(F.col("score") - F.col("want")) > 1e-9).isEmpty() and got.where("score is null").isEmpty()
