@@ -101,3 +101,14 @@ def test_sweep(table):
     assert [r["mrr"] for r in reports.swept(df.where("false"), queries, "q", "k", "y", settings).collect()] == [0.0] * 4
     with pytest.raises(ValueError, match="same terms"):
         reports.swept(df, queries, "q", "k", "y", [{"a": 1.0}, {"b": 1.0}])
+
+
+def test_gain_reads_the_rows_once(spark):
+    rows = spark.range(60).selectExpr("id div 6 as q", "id as row", "cast(id % 7 as double) as base", "cast(id % 5 as double) as score", "cast(id % 6 = 2 as int) as y")
+    queries = spark.range(11).selectExpr("id as q", "id % 2 as cohort")
+    both = reports._both_ranks(rows, queries, "q", "row", "base", "score", "y", 3)
+    for name, score in (("learned", "score"), ("base", "base")):
+        want = {r["q"]: r["rr"] for r in reports.reciprocal_ranks(rows, queries, "q", "row", score, "y", 3).collect()}
+        assert {r["q"]: r[name] for r in both.collect()} == want and len(want) == 11
+    plan = reports.gain(rows, queries, "q", "row", "base", "score", "y", "cohort")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Range (") == 2  # the rows and the queries
