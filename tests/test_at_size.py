@@ -150,3 +150,14 @@ def test_tasks_follow_the_number_of_rows(spark, monkeypatch, name):
     monkeypatch.setattr(rangejoin, "ROWS", 100)
     plan = plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert max(int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan)) > 20
+
+
+def test_auc_of_few_scores_deals_rows_and_keys_by_their_number(spark, monkeypatch):
+    from corvane.operators import metrics, rangejoin
+
+    rows = spark.range(3000).selectExpr("id % 70 as k", "if(id % 70 = 3, null, id % 4) as g", "if(id % 11 = 0, null, cast(id % 13 as double)) as s", "cast(id % 3 = 0 or id % 70 = 9 as int) as y")
+    monkeypatch.setattr(rangejoin, "ROWS", 100)
+    got = metrics.auc_of_few(rows, ["k", "g"], "s", "y", 3000)
+    assert got.where("g is null").count() == 1
+    assert sorted(map(tuple, got.where("g is not null").collect())) == sorted(map(tuple, metrics.auc(rows, ["k", "g"], "s", "y").collect()))
+    assert got.rdd.getNumPartitions() == 30  # no later step deals the keys to fewer tasks
