@@ -46,6 +46,21 @@ def test_shifted_window_shuffles_no_pairs(spark):
     assert not any({"q", "p_partkey"} <= set(re.findall(r"(\w+)#", keys)) for keys in shuffles(plans.QUERIES["jon02_shift_window"](spark, SMALL)))
 
 
+def test_window_of_all_pairs_merges_fine_bins(spark):
+    """No table is broadcast, so pairs come bin by bin, and most rows that meet are pairs; copies, edges and odd values give the pairs of coarse bins."""
+    from corvane.operators.rangejoin import FINE, ppm_join, ppm_sides
+
+    plan = plans.QUERIES["jon01_ppm_window"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    values = [100 * 1.0001**n for n in range(300)] + [100.0] * 40 + [100.05, 99.95, None, 0.0, -5.0, 1e-9, 1e12]
+    rows = spark.createDataFrame(list(enumerate(values)), "k long, v double")
+    asks = rows.selectExpr("k as q", "v as q_v")
+    got = lambda fine: sorted(tuple(r) for r in ppm_join(asks, "q_v", rows, "v", 500, fine).select("q", "k").collect())
+    assert got(FINE) == got(None) == sorted((n, m) for n, a in enumerate(values) for m, b in enumerate(values) if a and b and a > 0 and b > 0 and abs(b - a) <= a * (500 / 1e6))
+    q, lib, _ = ppm_sides(asks, "q_v", rows, "v", 500, FINE)
+    assert q.join(lib, "__bin").count() < 1.3 * len(got(None))
+
+
 def test_shifted_window_of_repeated_ids(spark):
     """Shifts that overlap and ids with several rows give a pair once."""
     from corvane.operators.rangejoin import shifted_join
