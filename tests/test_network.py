@@ -91,3 +91,31 @@ def test_guesses_by_batch_and_hard_rows(spark, rows, tmp_path):
         network.fit(rows.where("false"), "k", "x", "y", str(tmp_path), "pool", SMALL, run="none")
     assert network.predicted(rows.where("false"), "x", net).count() == 0
     assert "probabilities" in network.predicted(rows.select(F.col("x"), F.col("g").alias("layers")), "x", net).columns
+
+
+def test_places_are_those_of_all_pairs(spark, monkeypatch):
+    """Blocks give what a join of all pairs gives, with equal bits, nulls and rows of another length, and no pair is shuffled."""
+    from corvane import plans
+    from corvane.operators import bits
+    from corvane.plans import outputs
+
+    draw = np.random.default_rng(5)
+    some = draw.integers(0, 2, (40, 5)).astype(float).tolist()
+    odd = [(900, 0, None), (901, 0, [1.0] * 4), (902, 0, [1.0, None, 0.0, 0.0, 1.0]), (None, 0, [1.0] * 5), (903, None, [1.0] * 5), (904, 1, [0.0] * 5)]
+    rows = spark.createDataFrame([(n, n % 3, some[n % 40]) for n in range(300)] + odd, "vec_id long, label long, bits array<double>")
+    guesses = [(n, draw.choice([0.0, 0.1, 0.3, 0.7, 1.0], 5).tolist()) for n in range(0, 300, 4)] + [(900, [0.5] * 5), (901, [0.5] * 5), (904, [0.0] * 5), (903, [0.5] * 5), (902, None), (8, [0.2] * 5)]
+    guesses += [(12, [float("nan")] * 5), (900, [float("nan")] * 5)]
+    asked = spark.createDataFrame([(k, n, p) for n, (k, p) in enumerate(guesses)], "k long, vec_id long, probabilities array<double>").join(rows.withColumnRenamed("vec_id", "k"), "k")
+    rows = rows.unionByName(asked.select("vec_id", "label", "bits"))
+    asked = asked.select("vec_id", "label", "probabilities", bits.soft_tanimoto(F.col("probabilities"), F.col("bits")).alias("own")).cache()
+    both = asked.join(rows.select("label", F.col("vec_id").alias("other"), F.col("bits").alias("b")), "label")
+    ahead = (F.col("other") != F.col("vec_id")) & (bits.soft_tanimoto(F.col("probabilities"), F.col("b")) > F.col("own"))
+    want = both.groupBy("vec_id").agg(F.first("own").alias("own"), (F.sum(ahead.cast("long")) + 1).alias("place"), F.count("*").alias("candidates"))
+    as_set = lambda df: sorted(map(str, df.drop("own").collect()))
+    assert len(want := as_set(want)) > 70
+    for block in (8192, 7):
+        monkeypatch.setattr(outputs, "PLACED", block)
+        got = outputs._places(asked, rows, 5)
+        assert as_set(got) == want and got.join(asked.select("vec_id", "own"), ["vec_id", "own"]).select("vec_id").distinct().count() == len(want)
+    plan = plans.QUERIES["mlo09_ranking_network"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "HashJoin" in line and "__a#" in line and "__b#" in line]
