@@ -143,3 +143,49 @@ def test_scores_by_batch(table):
     rows = table.unionByName(table.limit(3).withColumn("a", F.lit(None).cast("double"))).withColumn("want", model.score())
     got = model.scored(rows)
     assert got.columns == [*rows.columns, "score"] and got.where(F.abs(F.col("score") - F.col("want")) > 1e-9).isEmpty() and got.where("score is null").isEmpty()
+
+
+def test_folds_side_by_side_are_the_rankers_of_the_other_folds(table):
+    """Small queries lie in blocks, the one of 1,500 rows doesn't; each ranker is the one that its folds' rows alone give."""
+    few = Settings(trees=3, depth=3, bins=8, seeds=(1, 2), least_rows=2, kept_after=2)
+    edges = ranker.quantile_edges(table, FEATURES, 8)
+    rows = table.withColumn("fold", F.crc32("qid") % 3)
+    got = ranker.fit_without_each(rows, "qid", "row", FEATURES, "y", "fold", [0, 1, 2], None, few, edges)
+    shape = lambda m: [[[(n.get("feature"), n.get("threshold")) for n in t] for t in own] for own in m.trees]
+    leaves = lambda m: [n["value"] for own in m.trees for t in own for n in t if "value" in n]
+    for k in (0, 1, 2):
+        want = ranker.fit(rows.where(F.col("fold") != k), "qid", "row", FEATURES, "y", None, few, edges)
+        assert shape(got[k]) == shape(want) and leaves(got[k]) == pytest.approx(leaves(want), rel=1e-9, abs=1e-12)
+    assert shape(got[0]) != shape(got[1])
+
+
+def test_cross_validation_grows_the_whole_ranker(spark, tables, monkeypatch):
+    """evl08_cv leaves out nothing of the ranker's own settings, and has five folds."""
+    from corvane import plans
+
+    asked = []
+
+    def fitted(df, query, row, features, label, weight, s, edges, fold=None):
+        asked.append(s)
+        return [[[{"value": 0.0}]] for _ in s.seeds]
+
+    monkeypatch.setattr(ranker, "_fitted", fitted)
+    assert plans.QUERIES["evl08_cv"](spark, tables.path).count() == 5
+    (s,) = asked
+    whole = Settings()
+    assert all(getattr(s, k) == getattr(whole, k) for k in ("trees", "depth", "bins", "rate", "l2", "least_rows", "top", "queries", "features"))
+    assert s.seeds == whole.seeds * 5 and s.without == tuple(k for k in range(5) for _ in whole.seeds)
+
+
+def test_seeds_grown_in_a_task_each_are_those_of_the_rounds(table, monkeypatch):
+    s = Settings(trees=5, depth=3, bins=8, seeds=(1, 2), least_rows=2, kept_after=2)
+    rows = table.where("qid <> 'q60'").withColumn("fold", F.crc32("qid") % 2)
+    edges = ranker.quantile_edges(rows, FEATURES, 8)
+    fitted = lambda: ranker.fit_without_each(rows, "qid", "row", FEATURES, "y", "fold", [0, 1], None, s, edges)
+    alone = fitted()
+    monkeypatch.setattr(ranker, "SENT", 0)
+    rounds = fitted()
+    for k in (0, 1):
+        for a, b in zip(alone[k].trees, rounds[k].trees, strict=True):
+            assert [[(n.get("feature"), n.get("bin")) for n in t] for t in a] == [[(n.get("feature"), n.get("bin")) for n in t] for t in b]
+            assert [n["value"] for t in a for n in t if "value" in n] == pytest.approx([n["value"] for t in b for n in t if "value" in n], rel=1e-9, abs=1e-12)
