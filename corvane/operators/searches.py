@@ -22,6 +22,8 @@ CELLS = 2_000_000
 #: Rows of a task.
 ROWS = 200_000
 _NONE = np.iinfo(np.int64).min
+#: Longs of a set of windows, each window a bit by its number modulo their bits.
+WORDS = 8
 
 
 def _ids(column) -> np.ndarray:
@@ -36,6 +38,11 @@ def or_null(ids: np.ndarray):
     return pa.array(ids, mask=ids == _NONE)
 
 
+def _words(rows) -> np.ndarray:
+    """The bits of places() of each row, if it has any."""
+    return np.asarray(rows.column("places").flatten()).reshape(rows.num_rows, -1)
+
+
 class Chunk:
     """Records by mass, their peaks by bin, lot (id modulo lots) and mass."""
 
@@ -48,6 +55,7 @@ class Chunk:
         owner[order] = np.arange(len(order))
         owner = np.repeat(owner, np.asarray(peaks.value_lengths()))
         self.lots, self.n = lots, len(order)
+        self.places = _words(rows)[order]
         self.bins, code = np.unique(np.asarray(peaks.flatten()), return_inverse=True)
         place = (code * lots + np.mod(self.rid, lots)[owner]) * self.n + owner
         by_place = np.argsort(place, kind="stable")
@@ -82,7 +90,7 @@ class Pairs:
 
 
 def _met(chunk: Chunk, rows, tolerance: float, apart: Callable, work: Callable, lots: int) -> Iterator[tuple]:
-    asks = {"q": _ids(rows.column("id")), "mz": np.asarray(rows.column("mz")), "key": _ids(rows.column("key")), "mark": np.asarray(rows.column("mark"))}
+    asks = {"q": _ids(rows.column("id")), "mz": np.asarray(rows.column("mz")), "key": _ids(rows.column("key")), "mark": np.asarray(rows.column("mark")), "places": _words(rows)}
     lists = rows.column("bins")
     firsts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
     bins, weights = np.asarray(lists.flatten()), np.asarray(rows.column("ws").flatten())
@@ -125,7 +133,7 @@ def unique(rows: DataFrame, key: str) -> bool:
 def search(asks: DataFrame, library: DataFrame, rows: DataFrame, ppm: float, apart: Callable, work: Callable[..., Iterator[tuple]], schema: str, lots: int = 1) -> DataFrame:
     """What work(pairs, query weights, record weights, moved) yields as tuples of columns by the schema, for each chunk and batch of queries.
 
-    asks: q, mz, key, mark (a boolean); library: rid, mz, key; rows: (rid, peaks), as peaks.records() gives them, one row for each record. A pair is near if its
+    asks: q, mz, key, mark (a boolean); library: rid, mz, key; both may have places (arrays of longs, null: all bits); rows: (rid, peaks), as peaks.records() gives them, one row for each record. A pair is near if its
     masses are within ppm of the query's and apart(asks, which, chunk, which) is true. A record has one row on either side (unique()), and so has each pair in the result.
     lots: for more than 1, bins that are equal when the record's move up by (rid - q) % lots are shared too; those hits are moved.
     """
@@ -147,7 +155,8 @@ def search(asks: DataFrame, library: DataFrame, rows: DataFrame, ppm: float, apa
         copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
         rows = rows.withColumn("__part", part).withColumn("__copy", copy)
         slot = F.col("__part") * F.col("__chunks") + F.col("__copy") if ask else F.col("__copy") * F.col("__chunks") + F.col("__part")
-        return rows.select("__bin", slot.alias("__slot"), F.lit(ask).alias("ask"), F.col(id_).cast("long").alias("id"), F.col("mz" if ask else "__mz").alias("mz"), F.col("key").cast("long").alias("key"), F.col("mark") if ask else F.lit(False).alias("mark"), "bins", "ws")
+        places = F.coalesce("places", F.array(*[F.lit(-1).cast("long")] * WORDS)) if "places" in rows.columns else F.array().cast("array<long>")
+        return rows.select("__bin", slot.alias("__slot"), F.lit(ask).alias("ask"), F.col(id_).cast("long").alias("id"), F.col("mz" if ask else "__mz").alias("mz"), F.col("key").cast("long").alias("key"), F.col("mark") if ask else F.lit(False).alias("mark"), "bins", "ws", places.alias("places"))
 
     mine, theirs, _ = ppm_sides(asks.join(peaks.withColumnRenamed("rid", "q"), "q"), "mz", library.withColumnRenamed("mz", "__mz").join(peaks, "rid"), "__mz", ppm)
     both = side(theirs, "__chunks", "__lots", "rid", False).unionByName(side(mine, "__lots", "__chunks", "q", True))
@@ -182,6 +191,32 @@ def search(asks: DataFrame, library: DataFrame, rows: DataFrame, ppm: float, apa
     return both.mapInArrow(run, out)
 
 
+def places(rows: DataFrame, bins: str) -> list:
+    """Aggregates: an array of WORDS longs with a bit for each of the windows in the column."""
+    bit = F.pmod(F.col(bins), F.lit(64 * WORDS))
+    word = lambda k: F.coalesce(F.bit_or(F.when(F.floor(bit / 64) == k, F.expr(f"shiftleft(1L, int(pmod({bins}, 64)))"))), F.lit(0).cast("long"))
+    return F.array(*[word(k) for k in range(WORDS)])
+
+
+def with_places(asks: DataFrame, library: DataFrame, ppm: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with places: the windows where the key's records lie, and those of the other asks of the ask's key (where mark says that there are any).
+
+    Where the two have no bit in common, the key's records are near no other ask of that key. Records without a key have all bits.
+    """
+    mine, theirs, _ = ppm_sides(asks.where("mark").select("q", "key", "mz"), "mz", library.select("key", F.col("mz").alias("__mz")), "__mz", ppm)
+    held = theirs.where("key is not null").groupBy("key").agg(places(theirs, "__bin").alias("places"))
+    mine = mine.withColumn("__place", F.pmod("__bin", F.lit(64 * WORDS)))
+    own = mine.groupBy("q", "key").agg(places(mine, "__place").alias("__own"))
+    shared = mine.select("q", "key", "__place").distinct().groupBy("key", "__place").count()
+    every = shared.groupBy("key").agg(places(shared, "__place").alias("__all"))
+    twice = shared.where("count > 1").groupBy("key").agg(places(shared, "__place").alias("__twice"))
+    none = F.array(*[F.lit(0).cast("long")] * WORDS)
+    others = own.join(every, "key").join(twice, "key", "left").withColumn("__twice", F.coalesce("__twice", none))
+    word = lambda k: F.col("__all")[k].bitwiseAND(F.bitwise_not(F.col("__own")[k])).bitwiseOR(F.col("__twice")[k])
+    others = others.select("q", F.array(*[word(k) for k in range(WORDS)]).alias("places"))
+    return asks.join(others, "q", "left"), library.join(held, "key", "left")
+
+
 def other_key(asks: dict, i: np.ndarray, chunk: Chunk, rec: np.ndarray) -> np.ndarray:
     """Both have a key, and not the same."""
     a, b = asks["key"][i], chunk.key[rec]
@@ -222,3 +257,33 @@ def larger(pairs: Pairs, qw: np.ndarray, rw: np.ndarray, moved: np.ndarray) -> I
     """q, rid, direct and shifted (the cosines as they are and moved, 0 without any) and sim, the larger."""
     direct, shifted = (pairs.total(np.where(on, qw * rw, 0.0)) for on in (~moved, moved))
     yield *_named(pairs), direct, shifted, np.maximum(direct, shifted)
+
+
+def best_of_keys(most: int, digits: int) -> Callable[..., Iterator[tuple]]:
+    """qkey, q, key, sim: the best cosine of each key's records with each ask.
+
+    Of an ask whose sims stand alone only the `most` best keys of a chunk, by the rounded sim and then the key, are handed on. A marked ask's sims are added to those of its key's
+    other asks: keys that may meet another one (places) are all handed on, the others stand alone.
+    """
+
+    def work(pairs: Pairs, qw: np.ndarray, rw: np.ndarray, moved: np.ndarray) -> Iterator[tuple]:
+        asks, chunk, q, rec = pairs.asks, pairs.chunk, pairs.q, pairs.rec
+        sim, key = pairs.total(qw * rw), chunk.key[rec]
+        order = np.lexsort((-sim, key, q))
+        q, key, sim, rec = q[order], key[order], sim[order], rec[order]
+        first = np.concatenate(([True], (q[1:] != q[:-1]) | (key[1:] != key[:-1])))
+        q, key, sim, rec = q[first], key[first], sim[first], rec[first]
+        keep = np.zeros(len(q), bool)
+        marked = np.flatnonzero(asks["mark"][q])
+        keep[marked] = (asks["places"][q[marked]] & chunk.places[rec[marked]]).any(axis=1)
+        scaled = sim * 10.0**digits
+        up = np.floor(scaled + 0.5)
+        keep |= np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4  # may be rounded either way
+        rest = np.flatnonzero(~keep)
+        rest = rest[np.lexsort((key[rest], -up[rest], q[rest]))]
+        starts = np.flatnonzero(np.concatenate(([True], q[rest][1:] != q[rest][:-1]))) if len(rest) else rest
+        keep[rest[np.arange(len(rest)) - np.repeat(starts, np.diff(np.append(starts, len(rest)))) < most]] = True
+        q = q[keep]
+        yield or_null(asks["key"][q]), asks["q"][q], or_null(key[keep]), sim[keep]
+
+    return work
